@@ -43,6 +43,9 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         path = self.table_path(name)
+        if partition_by:
+            # Few files per folder; a value too big for one task is split.
+            df = df.hint("rebalance", *partition_by)
         writer = df.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
