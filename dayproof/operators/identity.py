@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayproof.operators.skew import HOT_KEY_ROWS, attach
-from dayproof.schemas import MONEY, POSITION, TOTAL
+from dayproof.schemas import MONEY, POSITION, SOURCE_POSITION, TOTAL
 from dayproof.sources.scratch import Scratch
 
 VARIANT = [*POSITION, "event_id", "payload_hash"]
@@ -35,6 +35,19 @@ class Evidence(NamedTuple):
     records: DataFrame | None = None
 
 
+class Shape(NamedTuple):
+    """Size of a batch: distinct variants, most copies of one, most variants at one position."""
+
+    variants: int
+    copies: int
+    at_one_position: int
+
+    @property
+    def rows(self) -> int:
+        """At least the number of rows of the batch."""
+        return self.variants * self.copies
+
+
 class Projection(NamedTuple):
     outcome: DataFrame
     observations: DataFrame
@@ -44,9 +57,9 @@ class Projection(NamedTuple):
     aggregate_delta: DataFrame
 
 
-def arrival() -> Column:
-    """Arrival order of rows, total over all variants."""
-    return F.struct("delivery", "timestamp", "partition", "offset", "event_id", "payload_hash")
+# Arrival order of rows, total over all variants.
+ARRIVAL = "struct(delivery, timestamp, partition, offset, event_id, payload_hash)"
+NULL_TEXT = "CAST(NULL AS string)"
 
 
 def delivered_variants(valid: DataFrame) -> DataFrame:
@@ -54,18 +67,25 @@ def delivered_variants(valid: DataFrame) -> DataFrame:
     if "delivery" not in valid.columns:
         valid = valid.withColumn("delivery", F.lit(0))
     return valid.groupBy(*VARIANT).agg(
-        F.min("delivery").alias("delivery"),
-        F.min("timestamp").alias("timestamp"),
-        F.count(F.lit(1)).alias("copies"),
+        F.expr("min(delivery) AS delivery"), F.expr("min(timestamp) AS timestamp"), F.expr("count(*) AS copies")
     )
 
 
-def _lookup(stored: DataFrame | None, columns: list[Column], keys: list[str], wanted: DataFrame, small: bool):
+def batch_shape(variants: DataFrame) -> Shape:
+    """One job, three numbers."""
+    places = variants.groupBy(*POSITION).agg(F.expr("count(*) AS n"), F.expr("max(copies) AS copies"))
+    row = places.agg(F.sum("n"), F.max("copies"), F.max("n")).first()
+    return Shape(*[value or 0 for value in row])
+
+
+def _lookup(
+    stored: DataFrame | None, columns: list[str], keys: list[str], wanted: DataFrame, small: bool
+) -> DataFrame | None:
     """Stored rows whose keys occur in ``wanted``. With a small batch the stored
     table is only scanned, never shuffled."""
     if stored is None:
         return None
-    found = stored.select(*columns)
+    found = stored.selectExpr(*columns)
     if small:
         return found.join(F.broadcast(wanted.select(*keys).distinct()), keys, "left_semi")
     return found
@@ -73,20 +93,10 @@ def _lookup(stored: DataFrame | None, columns: list[Column], keys: list[str], wa
 
 def with_seen_events(variants: DataFrame, observations: DataFrame | None, small: bool = False) -> DataFrame:
     """Add ``seen_event``: the event already stored at the row's position."""
-    seen = _lookup(
-        observations,
-        [
-            F.col("source_topic").alias("topic"),
-            F.col("source_partition").alias("partition"),
-            F.col("source_offset").alias("offset"),
-            F.col("event_id").alias("seen_event"),
-        ],
-        POSITION,
-        variants,
-        small,
-    )
+    columns = [f"{s} AS {p}" for s, p in zip(SOURCE_POSITION, POSITION)]
+    seen = _lookup(observations, [*columns, "event_id AS seen_event"], POSITION, variants, small)
     if seen is None:
-        return variants.withColumn("seen_event", F.lit(None).cast("string"))
+        return variants.withColumn("seen_event", F.expr(NULL_TEXT))
     return variants.join(seen, POSITION, "left")
 
 
@@ -112,7 +122,7 @@ def position_losers(candidates: DataFrame, ledger: DataFrame | None, scratch: Sc
     """
     contested = contested_positions(candidates)
     events = candidates.join(contested, POSITION, "left_semi").select("event_id").distinct()
-    open_rows = candidates.join(events, ["event_id"], "left_semi").withColumn("arrived", arrival())
+    open_rows = candidates.join(events, ["event_id"], "left_semi").withColumn("arrived", F.expr(ARRIVAL))
     known = None if ledger is None else ledger.select("event_id", F.col("payload_hash").alias("event_hash"))
     # Rows that contradict the ledger never get a position.
     if known is not None:
@@ -157,117 +167,113 @@ def event_facts(
     """Per (event id, payload hash): does it agree with the event's first payload,
     when did it first arrive, is the event or its record stored already."""
     by_payload = candidates.groupBy("event_id", "payload_hash").agg(
-        F.min(arrival()).alias("first_arrival"), F.count(F.lit(1)).alias("copies")
+        F.expr(f"min({ARRIVAL}) AS first_arrival"), F.expr("count(*) AS copies")
     )
     by_event = by_payload.groupBy("event_id").agg(
-        F.min_by("payload_hash", "first_arrival").alias("reference_hash")
-    )
-    known = _lookup(
-        ledger, [F.col("event_id"), F.col("payload_hash").alias("known_hash")], ["event_id"], by_event, small
-    )
-    held = _lookup(records, [F.col("event_id"), F.lit(True).alias("has_record")], ["event_id"], by_event, small)
-    by_event = (
-        by_event.withColumn("known_hash", F.lit(None).cast("string"))
-        if known is None
-        else by_event.join(known, ["event_id"], "left")
+        F.expr("min_by(payload_hash, first_arrival) AS reference_hash")
     )
-    by_event = (
-        by_event.withColumn("has_record", F.lit(False))
-        if held is None
-        else by_event.join(held, ["event_id"], "left")
-    )
-    return by_payload.join(by_event, ["event_id"]).select(
+    known = _lookup(ledger, ["event_id", "payload_hash AS known_hash"], ["event_id"], by_event, small)
+    held = _lookup(records, ["event_id", "true AS has_record"], ["event_id"], by_event, small)
+    if known is not None:
+        by_event = by_event.join(known, ["event_id"], "left")
+    if held is not None:
+        by_event = by_event.join(held, ["event_id"], "left")
+    known_hash = "known_hash" if known is not None else NULL_TEXT
+    has_record = "coalesce(has_record, false)" if held is not None else "false"
+    return by_payload.join(by_event, ["event_id"]).selectExpr(
         "event_id",
         "payload_hash",
         "copies",
         "first_arrival",
-        (F.col("payload_hash") == F.coalesce("known_hash", "reference_hash")).alias("agrees"),
-        F.col("known_hash").isNotNull().alias("event_known"),
-        F.coalesce("has_record", F.lit(False)).alias("record_known"),
+        f"payload_hash = coalesce({known_hash}, reference_hash) AS agrees",
+        f"{known_hash} IS NOT NULL AS event_known",
+        f"{has_record} AS record_known",
     )
 
 
 def resolve(
-    valid: DataFrame, existing: Evidence, scratch: Scratch, hot_rows: int = HOT_KEY_ROWS
+    variants: DataFrame,
+    shape: Shape,
+    existing: Evidence,
+    scratch: Scratch,
+    hot_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
-    """Verdict and insert flags per variant (the projection outcome)."""
-    variants = scratch.save(delivered_variants(valid), "variants")
-    small = variants.count() <= BROADCAST_KEYS
+    """Verdict and insert flags per variant (the projection outcome).
+    ``variants`` is a stored table of :func:`delivered_variants`."""
+    small = shape.variants <= BROADCAST_KEYS
     placed = with_seen_events(variants, existing.observations, small)
     if existing.observations is not None:
         placed = scratch.save(placed, "placed")
-    foreign = F.col("seen_event").isNotNull() & (F.col("seen_event") != F.col("event_id"))
-    candidates = placed.filter(~foreign)
-    lost = placed.filter(foreign).select(*VARIANT)
-    if not contested_positions(candidates).isEmpty():
+    foreign = "seen_event IS NOT NULL AND seen_event <> event_id"
+    candidates = placed
+    lost = None
+    if existing.observations is not None:
+        candidates = placed.filter(f"NOT ({foreign})")
+        lost = placed.filter(foreign).select(*VARIANT)
+    if shape.at_one_position > 1 and not contested_positions(candidates).isEmpty():
         losers = scratch.save(position_losers(candidates, existing.ledger, scratch), "losers")
         candidates = candidates.join(losers, VARIANT, "left_anti")
-        lost = lost.unionByName(losers)
+        lost = losers if lost is None else lost.unionByName(losers)
     facts = event_facts(candidates, existing.ledger, existing.records, small)
-    judged = attach(candidates, facts, ["event_id", "payload_hash"], POSITION, hot_rows)
-    first = arrival() == F.col("first_arrival")
-    accepted = F.col("agrees")
-    settled = judged.select(
-        *VARIANT,
-        "delivery",
-        "timestamp",
-        "copies",
-        F.when(accepted, "ACCEPTED").otherwise("PAYLOAD_CONFLICT").alias("verdict"),
-        (accepted & F.col("seen_event").isNull()).alias("observation_inserted"),
-        (accepted & ~F.col("event_known") & first).alias("event_inserted"),
-        (accepted & ~F.col("record_known") & first).alias("record_inserted"),
+    judged = attach(candidates, facts, ["event_id", "payload_hash"], POSITION, hot_rows, shape.variants)
+    first = f"{ARRIVAL} = first_arrival"
+    common = [*VARIANT, "delivery", "timestamp", "copies"]
+    settled = judged.selectExpr(
+        *common,
+        "IF(agrees, 'ACCEPTED', 'PAYLOAD_CONFLICT') AS verdict",
+        "agrees AND seen_event IS NULL AS observation_inserted",
+        f"agrees AND NOT event_known AND {first} AS event_inserted",
+        f"agrees AND NOT record_known AND {first} AS record_inserted",
     )
-    no = F.lit(False)
-    refused = placed.join(lost, VARIANT, "left_semi").select(
-        *VARIANT,
-        "delivery",
-        "timestamp",
-        "copies",
-        F.lit("POSITION_CONFLICT").alias("verdict"),
-        no.alias("observation_inserted"),
-        no.alias("event_inserted"),
-        no.alias("record_inserted"),
+    if lost is None:
+        return settled
+    refused = placed.join(lost, VARIANT, "left_semi").selectExpr(
+        *common,
+        "'POSITION_CONFLICT' AS verdict",
+        "false AS observation_inserted",
+        "false AS event_inserted",
+        "false AS record_inserted",
     )
     return settled.unionByName(refused)
 
 
 def new_observations(outcome: DataFrame, observed_at: Column) -> DataFrame:
     """One row per newly seen position. Accepted variants of a position agree, so none repeats."""
-    return outcome.filter("observation_inserted").select(
-        F.col("topic").alias("source_topic"),
-        F.col("partition").alias("source_partition"),
-        F.col("offset").alias("source_offset"),
+    return outcome.filter("observation_inserted").withColumn("observed_at", observed_at).selectExpr(
+        "topic AS source_topic",
+        "partition AS source_partition",
+        "offset AS source_offset",
         "event_id",
-        F.col("timestamp").alias("source_timestamp"),
+        "timestamp AS source_timestamp",
         "payload_hash",
-        observed_at.alias("observed_at"),
-        F.to_date("timestamp").alias("business_date"),
+        "observed_at",
+        "to_date(timestamp) AS business_date",
     )
 
 
 def ledger_rows(rows: DataFrame, first_seen_at: Column) -> DataFrame:
-    return rows.select(
+    return rows.withColumn("first_seen_at", first_seen_at).selectExpr(
         "event_id",
         "event_time",
-        F.col("topic").alias("source_topic"),
-        F.col("partition").alias("source_partition"),
-        F.col("offset").alias("source_offset"),
-        F.col("timestamp").alias("source_timestamp"),
+        "topic AS source_topic",
+        "partition AS source_partition",
+        "offset AS source_offset",
+        "timestamp AS source_timestamp",
         "payload",
         "payload_hash",
-        first_seen_at.alias("first_seen_at"),
+        "first_seen_at",
         "business_date",
     )
 
 
 def record_rows(rows: DataFrame, created_at: Column) -> DataFrame:
-    return rows.select(
+    return rows.withColumn("created_at", created_at).selectExpr(
         "event_id",
         "business_key",
         "event_time",
-        F.col("amount").cast(MONEY).alias("amount"),
+        f"CAST(amount AS {MONEY}) AS amount",
         "payload_hash",
-        created_at.alias("created_at"),
+        "created_at",
         "business_date",
     )
 
@@ -275,8 +281,7 @@ def record_rows(rows: DataFrame, created_at: Column) -> DataFrame:
 def aggregate_delta(records: DataFrame) -> DataFrame:
     """+count and +amount per date for newly inserted records only."""
     return records.groupBy("business_date").agg(
-        F.count(F.lit(1)).alias("record_count"),
-        F.sum("amount").cast(TOTAL).alias("total_amount"),
+        F.expr("count(*) AS record_count"), F.expr(f"CAST(sum(amount) AS {TOTAL}) AS total_amount")
     )
 
 
@@ -294,33 +299,42 @@ def project(
     """
     if "delivery" not in checked.columns:
         checked = checked.withColumn("delivery", F.lit(0))
-    valid = checked.filter(F.col("reject_reason").isNull())
-    invalid = checked.filter(F.col("reject_reason").isNotNull())
-    outcome = scratch.save(resolve(valid, existing, scratch, hot_rows), "outcome")
+    valid = checked.filter("reject_reason IS NULL")
+    invalid = checked.filter("reject_reason IS NOT NULL")
+    variants = scratch.save(delivered_variants(valid), "variants")
+    shape = batch_shape(variants)
+    outcome = scratch.save(resolve(variants, shape, existing, scratch, hot_rows), "outcome")
 
-    flags = outcome.select(
+    flags = outcome.filter("verdict <> 'ACCEPTED' OR event_inserted OR record_inserted").selectExpr(
         *VARIANT, "copies", "verdict", "event_inserted", "record_inserted",
-        F.col("delivery").alias("first_delivery"), F.col("timestamp").alias("first_timestamp"),
-    ).filter("verdict <> 'ACCEPTED' OR event_inserted OR record_inserted")
+        "delivery AS first_delivery", "timestamp AS first_timestamp",
+    )
     # Copies of a row are alike in every column, so they are spread by row number.
     numbered = valid.withColumn("_row", F.monotonically_increasing_id())
-    wide = attach(numbered, flags, VARIANT, ["_row"], hot_rows).filter("verdict IS NOT NULL")
-    wide = scratch.save(
-        wide.drop("_row", "attributes", "amount_exact", "amount_negative", "amount_given", "decode_error"), "wide"
+    wide = attach(numbered, flags, VARIANT, ["_row"], hot_rows, shape.rows).filter("verdict IS NOT NULL")
+    wide = wide.selectExpr(
+        *VARIANT, "timestamp", "business_date", "verdict", "event_inserted", "record_inserted",
+        "delivery = first_delivery AND timestamp = first_timestamp AS first_copy",
+        "key", "business_key", "event_time", "amount",
+        "IF(verdict <> 'ACCEPTED', value, NULL) AS value",
+        "IF(verdict = 'ACCEPTED', payload, NULL) AS payload",
     )
-    has_copies = not outcome.filter("copies > 1").isEmpty()
-    first_copy = (F.col("delivery") == F.col("first_delivery")) & (F.col("timestamp") == F.col("first_timestamp"))
-    events = wide.filter(F.col("event_inserted") & first_copy)
-    materialised = wide.filter(F.col("record_inserted") & first_copy)
-    if has_copies:
+    wide = scratch.save(wide, "wide")
+    events = wide.filter("event_inserted AND first_copy")
+    materialised = wide.filter("record_inserted AND first_copy")
+    if shape.copies > 1:
         events = events.dropDuplicates(["event_id"])
         materialised = materialised.dropDuplicates(["event_id"])
     records = record_rows(materialised, as_of)
 
-    detail = F.when(F.col("verdict") == "POSITION_CONFLICT", POSITION_CONFLICT).otherwise(PAYLOAD_CONFLICT)
     letter = [*POSITION, "timestamp", "key", "value", "reject_reason", "reject_detail", "business_date"]
-    conflicts = wide.filter("verdict <> 'ACCEPTED'").withColumn("reject_reason", F.lit("CONFLICT"))
-    dead = invalid.select(*letter).unionByName(conflicts.withColumn("reject_detail", detail).select(*letter))
+    conflicts = wide.filter("verdict <> 'ACCEPTED'").selectExpr(
+        *letter[:6],
+        "'CONFLICT' AS reject_reason",
+        f"IF(verdict = 'POSITION_CONFLICT', '{POSITION_CONFLICT}', '{PAYLOAD_CONFLICT}') AS reject_detail",
+        "business_date",
+    )
+    dead = invalid.select(*letter).unionByName(conflicts)
     return Projection(
         outcome=outcome,
         observations=new_observations(outcome, as_of),

@@ -21,7 +21,7 @@ from dayproof.operators.validity import validate_events
 from dayproof.settings import DEFAULTS, Settings
 from dayproof.sources.log import day_offset_ranges, partition_day_bounds, read_source_range
 from dayproof.sources.scratch import Scratch
-from dayproof.sources.tables import Store, latest_version
+from dayproof.sources.tables import Store, latest_version, layout
 
 NAME_LENGTH = 200
 SAME_REQUEST = ["from_date", "to_date", "dry_run", "requested_by"]
@@ -323,7 +323,7 @@ def current_job(store: Store, job_id: str):
 
 
 def _as_frame(store: Store, job) -> DataFrame:
-    return store.spark.createDataFrame([job], store.empty("jobs").schema)
+    return store.spark.createDataFrame([job], layout("jobs"))
 
 
 def run_job(
@@ -400,17 +400,18 @@ def _run_chunk(store, source, job, checkpoints, chunk, number, as_of, on_reject)
         rows = read_source_range(source, chunk)
         checked = scratch.save(validate_events(decode_events(rows), as_of), "checked")
         result = identity.project(checked, store.evidence(), as_of, scratch)
-        dead = scratch.save(result.dead_letters, "dead")
+        dead = result.dead_letters
         if on_reject == "fail" and not dead.isEmpty():
             worst = dead.select("reject_reason", "reject_detail").first()
             raise RejectedRows(f"{worst['reject_reason']}: {worst['reject_detail']}")
-        ledger, records = scratch.save(result.ledger, "ledger"), scratch.save(result.records, "records")
         frames = {
             "observations": result.observations,
-            "ledger": ledger,
-            "records": records,
+            "ledger": result.ledger,
+            "records": result.records,
             "dead_letters": dead,
-            "daily_changes": daily.daily_changes(result.observations, ledger, records, store.next_seq(), as_of),
+            "daily_changes": daily.daily_changes(
+                result.observations, result.ledger, result.records, store.next_seq(), as_of
+            ),
         }
     ends = spark.createDataFrame([(p, hi) for p, _, hi in chunk], "source_partition int, chunk_end long")
     counted = F.coalesce("found", F.lit(0).cast("long"))
@@ -420,6 +421,8 @@ def _run_chunk(store, source, job, checkpoints, chunk, number, as_of, on_reject)
         (F.lit(0).cast("long") if job["dry_run"] else counted).alias("processed"),
     )
     moved = scratch.save(advance_checkpoints(checkpoints, progress, as_of), "moved")
+    # Another worker may have taken the job over since this one started.
+    store.refresh()
     now = current_job(store, job_id)
     if now["status"] != "RUNNING" or now["attempt_count"] != attempt:
         raise StaleWorker(f"attempt {attempt} of replay job {job_id} is no longer current")
@@ -427,7 +430,7 @@ def _run_chunk(store, source, job, checkpoints, chunk, number, as_of, on_reject)
     totals = replay_totals(moved.unionByName(untouched))
     beat = _next(
         _as_frame(store, now).drop("discovered_events", "replayed_events").join(totals, ["job_id"]).select(
-            *store.empty("jobs").columns
+            *layout("jobs").names
         ),
         heartbeat_at=as_of,
     )

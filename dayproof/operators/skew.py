@@ -33,14 +33,19 @@ def attach(
     keys: list[str],
     spread_by: list[str],
     hot_rows: int = HOT_KEY_ROWS,
+    total: int | None = None,
 ) -> DataFrame:
     """Left join ``facts`` (unique on ``keys``, with a ``copies`` column) to ``rows``.
 
     Hot keys meet their fact through a bounded broadcast. In the shuffled join
     that serves all other keys, rows of hot keys carry a salt made of
-    ``spread_by``, so they scatter over all tasks instead of filling one.
+    ``spread_by``, so they scatter over all tasks instead of filling one. With a
+    known ``total`` of rows below the hot limit there can be no hot key, and the
+    join is a plain one.
     """
     values = [c for c in facts.columns if c not in keys and c != "copies"]
+    if total is not None and total < hot_rows:
+        return rows.join(facts.select(*keys, *values), keys, "left").select(*rows.columns, *values)
     packed = F.struct(*values)
     hot = F.broadcast(hottest(facts, keys, hot_rows).select(*keys, packed.alias("_hot")))
     cold = facts.select(*keys, packed.alias("_cold"), F.lit(0).alias("_salt"))

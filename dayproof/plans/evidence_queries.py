@@ -25,6 +25,12 @@ def project_log(spark: SparkSession, f: Fixture) -> identity.Projection:
     return identity.project(f.checked, identity.Evidence(), as_of(), Scratch(spark, "query"))
 
 
+def outcome_of(spark: SparkSession, valid: DataFrame, stored: identity.Evidence) -> DataFrame:
+    scratch = Scratch(spark, "query")
+    variants = scratch.save(identity.delivered_variants(valid), "variants")
+    return identity.resolve(variants, identity.batch_shape(variants), stored, scratch)
+
+
 def metrics_of(f: Fixture) -> DataFrame:
     return daily.build_daily_metrics(f.observations, f.ledger, f.records, f.aggregates)
 
@@ -136,7 +142,7 @@ def source_observations(spark, sf_dir):
 def projection_outcome(spark, sf_dir):
     f = fixture(spark, sf_dir)
     valid, _ = validity.split_valid(f.checked)
-    outcome = identity.resolve(valid, identity.Evidence(), Scratch(spark, "query"))
+    outcome = outcome_of(spark, valid, identity.Evidence())
     return outcome.select(
         "partition", "offset", "event_id", "copies", "verdict",
         "observation_inserted", "event_inserted", "record_inserted",
@@ -157,7 +163,7 @@ def redelivery_outcome(spark, sf_dir):
     f = fixture(spark, sf_dir)
     valid, _ = validity.split_valid(f.checked_again)
     stored = identity.Evidence(f.observations, f.ledger, f.records)
-    outcome = identity.resolve(valid, stored, Scratch(spark, "query"))
+    outcome = outcome_of(spark, valid, stored)
     return outcome.select(
         "partition", "offset", "verdict", "observation_inserted", "event_inserted", "record_inserted"
     )

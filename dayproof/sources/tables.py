@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from datetime import date
+from functools import cache
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from dayproof import schemas
 from dayproof.operators.identity import Evidence
@@ -34,15 +36,32 @@ BY_DATE = {"observations", "ledger", "records", "dead_letters", "reports"}
 COMMIT = "batch_id string, seq long, tables array<string>, supersedes array<string>"
 
 
+@cache
+def layout(table: str) -> StructType:
+    return StructType.fromDDL(TABLES[table])
+
+
 class Store:
+    """``commits`` are read once and kept; ``refresh`` looks again. A store's own
+    writes are always seen."""
+
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
+        self._commits: list | None = None
 
     # --- commits ---------------------------------------------------------------
 
+    def refresh(self) -> None:
+        self._commits = None
+
     def commits(self) -> list:
-        """All commit rows, oldest first: one per batch, kept few by ``compact``."""
+        """All commit rows, oldest first: one small row per batch."""
+        if self._commits is None:
+            self._commits = self._read_commits()
+        return self._commits
+
+    def _read_commits(self) -> list:
         try:
             stored = self.spark.read.schema(COMMIT).parquet(f"{self.root}/commits")
         except AnalysisException as error:
@@ -69,6 +88,7 @@ class Store:
     def commit(self, batch_id: str, seq: int, tables: list[str], supersedes: Iterable[str] = ()) -> None:
         row = self.spark.createDataFrame([(batch_id, seq, tables, list(supersedes))], COMMIT)
         row.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/commits/batch_id={batch_id}/")
+        self.refresh()
 
     # --- tables ----------------------------------------------------------------
 
@@ -80,8 +100,7 @@ class Store:
         self.commit(batch_id, seq, sorted(frames))
 
     def _write(self, table: str, batch_id: str, frame: DataFrame) -> None:
-        layout = self.spark.createDataFrame([], TABLES[table]).schema
-        frame = frame.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in layout])
+        frame = frame.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in layout(table)])
         path = f"{self.root}/{table}/batch_id={batch_id}"
         if table in BY_DATE:
             # Few files per date, and several for a date too big for one.
@@ -104,17 +123,17 @@ class Store:
         if not batches:
             return None
         frame = (
-            self.spark.read.schema(TABLES[table])
+            self.spark.read.schema(layout(table))
             .option("basePath", f"{self.root}/{table}")
             .parquet(*[f"{self.root}/{table}/batch_id={b}" for b in batches])
         )
-        frame = frame.select(*self.spark.createDataFrame([], TABLES[table]).columns)
+        frame = frame.select(*layout(table).names)
         if dates is not None:
             frame = frame.filter(F.col("business_date").between(*map(F.lit, dates)))
         return frame
 
     def empty(self, table: str) -> DataFrame:
-        return self.spark.createDataFrame([], TABLES[table])
+        return self.spark.createDataFrame([], layout(table))
 
     def read_or_empty(self, table: str, dates: tuple[date, date] | None = None) -> DataFrame:
         frame = self.read(table, dates)

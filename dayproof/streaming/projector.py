@@ -27,16 +27,17 @@ def project_batch(store: Store, rows: DataFrame, batch_id: str, as_of: Column) -
     scratch = Scratch(store.spark, batch_id)
     checked = scratch.save(validate_events(decode_events(rows), as_of), "checked")
     result = identity.project(checked, store.evidence(without=batch_id), as_of, scratch)
-    ledger, records = scratch.save(result.ledger, "ledger"), scratch.save(result.records, "records")
     seq = store.next_seq()
     store.append(
         batch_id,
         {
             "observations": result.observations,
-            "ledger": ledger,
-            "records": records,
+            "ledger": result.ledger,
+            "records": result.records,
             "dead_letters": result.dead_letters,
-            "daily_changes": daily.daily_changes(result.observations, ledger, records, seq, as_of),
+            "daily_changes": daily.daily_changes(
+                result.observations, result.ledger, result.records, seq, as_of
+            ),
         },
         seq,
     )
