@@ -38,7 +38,7 @@ def decode_events(source: DataFrame) -> DataFrame:
     event = F.from_json("value", EVENT_JSON, {"columnNameOfCorruptRecord": "_corrupt"})
     opened = source.withColumn("_e", event).select(
         *source.columns,
-        F.col("_e._corrupt").alias("_corrupt"),
+        (F.col("_e").isNull() | F.col("_e._corrupt").isNotNull()).alias("_corrupt"),
         F.lower("_e.eventId").alias("event_id"),
         F.col("_e.businessKey").alias("business_key"),
         F.col("_e.eventTime").alias("_time_text"),
@@ -51,7 +51,7 @@ def decode_events(source: DataFrame) -> DataFrame:
     )
     attributes = F.when(F.col("_attributes") != "null", F.col("_attributes"))
     error = (
-        F.when(F.col("value").isNull() | F.col("_corrupt").isNotNull(), "value is not a JSON object")
+        F.when(F.col("_corrupt"), "value is not a JSON object")
         .when(~F.col("event_id").rlike(UUID_TEXT), "eventId is not a UUID")
         .when(F.col("_time_text").isNotNull() & F.col("event_time").isNull(), "eventTime is not an instant")
         .when(
