@@ -57,8 +57,9 @@ class Projection(NamedTuple):
     aggregate_delta: DataFrame
 
 
-# Arrival order of rows, total over all variants.
-ARRIVAL = "struct(delivery, timestamp, partition, offset, event_id, payload_hash)"
+# Arrival order of rows. Variants of one position tie; they go by event id and hash.
+ARRIVAL = "struct(delivery, timestamp, partition, offset)"
+TOTAL_ORDER = "struct(delivery, timestamp, partition, offset, event_id, payload_hash)"
 NULL_TEXT = "CAST(NULL AS string)"
 
 
@@ -122,7 +123,7 @@ def position_losers(candidates: DataFrame, ledger: DataFrame | None, scratch: Sc
     """
     contested = contested_positions(candidates)
     events = candidates.join(contested, POSITION, "left_semi").select("event_id").distinct()
-    open_rows = candidates.join(events, ["event_id"], "left_semi").withColumn("arrived", F.expr(ARRIVAL))
+    open_rows = candidates.join(events, ["event_id"], "left_semi").withColumn("arrived", F.expr(TOTAL_ORDER))
     known = None if ledger is None else ledger.select("event_id", F.col("payload_hash").alias("event_hash"))
     # Rows that contradict the ledger never get a position.
     if known is not None:
@@ -170,7 +171,7 @@ def event_facts(
         F.expr(f"min({ARRIVAL}) AS first_arrival"), F.expr("count(*) AS copies")
     )
     by_event = by_payload.groupBy("event_id").agg(
-        F.expr("min_by(payload_hash, first_arrival) AS reference_hash")
+        F.expr("min_by(payload_hash, struct(first_arrival, payload_hash)) AS reference_hash")
     )
     known = _lookup(ledger, ["event_id", "payload_hash AS known_hash"], ["event_id"], by_event, small)
     held = _lookup(records, ["event_id", "true AS has_record"], ["event_id"], by_event, small)
@@ -215,6 +216,9 @@ def resolve(
         candidates = candidates.join(losers, VARIANT, "left_anti")
         lost = losers if lost is None else lost.unionByName(losers)
     facts = event_facts(candidates, existing.ledger, existing.records, small)
+    if shape.variants >= hot_rows:
+        # Both routes of the join read the facts.
+        facts = scratch.save(facts, "facts")
     judged = attach(candidates, facts, ["event_id", "payload_hash"], POSITION, hot_rows, shape.variants)
     first = f"{ARRIVAL} = first_arrival"
     common = [*VARIANT, "delivery", "timestamp", "copies"]

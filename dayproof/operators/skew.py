@@ -48,7 +48,10 @@ def attach(
         return rows.join(facts.select(*keys, *values), keys, "left").select(*rows.columns, *values)
     packed = F.struct(*values)
     hot = F.broadcast(hottest(facts, keys, hot_rows).select(*keys, packed.alias("_hot")))
-    cold = facts.select(*keys, packed.alias("_cold"), F.lit(0).alias("_salt"))
+    # Always 0, but not a literal: a constant would be folded into a filter and the
+    # salt would no longer be part of the hash that distributes the rows.
+    unsalted = F.expr("CASE WHEN copies < 0 THEN 1 ELSE 0 END").alias("_salt")
+    cold = facts.select(*keys, packed.alias("_cold"), unsalted)
     salt = F.when(
         F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int") + 1
     ).otherwise(0)

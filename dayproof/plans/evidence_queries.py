@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dayproof.functions.payload import decode_events, same_json
 from dayproof.operators import audit, daily, identity, reconcile, repair, triage, validity
 from dayproof.operators.alerts import outbox_for
+from dayproof.operators.skew import attach_by_count
 from dayproof.plans.catalog import query
 from dayproof.plans.fixture import Fixture, as_of, fixture, table
 from dayproof.plans.oracle_parts import FIXTURE, PAYLOAD, stamp, uuid_of
@@ -215,11 +216,10 @@ def payload_hashes(spark, sf_dir):
 def redelivered_payload_equality(spark, sf_dir):
     """Redelivered events are spelled differently and still equal as JSON once unknown fields are gone."""
     f = fixture(spark, sf_dir)
-    again = f.checked.join(f.ledger.select("event_id", F.col("payload").alias("stored"),
-                                           F.col("source_offset").alias("at"),
-                                           F.col("source_partition").alias("in_p")), ["event_id"])
-    later = again.filter((F.col("at") != F.col("offset")) & (F.col("reject_reason").isNull())
-                         & F.col("value").startswith('{"attributes"'))
+    stored = f.ledger.selectExpr("event_id", "payload AS stored")
+    respelled = f.checked.filter("reject_reason IS NULL").filter(F.col("value").startswith('{"attributes"'))
+    rows = respelled.select("event_id", "partition", "offset", "payload")
+    later = attach_by_count(rows, stored, ["event_id"], ["partition", "offset"])
     return later.agg(
         F.count(F.lit(1)).alias("pairs"),
         F.count(F.when(same_json(F.col("payload"), F.col("stored")), 1)).alias("same_events"),
