@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayproof.schemas import TOTAL
@@ -21,18 +21,26 @@ AMOUNTS = ["db_total_amount", "aggregate_amount"]
 MEASURES = COUNTS + AMOUNTS
 
 
-def _tagged(df: DataFrame, **given) -> DataFrame:
-    zero = {c: F.lit(0).cast("long") for c in COUNTS} | {a: F.lit(0).cast(TOTAL) for a in AMOUNTS}
-    return df.select("business_date", *[given.get(m, zero[m]).alias(m) for m in MEASURES])
+def _measure_type(name: str) -> str:
+    return TOTAL if name in AMOUNTS else "bigint"
+
+
+def _tagged(df: DataFrame, **given: str) -> DataFrame:
+    """The table with the measures it feeds (as SQL text) and zeros for the others."""
+    return df.selectExpr(
+        "business_date", *[f"CAST({given.get(m, '0')} AS {_measure_type(m)}) AS {m}" for m in MEASURES]
+    )
+
+
+def _summed() -> list[Column]:
+    return [F.expr(f"CAST(sum({m}) AS {_measure_type(m)}) AS {m}") for m in MEASURES]
 
 
 def _by_day(parts: list[DataFrame]) -> DataFrame:
     stacked = parts[0]
     for part in parts[1:]:
         stacked = stacked.unionByName(part)
-    return stacked.groupBy("business_date").agg(
-        *[F.sum(c).alias(c) for c in COUNTS], *[F.sum(a).cast(TOTAL).alias(a) for a in AMOUNTS]
-    )
+    return stacked.groupBy("business_date").agg(*_summed())
 
 
 def consumed_per_day(observations: DataFrame) -> DataFrame:
@@ -49,24 +57,21 @@ def records_per_day(records: DataFrame) -> DataFrame:
     )
 
 
+def _aggregate_part(aggregates: DataFrame) -> DataFrame:
+    return _tagged(aggregates, aggregate_record_count="record_count", aggregate_amount="total_amount")
+
+
 def build_daily_metrics(
     observations: DataFrame, ledger: DataFrame, records: DataFrame, aggregates: DataFrame | None = None
 ) -> DataFrame:
     """All daily measures of every date that occurs in any of the tables."""
-    one = F.lit(1).cast("long")
     parts = [
-        _tagged(observations, consumed_event_count=one),
-        _tagged(ledger, unique_event_count=one),
-        _tagged(records, db_record_count=one, db_total_amount=F.col("amount").cast(TOTAL)),
+        _tagged(observations, consumed_event_count="1"),
+        _tagged(ledger, unique_event_count="1"),
+        _tagged(records, db_record_count="1", db_total_amount="amount"),
     ]
     if aggregates is not None:
-        parts.append(
-            _tagged(
-                aggregates,
-                aggregate_record_count=F.col("record_count"),
-                aggregate_amount=F.col("total_amount").cast(TOTAL),
-            )
-        )
+        parts.append(_aggregate_part(aggregates))
     return _by_day(parts)
 
 
@@ -81,18 +86,8 @@ def date_spine(*tables: DataFrame) -> DataFrame:
 def sync_aggregate_metrics(metrics: DataFrame, aggregates: DataFrame) -> DataFrame:
     """Metrics with the aggregate columns taken over from the aggregate rows;
     a date whose aggregate row is gone shows zeros."""
-    fresh = _tagged(
-        aggregates,
-        aggregate_record_count=F.col("record_count"),
-        aggregate_amount=F.col("total_amount").cast(TOTAL),
-    )
-    kept = metrics.select(
-        "business_date",
-        *[F.lit(0).cast(TOTAL).alias(m) if m == "aggregate_amount"
-          else F.lit(0).cast("long").alias(m) if m == "aggregate_record_count"
-          else F.col(m) for m in MEASURES],
-    )
-    return _by_day([kept, fresh])
+    kept = _tagged(metrics, **{m: m for m in MEASURES if not m.startswith("aggregate")})
+    return _by_day([kept, _aggregate_part(aggregates)])
 
 
 def requested_dates(spark: SparkSession, dates: Iterable[date] | tuple[date, date]) -> DataFrame:
@@ -106,13 +101,11 @@ def requested_dates(spark: SparkSession, dates: Iterable[date] | tuple[date, dat
 
 def daily_metrics_for(metrics: DataFrame, dates: DataFrame) -> DataFrame:
     """The metrics row of each asked date; zeros where there is none."""
-    zero = {"amount": F.lit(0).cast(TOTAL), "count": F.lit(0).cast("long")}
     found = dates.join(metrics, ["business_date"], "left")
-    columns = [F.coalesce(c, zero["count"]).alias(c) for c in COUNTS]
-    columns += [F.coalesce(a, zero["amount"]).alias(a) for a in AMOUNTS]
+    columns = [f"coalesce({m}, CAST(0 AS {_measure_type(m)})) AS {m}" for m in MEASURES]
     if "updated_at" in metrics.columns:
-        columns.append(F.coalesce("updated_at", F.timestamp_seconds(F.lit(0))).alias("updated_at"))
-    return found.select("business_date", *columns)
+        columns.append("coalesce(updated_at, timestamp_seconds(0)) AS updated_at")
+    return found.selectExpr("business_date", *columns)
 
 
 # --- change log -----------------------------------------------------------------
@@ -122,18 +115,16 @@ def daily_changes(
     observations: DataFrame, ledger: DataFrame, records: DataFrame, seq: int, updated_at
 ) -> DataFrame:
     """What one batch adds per day. New records count in the aggregate as well."""
-    one = F.lit(1).cast("long")
-    amount = F.col("amount").cast(TOTAL)
     added = _by_day(
         [
-            _tagged(observations, consumed_event_count=one),
-            _tagged(ledger, unique_event_count=one),
+            _tagged(observations, consumed_event_count="1"),
+            _tagged(ledger, unique_event_count="1"),
             _tagged(
                 records,
-                db_record_count=one,
-                db_total_amount=amount,
-                aggregate_record_count=one,
-                aggregate_amount=amount,
+                db_record_count="1",
+                db_total_amount="amount",
+                aggregate_record_count="1",
+                aggregate_amount="amount",
             ),
         ]
     )
@@ -142,15 +133,7 @@ def daily_changes(
 
 def deletion_changes(deleted_records: DataFrame, seq: int, updated_at) -> DataFrame:
     """A deleted record lowers the record count and amount, not the aggregate."""
-    gone = _by_day(
-        [
-            _tagged(
-                deleted_records,
-                db_record_count=F.lit(-1).cast("long"),
-                db_total_amount=(-F.col("amount")).cast(TOTAL),
-            )
-        ]
-    )
+    gone = _by_day([_tagged(deleted_records, db_record_count="-1", db_total_amount="-amount")])
     return _as_change(gone, "DELTA", seq, updated_at)
 
 
@@ -160,9 +143,8 @@ def replacement_changes(metrics: DataFrame, seq: int, updated_at) -> DataFrame:
 
 
 def _as_change(measures: DataFrame, kind: str, seq: int, updated_at) -> DataFrame:
-    return measures.select(
-        "business_date", F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), *COUNTS, *AMOUNTS,
-        updated_at.alias("updated_at"),
+    return measures.withColumn("updated_at", updated_at).selectExpr(
+        "business_date", f"CAST({seq} AS bigint) AS seq", f"'{kind}' AS kind", *MEASURES, "updated_at"
     )
 
 
@@ -172,11 +154,7 @@ def fold_daily_changes(changes: DataFrame) -> DataFrame:
     live = changes.join(base, ["business_date"], "left").filter(
         F.col("base").isNull() | (F.col("seq") >= F.col("base"))
     )
-    return live.groupBy("business_date").agg(
-        *[F.sum(c).alias(c) for c in COUNTS],
-        *[F.sum(a).cast(TOTAL).alias(a) for a in AMOUNTS],
-        F.max("updated_at").alias("updated_at"),
-    )
+    return live.groupBy("business_date").agg(*_summed(), F.max("updated_at").alias("updated_at"))
 
 
 def aggregates_of(metrics: DataFrame) -> DataFrame:

@@ -37,27 +37,21 @@ COMPARISONS = [
 ]
 
 
-def issue(kind: str, expected: str, actual: str, advice: str, tolerance: Decimal) -> Column:
-    """The issue struct if the two sides differ, else null."""
-    delta = F.col(actual) - F.col(expected)
-    if kind == "DATABASE_VS_AGGREGATE_AMOUNT":
-        differs = F.abs(delta) > F.lit(tolerance)
-    else:
-        differs = delta != 0
-    found = F.struct(
-        F.lit(kind).alias("type"),
-        F.col(expected).cast("string").alias("expected"),
-        F.col(actual).cast("string").alias("actual"),
-        delta.cast("string").alias("delta"),
-        F.lit(advice).alias("action"),
-    )
-    return F.when(differs, found)
+def issue(kind: str, expected: str, actual: str, advice: str, tolerance: Decimal) -> str:
+    """SQL text: the issue struct if the two sides differ, else null. A count
+    differs when it is not equal, an amount when it is off by more than the tolerance."""
+    delta = f"({actual} - {expected})"
+    is_amount = kind == "DATABASE_VS_AGGREGATE_AMOUNT"
+    differs = f"abs({delta}) > CAST('{tolerance}' AS {TOTAL})" if is_amount else f"{delta} <> 0"
+    return f"""IF({differs}, named_struct('type', '{kind}', 'expected', string({expected}),
+        'actual', string({actual}), 'delta', string({delta}), 'action', "{advice}"), NULL)"""
 
 
 def compare(paired: DataFrame, tolerance: Decimal) -> DataFrame:
     """Add the ordered ``issues`` list and the ``status`` it implies."""
-    found = F.array_compact(F.array(*[issue(*c, tolerance) for c in COMPARISONS]))
-    return paired.withColumn("issues", found.cast(f"array<struct<{ISSUE}>>")).withColumn(
+    found = ", ".join(issue(*c, tolerance) for c in COMPARISONS)
+    ordered = F.expr(f"array_compact(array({found}))").cast(f"array<struct<{ISSUE}>>")
+    return paired.withColumn("issues", ordered).withColumn(
         "status", F.when(F.size("issues") == 0, "MATCHED").otherwise("MISMATCH")
     )
 

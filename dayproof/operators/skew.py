@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # At most this many keys take the broadcast route, so its size is bounded whatever
@@ -52,18 +52,13 @@ def attach(
     # salt would no longer be part of the hash that distributes the rows.
     unsalted = F.expr("CASE WHEN copies < 0 THEN 1 ELSE 0 END").alias("_salt")
     cold = facts.select(*keys, packed.alias("_cold"), unsalted)
-    salt = F.when(
-        F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int") + 1
-    ).otherwise(0)
+    salt = F.expr(f"IF(_hot IS NULL, 0, CAST(pmod(xxhash64({', '.join(spread_by)}), {SALTS}) AS int) + 1)")
     joined = (
         rows.join(hot, keys, "left")
         .withColumn("_salt", salt)
         .join(cold, [*keys, "_salt"], "left")
     )
-    found: list[Column] = [
-        F.coalesce(F.col(f"_hot.{v}"), F.col(f"_cold.{v}")).alias(v) for v in values
-    ]
-    return joined.select(*rows.columns, *found)
+    return joined.selectExpr(*rows.columns, *[f"coalesce(_hot.{v}, _cold.{v}) AS {v}" for v in values])
 
 
 def attach_by_count(

@@ -86,8 +86,13 @@ class Store:
         ]
 
     def commit(self, batch_id: str, seq: int, tables: list[str], supersedes: Iterable[str] = ()) -> None:
-        row = self.spark.createDataFrame([(batch_id, seq, tables, list(supersedes))], COMMIT)
-        row.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/commits/batch_id={batch_id}/")
+        row = self.spark.range(1, numPartitions=1).select(
+            F.lit(batch_id).alias("batch_id"),
+            F.lit(seq).cast("long").alias("seq"),
+            F.array(*map(F.lit, tables)).cast("array<string>").alias("tables"),
+            F.array(*map(F.lit, supersedes)).cast("array<string>").alias("supersedes"),
+        )
+        row.write.mode("overwrite").parquet(f"{self.root}/commits/batch_id={batch_id}/")
         self.refresh()
 
     # --- tables ----------------------------------------------------------------
@@ -100,7 +105,9 @@ class Store:
         self.commit(batch_id, seq, sorted(frames))
 
     def _write(self, table: str, batch_id: str, frame: DataFrame) -> None:
-        frame = frame.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in layout(table)])
+        frame = frame.selectExpr(
+            *[f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in layout(table)]
+        )
         path = f"{self.root}/{table}/batch_id={batch_id}"
         if table in BY_DATE:
             # Few files per date, and several for a date too big for one.
