@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +31,9 @@ def short_message(message: Column, fallback: Column, limit: int = 2000) -> Colum
     return F.substring(F.coalesce(message, fallback), 1, limit)
 
 
-def day_start_millis(day: Column) -> Column:
+def day_millis(day: date) -> int:
     """UTC midnight of a date, in epoch milliseconds (the log's own time unit)."""
-    return F.unix_millis(day.cast("timestamp"))
+    return int(datetime(day.year, day.month, day.day, tzinfo=timezone.utc).timestamp() * 1000)
 
 
 def business_date(timestamp: Column) -> Column:

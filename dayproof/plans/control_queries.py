@@ -84,6 +84,11 @@ def slo_report_timeliness(spark, sf_dir):
     return reports.report_timeliness(control.reports(spark, sf_dir)).drop("first_report_at")
 
 
+@query("get_report", "SELECT report_id, status, correlation_id FROM reports WHERE report_id = 'rep-7'", (REPORTS,))
+def get_report(spark, sf_dir):
+    return reports.get_report(control.reports(spark, sf_dir), "rep-7").select("report_id", "status", "correlation_id")
+
+
 # --- alerts ---------------------------------------------------------------------------
 
 
@@ -189,6 +194,11 @@ def dedupe_alert_consumer(spark, sf_dir):
     return alerts.dedupe_delivered(copies).select("alert_id")
 
 
+@query("alerts_for_report", f"SELECT {ALERT_STATE} FROM alerts WHERE report_id = 'rep-7'", (ALERTS,))
+def alerts_for_report(spark, sf_dir):
+    return alert_state(alerts.alerts_for_report(current_alerts(spark, sf_dir), "rep-7"))
+
+
 @query(
     "slo_alert_attempt",
     """SELECT alert_id, report_id, CAST(epoch(min(updated_at) - min(created_at)) AS BIGINT) AS delay_seconds,
@@ -256,6 +266,11 @@ def dispatchable_jobs(spark, sf_dir):
     return found.select("job_id", "status", "attempt_count", "requested_at")
 
 
+@query("get_job", "SELECT job_id, status, attempt_count FROM jobs WHERE job_id = 'job-7'", (JOBS,))
+def get_job(spark, sf_dir):
+    return replay.get_job(control.jobs(spark, sf_dir), "job-7").select("job_id", "status", "attempt_count")
+
+
 STALE = f"""stale AS (SELECT *, coalesce(heartbeat_at, started_at, requested_at) AS alive FROM jobs WHERE status = 'RUNNING'
        AND coalesce(heartbeat_at, started_at, requested_at) < {NOW} - INTERVAL 10 MINUTE)"""
 
@@ -403,6 +418,16 @@ def replay_dry_run(spark, sf_dir):
     return replay.count_range(f.log, [tuple(s) for s in spans])
 
 
+@query(
+    "job_checkpoints",
+    """SELECT source_partition, start_offset, next_offset, end_offset, status FROM checkpoints WHERE job_id = 'job-7'""",
+    (CHECKPOINTS,),
+)
+def job_checkpoints(spark, sf_dir):
+    found = replay.job_checkpoints(control.jobs(spark, sf_dir), control.checkpoints(spark, sf_dir), "job-7")
+    return found.select("source_partition", "start_offset", "next_offset", "end_offset", "status")
+
+
 @query(
     "replay_resume",
     "SELECT job_id, source_partition, next_offset, end_offset FROM checkpoints WHERE status <> 'COMPLETED'",

@@ -108,6 +108,17 @@ def dead_letter_coordinates(spark, sf_dir):
     return source_log.dead_letter_coordinates(fixture(spark, sf_dir).dead_letters)
 
 
+@query(
+    "dead_letter_messages",
+    """SELECT part AS "partition", ukey AS key, count(*) AS messages FROM dead GROUP BY ALL""",
+    FX,
+)
+def dead_letter_messages(spark, sf_dir):
+    """Messages for a dead-letter topic, on the partition they came from."""
+    messages = source_log.dead_letter_messages(fixture(spark, sf_dir).dead_letters)
+    return messages.groupBy("partition", "key").agg(F.count("value").alias("messages"))
+
+
 @query(
     "first_seen_events",
     f"""SELECT id AS event_id, CAST(bdate AS VARCHAR) AS business_date, {stamp('et')} AS event_time,
@@ -306,6 +317,22 @@ def date_spine(spark, sf_dir):
     return daily.date_spine(f.observations, f.ledger, f.records, f.aggregates)
 
 
+@query(
+    "incremental_metrics",
+    """SELECT CAST(m.bdate AS VARCHAR) AS business_date, consumed AS consumed_event_count, uniq AS unique_event_count, recs AS db_record_count,
+       e.cnt AS aggregate_record_count, CAST(rec_amount AS VARCHAR) AS db_total_amount, CAST(e.amt AS VARCHAR) AS aggregate_amount
+       FROM metrics m JOIN exact e ON e.bdate = m.bdate""",
+    FX,
+)
+def incremental_metrics(spark, sf_dir):
+    """Metrics from change rows: what the batch added, less the deleted records."""
+    f = fixture(spark, sf_dir)
+    added = daily.daily_changes(f.observations, f.ledger, f.all_records, 1, as_of())
+    gone = f.all_records.join(f.records.select("event_id"), ["event_id"], "left_anti")
+    changes = added.unionByName(daily.deletion_changes(gone, 2, as_of()))
+    return daily.fold_daily_changes(changes).drop("updated_at")
+
+
 @query(
     "sync_aggregate_metrics",
     """SELECT CAST(bdate AS VARCHAR) AS business_date, consumed AS consumed_event_count, uniq AS unique_event_count, recs AS db_record_count,

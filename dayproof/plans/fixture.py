@@ -207,20 +207,29 @@ def _build(spark: SparkSession, sf_dir: str) -> Fixture:
     scratch = Scratch(spark, "fixture")
     log = scratch.save(assign_offsets(faulty_deliveries(table(spark, sf_dir, "events")), scratch), "log")
     again = scratch.save(second_delivery(log), "again")
-    checked = scratch.save(validate_events(decode_events(log), as_of()), "checked")
-    checked_again = scratch.save(validate_events(decode_events(again), as_of()), "checked_again")
+    checked, checked_again = scratch.save_all(
+        {
+            "checked": validate_events(decode_events(log), as_of()),
+            "checked_again": validate_events(decode_events(again), as_of()),
+        }
+    )
     first = identity.project(checked, identity.Evidence(), as_of(), scratch)
     by_date = ["business_date"]
-    observations = scratch.save(first.observations, "observations", by_date)
-    ledger = scratch.save(first.ledger, "ledger", by_date)
-    all_records = scratch.save(first.records, "all_records", by_date)
+    observations, ledger, all_records = scratch.save_all(
+        {"observations": first.observations, "ledger": first.ledger, "all_records": first.records}, by_date
+    )
     second = identity.project(
         checked_again, identity.Evidence(observations, ledger, all_records), as_of(), scratch
     )
-    dead = scratch.save(first.dead_letters.unionByName(second.dead_letters), "dead_letters", by_date)
-    records = scratch.save(lose_records(all_records), "records", by_date)
-    exact = scratch.save(identity.aggregate_delta(all_records), "exact_aggregates")
-    aggregates = scratch.save(bend_aggregates(exact), "aggregates")
+    dead, records = scratch.save_all(
+        {
+            "dead_letters": first.dead_letters.unionByName(second.dead_letters),
+            "records": lose_records(all_records),
+        },
+        by_date,
+    )
+    exact = identity.aggregate_delta(all_records)
+    exact, aggregates = scratch.save_all({"exact": exact, "aggregates": bend_aggregates(exact)})
     days = daily.date_spine(observations).agg(F.min("business_date"), F.max("business_date")).first()
     return Fixture(
         log, again, checked, checked_again, observations, ledger, all_records, records, exact, aggregates, dead,

@@ -7,12 +7,12 @@ Kafka source. The ``kafka`` readers need the connector package on the cluster.
 from __future__ import annotations
 
 import json
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dayproof.functions.common import business_date
+from dayproof.functions.common import business_date, day_millis
 from dayproof.schemas import POSITION, SOURCE_LOG
 
 
@@ -86,6 +86,21 @@ def kafka_range(spark: SparkSession, kafka: dict[str, str], topic: str, ranges:
     return kafka_columns(frame)
 
 
+def kafka_days(spark: SparkSession, kafka: dict[str, str], topic: str, first: date, last: date) -> DataFrame:
+    """A live topic's rows of some days. The broker finds the day bounds by
+    timestamp, so nothing outside them is read."""
+    frame = (
+        spark.read.format("kafka")
+        .options(**kafka)
+        .option("subscribe", topic)
+        .option("startingTimestamp", day_millis(first))
+        .option("endingTimestamp", day_millis(last + timedelta(days=1)))
+        .option("startingOffsetsByTimestampStrategy", "latest")
+        .load()
+    )
+    return kafka_columns(frame)
+
+
 def log_days(source: DataFrame) -> tuple[date, date] | None:
     """First and last day in the log: two values, from column statistics where possible."""
     row = source.agg(

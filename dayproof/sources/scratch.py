@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +30,15 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+def run_together(actions: list[Callable[[], object]], at_once: int = 4) -> list:
+    """Run independent Spark actions side by side: the tail of one write leaves
+    executors free that the next can use. The first error is raised."""
+    if len(actions) < 2:
+        return [action() for action in actions]
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        return [done.result() for done in [pool.submit(action) for action in actions]]
+
+
 class Scratch:
     """A private subfolder for one run. Every table is written once and read
     back with a fixed schema, so recomputation after a lost executor restarts
@@ -35,11 +47,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
-        self._serial = 0
+        self._serial = itertools.count(1)
 
     def table_path(self, name: str) -> str:
-        self._serial += 1
-        return f"{self.path}/{self._serial:03d}-{name}"
+        return f"{self.path}/{next(self._serial):03d}-{name}"
 
     def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         path = self.table_path(name)
@@ -51,3 +62,7 @@ class Scratch:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def save_all(self, frames: dict[str, DataFrame], partition_by: list[str] | None = None) -> list[DataFrame]:
+        """Save tables that do not depend on each other."""
+        return run_together([lambda n=n, f=f: self.save(f, n, partition_by) for n, f in frames.items()])

@@ -8,17 +8,18 @@ One writer at a time; readers need no coordination.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Sequence
 from datetime import date
 from functools import cache
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from dayproof import schemas
 from dayproof.operators.identity import Evidence
+from dayproof.sources.scratch import run_together
 
 TABLES = {
     "observations": schemas.OBSERVATIONS,
@@ -85,7 +86,7 @@ class Store:
             if table in c["tables"] and f"{table}/{c['batch_id']}" not in gone
         ]
 
-    def commit(self, batch_id: str, seq: int, tables: list[str], supersedes: Iterable[str] = ()) -> None:
+    def commit(self, batch_id: str, seq: int, tables: list[str], supersedes: Sequence[str] = ()) -> None:
         row = self.spark.range(1, numPartitions=1).select(
             F.lit(batch_id).alias("batch_id"),
             F.lit(seq).cast("long").alias("seq"),
@@ -93,15 +94,16 @@ class Store:
             F.array(*map(F.lit, supersedes)).cast("array<string>").alias("supersedes"),
         )
         row.write.mode("overwrite").parquet(f"{self.root}/commits/batch_id={batch_id}/")
-        self.refresh()
+        if self._commits is not None:
+            mine = Row(batch_id=batch_id, seq=seq, tables=list(tables), supersedes=list(supersedes))
+            self._commits = [c for c in self._commits if c["batch_id"] != batch_id] + [mine]
 
     # --- tables ----------------------------------------------------------------
 
     def append(self, batch_id: str, frames: dict[str, DataFrame], seq: int | None = None) -> None:
         """Write all frames of a batch, then make them visible."""
         seq = self.next_seq() if seq is None else seq
-        for table, frame in frames.items():
-            self._write(table, batch_id, frame)
+        run_together([lambda t=t, f=f: self._write(t, batch_id, f) for t, f in frames.items()])
         self.commit(batch_id, seq, sorted(frames))
 
     def _write(self, table: str, batch_id: str, frame: DataFrame) -> None:
