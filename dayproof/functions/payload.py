@@ -22,6 +22,8 @@ INSTANT_TEXT = (
     r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})$"
 )
 EPOCH_SECONDS_TEXT = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"
+NEEDS_ESCAPE = r'[\x00-\x1f"\\]'
+NEGATIVE_TEXT = r"^\s*-[0.]*[1-9]"
 NUMBER_TEXT = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -44,18 +46,21 @@ def decode_events(source: DataFrame) -> DataFrame:
         F.col("_e.eventTime").alias("_time_text"),
         _instant(F.col("_e.eventTime")).alias("event_time"),
         F.try_variant_get("_e.amount", "$", "decimal(38,18)").alias("amount_exact"),
-        F.try_variant_get("_e.amount", "$", "double").alias("_amount_sign"),
         F.try_variant_get("_e.amount", "$", "string").alias("_amount_text"),
         F.to_json("_e.attributes").alias("_attributes"),
         (F.col("_e.amount").isNotNull() & ~F.is_variant_null("_e.amount")).alias("_has_amount"),
     )
     attributes = F.when(F.col("_attributes") != "null", F.col("_attributes"))
+    # The text is looked at only where the decimal does not settle the question.
+    text, exact = F.col("_amount_text"), F.col("amount_exact")
+    is_number = F.when(exact.isNotNull(), ~text.isin("true", "false")).otherwise(text.rlike(NUMBER_TEXT))
+    negative = (exact < 0) | (F.ltrim(text).startswith("-") & text.rlike(NEGATIVE_TEXT))
     error = (
         F.when(F.col("_corrupt"), "value is not a JSON object")
         .when(~F.col("event_id").rlike(UUID_TEXT), "eventId is not a UUID")
         .when(F.col("_time_text").isNotNull() & F.col("event_time").isNull(), "eventTime is not an instant")
         .when(
-            F.col("_has_amount") & ~F.coalesce(F.col("_amount_text").rlike(NUMBER_TEXT), F.lit(False)),
+            F.col("_has_amount") & ~F.coalesce(is_number, F.lit(False)),
             "amount is not a number",
         )
         .when(~attributes.startswith("{"), "attributes is not an object")
@@ -64,11 +69,11 @@ def decode_events(source: DataFrame) -> DataFrame:
         opened.withColumn("decode_error", error)
         .withColumn("attributes", attributes)
         .withColumn("amount", F.col("amount_exact").try_cast(MONEY))
-        .withColumn("amount_negative", (F.col("amount_exact") < 0) | (F.col("_amount_sign") < 0))
+        .withColumn("amount_negative", negative)
         .withColumn("amount_given", F.col("_has_amount"))
         .withColumn("payload", canonical_payload())
         .withColumn("payload_hash", payload_hash(F.col("payload")))
-        .drop("_corrupt", "_time_text", "_amount_sign", "_attributes", "_has_amount")
+        .drop("_corrupt", "_time_text", "_attributes", "_has_amount")
         .drop("_amount_text")
     )
 
@@ -76,12 +81,14 @@ def decode_events(source: DataFrame) -> DataFrame:
 def canonical_payload() -> Column:
     """Canonical JSON of the decoded event; unknown fields of the input are gone."""
     # Amounts that fit the stored scale have one spelling, without trailing zeros.
-    short = F.regexp_replace(F.col("amount").cast("string"), r"\.?0+$", "")
+    stored = F.col("amount").cast("string")
+    short = F.rtrim(F.rtrim(stored, F.lit("0")), F.lit("."))
     amount = F.when(F.col("amount_exact") == F.col("amount"), short).otherwise(F.col("_amount_text"))
-    key = F.to_json(F.struct(F.col("business_key").alias("businessKey")))
+    plain = F.concat(F.lit('"'), F.col("business_key"), F.lit('"'))
+    escaped = F.to_json(F.struct(F.col("business_key").alias("k")))
+    key = F.when(F.col("business_key").rlike(NEEDS_ESCAPE), escaped.substr(F.lit(6), F.length(escaped) - 6)).otherwise(plain)
     return F.concat(
-        F.lit('{"eventId":"'), F.col("event_id"), F.lit('",'),
-        key.substr(F.lit(2), F.length(key) - 2),
+        F.lit('{"eventId":"'), F.col("event_id"), F.lit('","businessKey":'), key,
         F.lit(',"eventTime":"'),
         F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"),
         F.lit('","amount":'), amount,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # At most this many keys take the broadcast route, so its size is bounded whatever
 # the data: any key outside the HOT_KEYS heaviest holds under 1/HOT_KEYS of the rows.
 HOT_KEYS = 1000
-HOT_KEY_ROWS = 50_000
+HOT_KEY_ROWS = 200_000
 SALTS = 512
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,8 @@ def field_violations() -> Column:
         (F.col("event_time").isNull(), "eventTime must not be null"),
     ]
     broken = F.array_compact(F.array(*[F.when(test, F.lit(text)) for test, text in rules]))
-    return F.when(F.size(broken) > 0, F.array_join(F.array_sort(broken), ", "))
+    any_broken = reduce(lambda left, right: left | right, [test for test, _ in rules])
+    return F.when(any_broken, F.array_join(F.array_sort(broken), ", "))
 
 
 def bad_source_position() -> Column:
@@ -57,7 +59,7 @@ def validate_events(decoded: DataFrame, as_of: Column) -> DataFrame:
     ``as_of`` is the processing time; an event more than five minutes ahead of
     it is refused. The first broken rule in this order gives the detail.
     """
-    fields = field_violations()
+    fields = F.col("_fields")
     detail = (
         F.when(F.col("decode_error").isNotNull(), F.concat(F.lit("unreadable: "), F.col("decode_error")))
         .when(fields.isNotNull(), F.concat(F.lit("invalid: "), fields))
@@ -66,7 +68,9 @@ def validate_events(decoded: DataFrame, as_of: Column) -> DataFrame:
         .when(storage_problem().isNotNull(), F.concat(F.lit("does not fit: "), storage_problem()))
     )
     return (
-        decoded.withColumn("reject_detail", detail)
+        decoded.withColumn("_fields", field_violations())
+        .withColumn("reject_detail", detail)
+        .drop("_fields")
         .withColumn("reject_reason", F.when(F.col("reject_detail").isNotNull(), "INVALID"))
         .withColumn("business_date", business_date(F.col("timestamp")))
     )

@@ -25,7 +25,7 @@ def check(spark, rows):
     return scratch.save(validate_events(decode_events(frame), now()), "checked")
 
 
-def run(spark, rows, existing=identity.Evidence(), hot_rows=50_000):
+def run(spark, rows, existing=identity.Evidence(), hot_rows=200_000):
     return identity.project(check(spark, rows), existing, now(), Scratch(spark, "test"), hot_rows)
 
 
@@ -132,7 +132,7 @@ def as_log(rows):
     ]
 
 
-def compare(spark, rows, existing_rows=None, hot_rows=50_000):
+def compare(spark, rows, existing_rows=None, hot_rows=200_000):
     existing, state = identity.Evidence(), ({}, {}, set())
     if existing_rows:
         first = run(spark, as_log(existing_rows))
