@@ -9,17 +9,18 @@ the log. Everything is stored once per session and input folder.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dayproof.functions.payload import decode_events
-from dayproof.operators import daily, identity
+from dayproof.operators import identity
 from dayproof.operators.validity import validate_events
 from dayproof.schemas import MONEY, TOTAL
 from dayproof.session import prepare_session
 from dayproof.settings import DEFAULTS
+from dayproof.sources import log as source_log
 from dayproof.sources.scratch import Scratch
 
 AS_OF = dt.datetime(2024, 2, 2, tzinfo=dt.timezone.utc)
@@ -172,66 +173,85 @@ def bend_aggregates(exact: DataFrame) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
 class Fixture:
-    log: DataFrame
-    again: DataFrame
-    checked: DataFrame
-    checked_again: DataFrame
-    observations: DataFrame
-    ledger: DataFrame
-    all_records: DataFrame
-    records: DataFrame
-    exact_aggregates: DataFrame
-    aggregates: DataFrame
-    dead_letters: DataFrame
-    first_day: dt.date
-    last_day: dt.date
+    """The derived tables of one input folder, each stored when first needed."""
 
-    @property
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+        self.scratch = Scratch(spark, "fixture")
+
+    @cached_property
+    def log(self) -> DataFrame:
+        rows = faulty_deliveries(table(self.spark, self.sf_dir, "events"))
+        return self.scratch.save(assign_offsets(rows, self.scratch), "log")
+
+    @cached_property
+    def again(self) -> DataFrame:
+        return self.scratch.save(second_delivery(self.log), "again")
+
+    @cached_property
+    def checked(self) -> DataFrame:
+        return self.scratch.save(validate_events(decode_events(self.log), as_of()), "checked")
+
+    @cached_property
+    def checked_again(self) -> DataFrame:
+        return self.scratch.save(validate_events(decode_events(self.again), as_of()), "checked_again")
+
+    @cached_property
+    def first(self) -> identity.Projection:
+        return identity.project(self.checked, identity.Evidence(), as_of(), self.scratch)
+
+    @cached_property
     def evidence(self) -> identity.Evidence:
-        return identity.Evidence(self.observations, self.ledger, self.all_records)
+        """Everything the first delivery left, undamaged."""
+        made = {"observations": self.first.observations, "ledger": self.first.ledger, "records": self.first.records}
+        return identity.Evidence(*self.scratch.save_all(made, ["business_date"]))
+
+    @property
+    def observations(self) -> DataFrame:
+        return self.evidence.observations
+
+    @property
+    def ledger(self) -> DataFrame:
+        return self.evidence.ledger
 
+    @property
+    def all_records(self) -> DataFrame:
+        return self.evidence.records
+
+    @cached_property
+    def records(self) -> DataFrame:
+        return self.scratch.save(lose_records(self.all_records), "kept_records", ["business_date"])
+
+    @cached_property
+    def aggregates(self) -> DataFrame:
+        exact = identity.aggregate_delta(self.all_records)
+        return self.scratch.save(bend_aggregates(exact), "aggregates")
 
-_built: dict[tuple[str, str], Fixture] = {}
+    @cached_property
+    def dead_letters(self) -> DataFrame:
+        second = identity.project(self.checked_again, self.evidence, as_of(), self.scratch)
+        letters = self.first.dead_letters.unionByName(second.dead_letters)
+        return self.scratch.save(letters, "dead_letters", ["business_date"])
+
+    @cached_property
+    def days(self) -> tuple[dt.date, dt.date]:
+        return source_log.log_days(self.log)
+
+    @property
+    def first_day(self) -> dt.date:
+        return self.days[0]
+
+    @property
+    def last_day(self) -> dt.date:
+        return self.days[1]
+
+
+_fixtures: dict[tuple[str, str], Fixture] = {}
 
 
 def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _built:
-        _built[key] = _build(prepare_session(spark), sf_dir)
-    return _built[key]
-
-
-def _build(spark: SparkSession, sf_dir: str) -> Fixture:
-    scratch = Scratch(spark, "fixture")
-    log = scratch.save(assign_offsets(faulty_deliveries(table(spark, sf_dir, "events")), scratch), "log")
-    again = scratch.save(second_delivery(log), "again")
-    checked, checked_again = scratch.save_all(
-        {
-            "checked": validate_events(decode_events(log), as_of()),
-            "checked_again": validate_events(decode_events(again), as_of()),
-        }
-    )
-    first = identity.project(checked, identity.Evidence(), as_of(), scratch)
-    by_date = ["business_date"]
-    observations, ledger, all_records = scratch.save_all(
-        {"observations": first.observations, "ledger": first.ledger, "all_records": first.records}, by_date
-    )
-    second = identity.project(
-        checked_again, identity.Evidence(observations, ledger, all_records), as_of(), scratch
-    )
-    dead, records = scratch.save_all(
-        {
-            "dead_letters": first.dead_letters.unionByName(second.dead_letters),
-            "records": lose_records(all_records),
-        },
-        by_date,
-    )
-    exact = identity.aggregate_delta(all_records)
-    exact, aggregates = scratch.save_all({"exact": exact, "aggregates": bend_aggregates(exact)})
-    days = daily.date_spine(observations).agg(F.min("business_date"), F.max("business_date")).first()
-    return Fixture(
-        log, again, checked, checked_again, observations, ledger, all_records, records, exact, aggregates, dead,
-        days[0], days[1],
-    )
+    if key not in _fixtures:
+        _fixtures[key] = Fixture(prepare_session(spark), sf_dir)
+    return _fixtures[key]

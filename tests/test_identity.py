@@ -153,14 +153,14 @@ def compare(spark, rows, existing_rows=None, hot_rows=200_000):
     assert result.dead_letters.count() == sum(v != "ACCEPTED" for v in expected.values())
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_random_log_with_duplicates_and_conflicts(spark, seed):
     rng = random.Random(seed)
     rows = [(p, o, rng.randrange(12), rng.choice([1, 1, 1, 2]), o) for p in range(3) for o in range(20)]
     compare(spark, rows)
 
 
-@pytest.mark.parametrize("seed", [3, 4, 5])
+@pytest.mark.parametrize("seed", [3, 4])
 def test_random_contested_positions(spark, seed):
     """Positions filled with several events within one batch, where a refused row
     frees its position or its event for a later one."""
@@ -172,7 +172,7 @@ def test_random_contested_positions(spark, seed):
     compare(spark, list(rows.values()))
 
 
-@pytest.mark.parametrize("seed", [6, 7])
+@pytest.mark.parametrize("seed", [6])
 def test_random_batch_against_stored_evidence(spark, seed):
     rng = random.Random(seed)
     before = [(0, o, rng.randrange(8), 1, o) for o in range(10)]

@@ -126,19 +126,25 @@ def source(spark, tmp_path_factory):
     return spark.read.schema(schemas.SOURCE_LOG).parquet(path)
 
 
-def new_store(spark, folder, source, lose="source_offset % 4 = 0"):
-    """A store with the first day projected and some of its records lost again."""
+@pytest.fixture(scope="module")
+def damaged(spark, tmp_path_factory, source):
+    """The first day projected, with some of its records lost again."""
+    store = Store(spark, str(tmp_path_factory.mktemp("base")))
+    project_batch(store, source.filter("timestamp < '2026-07-17'"), "p-0", now())
+    lost = "hash(event_id) % 4 = 0"
+    records = store.read("records")
+    changes = store.read("daily_changes").unionByName(daily.deletion_changes(records.filter(lost), 2, now()))
+    assert not records.filter(lost).isEmpty()
+    return {
+        "observations": store.read("observations"), "ledger": store.read("ledger"),
+        "records": records.filter(f"NOT ({lost})"), "daily_changes": changes,
+    }
+
+
+def new_store(spark, folder, damaged):
     store = Store(spark, str(folder))
-    first_day = source.filter("timestamp < '2026-07-17'")
-    project_batch(store, first_day, "p-0", now())
-    lost = store.read("ledger").filter(lose).select("event_id")
-    kept = store.read("records").join(lost, ["event_id"], "left_anti")
-    gone = store.read("records").join(lost, ["event_id"], "left_semi")
-    changes = store.read("daily_changes").unionByName(daily.deletion_changes(gone, 2, now()))
-    observations, ledger = store.read("observations"), store.read("ledger")
-    damaged = Store(spark, str(folder) + "-damaged")
-    damaged.append("initial", {"observations": observations, "ledger": ledger, "records": kept, "daily_changes": changes}, 2)
-    return damaged
+    store.append("initial", damaged, 2)
+    return store
 
 
 def ask(store, job_id="j", dry=False, last=DAY):
@@ -160,8 +166,8 @@ def outcome(store, job_id="j"):
 
 
 @pytest.fixture(scope="module")
-def straight(spark, tmp_path_factory, source):
-    store = new_store(spark, tmp_path_factory.mktemp("straight"), source)
+def straight(spark, tmp_path_factory, source, damaged):
+    store = new_store(spark, tmp_path_factory.mktemp("straight"), damaged)
     ask(store)
     assert replay.run_job(store, source, "j", now(), SMALL) == "COMPLETED"
     return store
@@ -177,8 +183,8 @@ def test_replay_rebuilds_lost_records_and_validates(straight):
     assert straight.read_or_empty("alerts").count() == 0
 
 
-def test_stopped_worker_resumes_where_it_was(spark, tmp_path, source, straight):
-    store = new_store(spark, tmp_path / "s", source)
+def test_stopped_worker_resumes_where_it_was(spark, tmp_path, source, damaged, straight):
+    store = new_store(spark, tmp_path / "s", damaged)
     ask(store)
 
     def stop(chunk):
@@ -199,8 +205,8 @@ def test_stopped_worker_resumes_where_it_was(spark, tmp_path, source, straight):
     assert replay.run_job(store, source, "j", now(), SMALL) == "COMPLETED"
 
 
-def test_dry_run_only_counts(spark, tmp_path, source):
-    store = new_store(spark, tmp_path / "s", source)
+def test_dry_run_only_counts(spark, tmp_path, source, damaged):
+    store = new_store(spark, tmp_path / "s", damaged)
     before = store.read("records").count()
     ask(store, dry=True)
     assert replay.run_job(store, source, "j", now()) == "COMPLETED"
@@ -210,9 +216,9 @@ def test_dry_run_only_counts(spark, tmp_path, source):
     assert store.read("records").count() == before and store.read("reports") is None
 
 
-def test_refused_rows_fail_the_job_or_go_to_dead_letters(spark, tmp_path, source):
+def test_refused_rows_fail_the_job_or_go_to_dead_letters(spark, tmp_path, source, damaged):
     bad = source.withColumn("value", F.when(F.col("offset") == 7, "junk").otherwise(F.col("value")))
-    store = new_store(spark, tmp_path / "s", source)
+    store = new_store(spark, tmp_path / "s", damaged)
     ask(store)
     assert replay.run_job(store, bad, "j", now(), SMALL) == "FAILED"
     assert "INVALID" in replay.current_job(store, "j")["error_message"]
@@ -222,8 +228,8 @@ def test_refused_rows_fail_the_job_or_go_to_dead_letters(spark, tmp_path, source
     assert store.read("dead_letters").count() == 2
 
 
-def test_a_worker_that_lost_its_job_writes_nothing(spark, tmp_path, source):
-    store = new_store(spark, tmp_path / "s", source)
+def test_a_worker_that_lost_its_job_writes_nothing(spark, tmp_path, source, damaged):
+    store = new_store(spark, tmp_path / "s", damaged)
     ask(store)
 
     def taken_over(chunk):
