@@ -384,16 +384,16 @@ def _run_chunks(store, source, job, as_of, settings, on_reject, after_chunk) ->
             (r["source_partition"], r["next_offset"], min(r["next_offset"] + settings.replay_chunk_offsets, r["end_offset"]))
             for r in left
         ]
-        _run_chunk(store, source, job, checkpoints, chunk, number, as_of, on_reject)
+        with Scratch(store.spark, f"replay-{job['job_id']}") as scratch:
+            _run_chunk(store, source, job, checkpoints, chunk, number, as_of, on_reject, scratch)
         stored = store.read("checkpoints").filter(F.col("job_id") == job["job_id"])
         checkpoints = latest_version(stored, ["job_id", "source_topic", "source_partition"])
         if after_chunk is not None:
             after_chunk(number)
 
 
-def _run_chunk(store, source, job, checkpoints, chunk, number, as_of, on_reject) -> None:
+def _run_chunk(store, source, job, checkpoints, chunk, number, as_of, on_reject, scratch) -> None:
     spark, job_id, attempt = store.spark, job["job_id"], job["attempt_count"]
-    scratch = Scratch(spark, f"replay-{job_id}")
     frames: dict[str, DataFrame] = {}
     found = scratch.save(count_range(source, chunk), "found")
     if not job["dry_run"]:
@@ -453,5 +453,6 @@ def _repair_and_validate(store, source, job, as_of, settings) -> None:
 
 def append_reports(store: Store, reports: DataFrame, batch_id: str, settings: Settings = DEFAULTS) -> None:
     """Reports and their outbox rows, visible together."""
-    reports = Scratch(store.spark, "reports").save(reports, "reports")
-    store.append(batch_id, {"reports": reports, "alerts": outbox_for(reports, settings.channels)})
+    with Scratch(store.spark, "reports") as scratch:
+        reports = scratch.save(reports, "reports")
+        store.append(batch_id, {"reports": reports, "alerts": outbox_for(reports, settings.channels)})

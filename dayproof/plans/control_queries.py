@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from dayproof.functions.common import explode_dates, settlement_date
-from dayproof.operators import alerts, audit, daily, identity, replay, reports, triage
+from dayproof.operators import alerts, audit, daily, replay, reports, triage
 from dayproof.plans import control
 from dayproof.plans.catalog import query
 from dayproof.plans.evidence_queries import ranges_of

@@ -12,7 +12,7 @@ from dayproof.operators import audit, daily, identity, reconcile, repair, triage
 from dayproof.operators.alerts import outbox_for
 from dayproof.operators.skew import attach_by_count
 from dayproof.plans.catalog import query
-from dayproof.plans.fixture import Fixture, as_of, fixture, table
+from dayproof.plans.fixture import Fixture, as_of, fixture
 from dayproof.plans.oracle_parts import FIXTURE, PAYLOAD, stamp, uuid_of
 from dayproof.sources import log as source_log
 from dayproof.sources.scratch import Scratch

@@ -66,3 +66,15 @@ class Scratch:
     def save_all(self, frames: dict[str, DataFrame], partition_by: list[str] | None = None) -> list[DataFrame]:
         """Save tables that do not depend on each other."""
         return run_together([lambda n=n, f=f: self.save(f, n, partition_by) for n, f in frames.items()])
+
+    def drop(self) -> None:
+        """Delete this run's own folder, once nothing reads from it any more."""
+        context = self.spark.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()

@@ -24,23 +24,22 @@ def project_batch(store: Store, rows: DataFrame, batch_id: str, as_of: Column) -
     left alone; one that was interrupted is written again under the same id."""
     if store.is_committed(batch_id):
         return
-    scratch = Scratch(store.spark, batch_id)
-    checked = scratch.save(validate_events(decode_events(rows), as_of), "checked")
-    result = identity.project(checked, store.evidence(without=batch_id), as_of, scratch)
-    seq = store.next_seq()
-    store.append(
-        batch_id,
-        {
-            "observations": result.observations,
-            "ledger": result.ledger,
-            "records": result.records,
-            "dead_letters": result.dead_letters,
-            "daily_changes": daily.daily_changes(
-                result.observations, result.ledger, result.records, seq, as_of
-            ),
-        },
-        seq,
-    )
+    with Scratch(store.spark, batch_id) as scratch:
+        checked = scratch.save(validate_events(decode_events(rows), as_of), "checked")
+        result = identity.project(checked, store.evidence(without=batch_id), as_of, scratch)
+        seq = store.next_seq()
+        changes = daily.daily_changes(result.observations, result.ledger, result.records, seq, as_of)
+        store.append(
+            batch_id,
+            {
+                "observations": result.observations,
+                "ledger": result.ledger,
+                "records": result.records,
+                "dead_letters": result.dead_letters,
+                "daily_changes": changes,
+            },
+            seq,
+        )
 
 
 def start_projector(

@@ -1,4 +1,5 @@
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from conftest import CLOCK, UTC, event_json, log_row
@@ -27,6 +28,14 @@ def test_scratch_lives_in_the_configured_folder(spark):
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
+def test_scratch_is_gone_after_its_run(spark):
+    with Scratch(spark, "x") as scratch:
+        assert scratch.save(spark.range(3), "t").count() == 3
+        folder = Path(scratch.path)
+        assert folder.exists()
+    assert not folder.exists()
+
+
 def test_a_batch_is_visible_only_after_its_commit(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     assert store.read("audit") is None
