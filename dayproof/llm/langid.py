@@ -1,19 +1,24 @@
 """Operator 6: language identification by compression.
 
-For each language a raw-content zstandard dictionary is made from a bounded sample of its
-texts: the text with the smallest hash in each of SLOTS slots, at most DICTIONARY_BYTES in
-all. A text is compressed, whole, with every dictionary; the smallest output names the
-language. If the runner-up is not larger by MARGIN_BYTES and MARGIN_SHARE of the smallest,
-the decision is marked ``rejected`` (``lang_or_und`` is then ``und``).
+Texts are reduced to words of letters: A-Z in lower case, other ASCII characters as one
+space. For each language a raw-content zstandard dictionary is made from a bounded sample
+of its texts (the one with the smallest hash in each of SLOTS slots): its words, those of
+most texts last and so nearest, up to DICTIONARY_BYTES. A text is compressed, whole, with
+every dictionary; the smallest output names the language. If the runner-up is not larger by
+MARGIN_BYTES and MARGIN_SHARE of the smallest, the decision is marked ``rejected``
+(``lang_or_und`` is then ``und``).
 
 Defined cases: a null text and one without any letter are ``und`` with score 0; a null
-language teaches nothing; equal sizes go to the alphabetically first language; without
+language teaches nothing; equal sizes go to the language with most
+sampled words; without
 any language to learn, all is ``und``; repeated rows are judged once each; an empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -24,29 +29,36 @@ from dayproof.llm.common import fold
 from dayproof.llm.textscan import blocks
 
 SLOTS = 192
-DICTIONARY_BYTES = 96 << 10
-LEVEL = 3
+DICTIONARY_BYTES = 32 << 10
+LEVEL = 6
 MARGIN_BYTES = 2
 MARGIN_SHARE = 0.005
 FOLDS, HELD_OUT = 5, 0
 
+_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def letters_only(text: bytes) -> bytes:
+    return b" ".join(text.translate(_LETTERS).split())
+
 
 def make_dictionary(texts: list[bytes], limit: int = DICTIONARY_BYTES) -> bytes:
-    """Whole texts up to ``limit`` bytes, those of middle length first; one text too long
-    for that is left out. Later content lies nearer to the data, so it is cheaper to refer to."""
-    middle = sorted(len(t) for t in texts)[len(texts) // 2] if texts else 0
+    """The words of most texts, up to ``limit`` bytes, the commonest at the end."""
+    counts: Counter[bytes] = Counter()
+    for text in texts:
+        counts.update(set(letters_only(text).split()))
     chosen, size = [], 0
-    for text in sorted(texts, key=lambda t: (abs(len(t) - middle), t)):
-        if size + len(text) <= limit:
-            chosen.append(text)
-            size += len(text)
-    if not chosen and texts:
-        chosen = [min(texts, key=len)[-limit:]]
-    return b"\n".join(reversed(chosen))
+    for word, _ in sorted(counts.items(), key=lambda c: (-c[1], c[0])):
+        size += len(word) + 1
+        if size > limit:
+            break
+        chosen.append(word)
+    return b" ".join(reversed(chosen))
 
 
 def train_dictionaries(docs: DataFrame) -> dict[str, bytes]:
-    """Dictionary of each language; rows of the held-out fold teach nothing."""
+    """Dictionary of each language, the one with most sampled words first; rows of the
+    held-out fold teach nothing."""
     order = F.xxhash64("doc_id", F.lit("lang"))
     learnt = docs.where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & (F.col("text") != "") & F.col("doc_id").isNotNull())
     chosen = (
@@ -57,16 +69,17 @@ def train_dictionaries(docs: DataFrame) -> dict[str, bytes]:
 
     def build(table: pa.Table) -> pa.Table:
         texts = [t.encode() for t in sorted(set(table["text"].to_pylist()))]
-        return pa.table({"lang": [table["lang"][0].as_py()], "dictionary": pa.array([make_dictionary(texts)], pa.binary())})
+        words = sum(len(letters_only(t).split()) for t in texts)
+        return pa.table({"lang": [table["lang"][0].as_py()], "words": [words], "dictionary": pa.array([make_dictionary(texts)], pa.binary())})
 
     # At most SLOTS texts for each language: a bounded broadcast of ids, and a bounded group.
-    rows = learnt.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").groupBy("lang").applyInArrow(build, "lang string, dictionary binary").collect()
-    return {r["lang"]: bytes(r["dictionary"]) for r in sorted(rows, key=lambda r: r["lang"])}
+    rows = learnt.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").groupBy("lang").applyInArrow(build, "lang string, words long, dictionary binary").collect()
+    return {r["lang"]: bytes(r["dictionary"]) for r in sorted(rows, key=lambda r: (-r["words"], r["lang"])) if r["dictionary"]}
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """doc_id, lang_pred, score, rejected, lang_or_und of every row of ``docs`` (doc_id, text)."""
-    languages = sorted(dictionaries)
+    languages = list(dictionaries)
 
     def judge(batches):
         compressors = []
@@ -85,7 +98,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
                 if not languages or not (lettered[i] or any(map(str.isalpha, text.decode("utf-8", "replace")))):
                     names.append("und"), scores.append(0.0), rejected.append(True)
                     continue
-                sizes = np.array([len(c.compress(text)) for c in compressors])
+                words = letters_only(text)
+                sizes = np.array([len(c.compress(words)) for c in compressors])
                 best = int(sizes.argmin())
                 share = np.exp2((sizes[best] - sizes) / 2.0)
                 second = np.sort(sizes)[1] if len(sizes) > 1 else sizes[best] * 2 + 8
