@@ -10,7 +10,7 @@ MARGIN_BYTES and MARGIN_SHARE of the smallest, the decision is marked ``rejected
 
 Defined cases: a null text and one without any letter are ``und`` with score 0; a null
 language teaches nothing; equal sizes go to the language with most
-sampled words; without
+learnt texts; without
 any language to learn, all is ``und``; repeated rows are judged once each; an empty table
 gives an empty result.
 """
@@ -57,24 +57,23 @@ def make_dictionary(texts: list[bytes], limit: int = DICTIONARY_BYTES) -> bytes:
 
 
 def train_dictionaries(docs: DataFrame) -> dict[str, bytes]:
-    """Dictionary of each language, the one with most sampled words first; rows of the
+    """Dictionary of each language, the one with most learnt texts first; rows of the
     held-out fold teach nothing."""
     order = F.xxhash64("doc_id", F.lit("lang"))
     learnt = docs.where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & (F.col("text") != "") & F.col("doc_id").isNotNull())
     chosen = (
         learnt.select("lang", "doc_id", F.pmod(order, F.lit(SLOTS)).alias("slot"), order.alias("hash"))
-        .groupBy("lang", "slot").agg(F.min_by("doc_id", F.struct("hash", "doc_id")).alias("doc_id"))
-        .select("doc_id").distinct()
+        .groupBy("lang", "slot").agg(F.min_by("doc_id", F.struct("hash", "doc_id")).alias("doc_id"), F.count(F.lit(1)).alias("texts"))
+        .groupBy("doc_id", "lang").agg(F.sum("texts").alias("texts"))
     )
 
     def build(table: pa.Table) -> pa.Table:
         texts = [t.encode() for t in sorted(set(table["text"].to_pylist()))]
-        words = sum(len(letters_only(t).split()) for t in texts)
-        return pa.table({"lang": [table["lang"][0].as_py()], "words": [words], "dictionary": pa.array([make_dictionary(texts)], pa.binary())})
+        return pa.table({"lang": [table["lang"][0].as_py()], "texts": [sum(table["texts"].to_pylist())], "dictionary": pa.array([make_dictionary(texts)], pa.binary())})
 
     # At most SLOTS texts for each language: a bounded broadcast of ids, and a bounded group.
-    rows = learnt.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").groupBy("lang").applyInArrow(build, "lang string, words long, dictionary binary").collect()
-    return {r["lang"]: bytes(r["dictionary"]) for r in sorted(rows, key=lambda r: (-r["words"], r["lang"])) if r["dictionary"]}
+    rows = learnt.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang").applyInArrow(build, "lang string, texts long, dictionary binary").collect()
+    return {r["lang"]: bytes(r["dictionary"]) for r in sorted(rows, key=lambda r: (-r["texts"], r["lang"])) if r["dictionary"]}
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
