@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dayproof.llm import chat, exact, langid, neardup, packing, quality_embed, rules
+from dayproof.llm import chat, exact, langid, lm, neardup, packing, quality_embed, rules
 from dayproof.llm.common import keep_session_batches, ship_code, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op10_lm_scores")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))

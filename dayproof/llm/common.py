@@ -27,8 +27,9 @@ def packed(df: DataFrame, name: str = "row") -> Column:
 
 
 def keep_session_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of bounded row count; long texts then stay within a worker's memory."""
+    """Arrow batches bounded by rows and bytes; long texts then stay within a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 _shipped: set[str] = set()
