@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dayproof.llm import chat, exact, langid, lm, neardup, packing, quality_embed, rules
+from dayproof.llm import chat, exact, langid, lm, neardup, packing, quality_embed, rules, warc
 from dayproof.llm.common import keep_session_batches, ship_code, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,25 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op4_warc_fixity", r"""
+WITH b AS (
+  SELECT page_id, coalesce(url, '') AS uri, coalesce(CAST(page_id AS VARCHAR), 'null') AS name,
+    'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS block,
+    chr(13) || chr(10) AS nl
+  FROM pages
+), r AS (
+  SELECT page_id, 'WARC/1.1' || nl || 'WARC-Type: response' || nl || 'WARC-Record-ID: <urn:md5:' || md5(name || ' ' || uri) || '>' || nl
+    || 'WARC-Date: 2024-01-01T00:00:00Z' || nl || 'WARC-Target-URI: ' || uri || nl || 'Content-Type: application/http; msgtype=response' || nl
+    || 'Content-Length: ' || strlen(block) || nl || nl || block AS record
+  FROM b
+), h AS (SELECT page_id, strlen(record) + 4 AS length, sha256(record) AS record_sha256 FROM r)
+SELECT page_id, CASE WHEN left(record_sha256, 2) = '02' THEN 'missing' ELSE 'altered' END AS kind, length, record_sha256
+FROM h WHERE left(record_sha256, 2) IN ('00', '01', '02')
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.fixity_report(table(spark, sf_dir, "pages"))
+
+
 @query("op5_chat_format", r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
