@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dayproof.llm import chat, exact, langid, lm, neardup, packing, quality_embed, rules, warc
+from dayproof.llm import chat, exact, langid, lm, neardup, packing, pieces, quality_embed, rules, warc
 from dayproof.llm.common import keep_session_batches, ship_code, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_embed.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op2_sentencepiece_nbest")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.nbest_digests(table(spark, sf_dir, "documents"))
+
+
 @query("op3_near_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
