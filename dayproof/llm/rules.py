@@ -59,6 +59,8 @@ def repeated_words(hashes: np.ndarray, first: np.ndarray, size: int = WINDOW) ->
 
 def duplicate_lines(block: Block) -> np.ndarray:
     """Lines with a word that equal an earlier line of their document, byte for byte."""
+    if not len(block.data):
+        return np.zeros(len(block), np.int64)
     breaks = np.flatnonzero(block.data == 10)
     starts = np.union1d(breaks + 1, block.bounds[:-1])
     starts = starts[starts < len(block.data)]
