@@ -17,11 +17,11 @@ EVENT_JSON = (
     "attributes variant, _corrupt string"
 )
 
-UUID_TEXT = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+UUID_TEXT = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\z"
 INSTANT_TEXT = (
-    r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})$"
+    r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})\z"
 )
-EPOCH_SECONDS_TEXT = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"
+EPOCH_SECONDS_TEXT = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?\z"
 NEEDS_ESCAPE = r'[\x00-\x1f"\\]'
 NEGATIVE_TEXT = r"^\s*-[0.]*[1-9]"
 NUMBER_TEXT = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -29,12 +29,21 @@ NUMBER_TEXT = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
 def _instant(text: Column) -> Column:
     """Instants need a zone; plain numbers are epoch seconds."""
-    micros = (text.try_cast("decimal(38,9)") * F.lit(1_000_000)).try_cast("bigint")
+    micros = F.floor(text.try_cast("decimal(38,9)") * F.lit(1_000_000)).try_cast("bigint")
     return F.when(text.rlike(INSTANT_TEXT), text.try_cast("timestamp")).when(
         text.rlike(EPOCH_SECONDS_TEXT), F.timestamp_micros(micros)
     )
 
 
+def _beyond_micros(text: Column) -> Column:
+    """The seventh to ninth digit of an instant's fraction of a second, without trailing
+    zeros: a timestamp does not hold them, but they belong to the event."""
+    digits = F.when(text.rlike(INSTANT_TEXT), F.regexp_extract(text, r"\.\d{6}(\d{1,3})", 1)).otherwise(
+        F.lpad(F.pmod(F.floor(text.try_cast("decimal(38,9)") * F.lit(1_000_000_000)), F.lit(1000)).cast("string"), 3, "0")
+    )
+    return F.coalesce(F.rtrim(digits, F.lit("0")), F.lit(""))
+
+
 def decode_events(source: DataFrame) -> DataFrame:
     """Parse ``value``. Unreadable rows keep going with a ``decode_error``."""
     event = F.from_json("value", EVENT_JSON, {"columnNameOfCorruptRecord": "_corrupt"})
@@ -45,6 +54,7 @@ def decode_events(source: DataFrame) -> DataFrame:
         F.col("_e.businessKey").alias("business_key"),
         F.col("_e.eventTime").alias("_time_text"),
         _instant(F.col("_e.eventTime")).alias("event_time"),
+        _beyond_micros(F.col("_e.eventTime")).alias("_nanos"),
         F.try_variant_get("_e.amount", "$", "decimal(38,18)").alias("amount_exact"),
         F.try_variant_get("_e.amount", "$", "string").alias("_amount_text"),
         F.to_json("_e.attributes").alias("_attributes"),
@@ -74,7 +84,7 @@ def decode_events(source: DataFrame) -> DataFrame:
         .withColumn("payload", canonical_payload())
         .withColumn("payload_hash", payload_hash(F.col("payload")))
         .drop("_corrupt", "_time_text", "_attributes", "_has_amount")
-        .drop("_amount_text")
+        .drop("_amount_text", "_nanos")
     )
 
 
@@ -90,7 +100,7 @@ def canonical_payload() -> Column:
     return F.concat(
         F.lit('{"eventId":"'), F.col("event_id"), F.lit('","businessKey":'), key,
         F.lit(',"eventTime":"'),
-        F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"),
+        F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.col("_nanos"), F.lit("Z"),
         F.lit('","amount":'), amount,
         F.lit(',"attributes":'), F.col("attributes"), F.lit("}"),
     )

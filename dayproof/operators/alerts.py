@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayproof.functions.common import interval, short_message, stable_uuid
-from dayproof.operators.skew import attach_by_count
 from dayproof.settings import DEFAULTS, Settings
 from dayproof.sources.tables import latest_version
 
@@ -56,8 +55,18 @@ def alerts_with_reports(alerts: DataFrame, reports: DataFrame) -> DataFrame:
     """Outbox entries with their report as JSON. ``report_missing`` marks an entry
     whose report is gone; it fails alone and does not stop the others."""
     body = reports.select("report_id", F.to_json(F.struct(*reports.columns)).alias("report_json"))
-    joined = attach_by_count(alerts, body, ["report_id"], ["alert_id"])
-    return joined.withColumn("report_missing", F.col("report_json").isNull())
+    # A report has one alert per channel, so no key is hot.
+    return alerts.join(body, "report_id", "left").select(*alerts.columns, "report_json").withColumn("report_missing", F.col("report_json").isNull())
+
+
+def handled_here(alerts: DataFrame, reports: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Alerts whose outcome this job decides. Webhook entries wait for the consumer
+    of that channel, unless the channel is off or their report is gone."""
+    if not settings.webhook_enabled:
+        return alerts
+    webhook = F.col("channel") == "WEBHOOK"
+    lost = alerts.filter(webhook & F.col("status").isin("PENDING", "FAILED")).join(reports.select("report_id"), "report_id", "left_anti")
+    return alerts.filter(~webhook).unionByName(lost.select(*alerts.columns))
 
 
 def deliverable(joined: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -114,7 +123,9 @@ def recover_alerts(store, as_of: Column, batch_id: str, sink, settings: Settings
     entries into FAILED ones; delivery is at least once.
     """
     current = latest_version(store.read_or_empty("alerts"), ["alert_id"])
-    due = recoverable_alerts(current, as_of - interval(settings.alert_retry_after), settings.recovery_batch)
+    # The limit comes last: rows this job never updates must not fill the batch.
+    mine = handled_here(current, store.read_or_empty("reports"), settings)
+    due = recoverable_alerts(mine, as_of - interval(settings.alert_retry_after), settings.recovery_batch)
     deliveries = deliverable(alerts_with_reports(due, store.read_or_empty("reports")), settings)
     try:
         sink(alert_messages(deliveries))
@@ -144,16 +155,19 @@ def alerts_for_report(alerts: DataFrame, report_id: str) -> DataFrame:
     return alerts.filter(F.col("report_id") == report_id).orderBy("created_at", "channel")
 
 
-def first_attempt_delay(alert_log: DataFrame, reports: DataFrame, seconds: int = 60) -> DataFrame:
-    """Per alert: seconds from report to first delivery attempt, and whether in time."""
-    first = alert_log.filter("version > 0").groupBy("alert_id", "report_id").agg(
-        F.min("updated_at").alias("first_attempt_at")
+def first_attempt_delay(alert_log: DataFrame, reports: DataFrame, as_of: Column, seconds: int = 60) -> DataFrame:
+    """Per alert: seconds from report to first delivery attempt, and whether in time.
+    Without an attempt the delay is null, and it is late once the time is over; until
+    then ``in_time`` is null."""
+    first = alert_log.groupBy("alert_id", "report_id").agg(
+        F.min(F.when(F.col("version") > 0, F.col("updated_at"))).alias("first_attempt_at")
     )
     reported = reports.select("report_id", F.col("created_at").alias("reported_at"))
-    joined = attach_by_count(first, reported, ["report_id"], ["alert_id"])
+    joined = first.join(reported, "report_id", "left")
     delay = F.unix_micros("first_attempt_at") - F.unix_micros("reported_at")
+    waited = F.unix_micros(as_of) - F.unix_micros("reported_at")
     return joined.select(
         "alert_id", "report_id",
         F.floor(delay / 1_000_000).alias("delay_seconds"),
-        (delay <= seconds * 1_000_000).alias("in_time"),
+        F.when(delay.isNotNull(), delay <= seconds * 1_000_000).when(waited > seconds * 1_000_000, False).alias("in_time"),
     )

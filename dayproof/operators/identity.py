@@ -58,8 +58,8 @@ class Projection(NamedTuple):
 
 
 # Arrival order of rows. Variants of one position tie; they go by event id and hash.
-ARRIVAL = "struct(delivery, timestamp, partition, offset)"
-TOTAL_ORDER = "struct(delivery, timestamp, partition, offset, event_id, payload_hash)"
+ARRIVAL = "struct(delivery, timestamp, topic, partition, offset)"
+TOTAL_ORDER = "struct(delivery, timestamp, topic, partition, offset, event_id, payload_hash)"
 NULL_TEXT = "CAST(NULL AS string)"
 
 

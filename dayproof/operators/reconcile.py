@@ -16,23 +16,23 @@ from dayproof.sources.log import kafka_day_counts
 COMPARISONS = [
     (
         "KAFKA_VS_SOURCE_OBSERVATIONS", "kafka_event_count", "consumed_event_count",
-        "Look for consumer lag and for dead letters of this day, then replay the day.",
+        "missing_positions names the offsets nobody observed; dead_letters_by_reason says which of them were refused.",
     ),
     (
         "SOURCE_OBSERVATIONS_VS_UNIQUE_EVENTS", "consumed_event_count", "unique_event_count",
-        "List the event ids seen at several positions and check how their producer retries.",
+        "duplicate_positions shows every place of each event id that came more than once.",
     ),
     (
         "UNIQUE_EVENTS_VS_DATABASE", "unique_event_count", "db_record_count",
-        "Read the mutation audit for deletions, then replay the day to rebuild lost records.",
+        "missing_projections lists events without a row and whether a deletion explains it; a replay writes them again.",
     ),
     (
         "DATABASE_VS_AGGREGATE_COUNT", "db_record_count", "aggregate_record_count",
-        "Repair the day's aggregate and read its mutation audit.",
+        "aggregate_drift gives the difference in rows; repair_aggregates recounts the day.",
     ),
     (
         "DATABASE_VS_AGGREGATE_AMOUNT", "db_total_amount", "aggregate_amount",
-        "Repair the day's aggregate and find out who changed it.",
+        "aggregate_drift gives the difference in amount; repair_aggregates sums the day again.",
     ),
 ]
 

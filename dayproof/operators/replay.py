@@ -16,7 +16,7 @@ from dayproof.operators import daily, identity, repair
 from dayproof.operators.alerts import outbox_for
 from dayproof.operators.reconcile import reconcile
 from dayproof.operators.reports import NotFound
-from dayproof.operators.skew import attach, attach_by_count
+from dayproof.operators.skew import attach
 from dayproof.operators.validity import validate_events
 from dayproof.settings import DEFAULTS, Settings
 from dayproof.sources.log import day_offset_ranges, partition_day_bounds, read_source_range
@@ -24,6 +24,9 @@ from dayproof.sources.scratch import Scratch
 from dayproof.sources.tables import Store, latest_version, layout
 
 NAME_LENGTH = 200
+# Reasons in the versions that send a job back to the queue.
+RETRY_REASON = "retried on request"
+STALE_REASON = "worker heartbeat was stale"
 SAME_REQUEST = ["from_date", "to_date", "dry_run", "requested_by"]
 
 
@@ -183,7 +186,7 @@ def _reset(jobs: DataFrame, reason: str) -> DataFrame:
 
 def retry_failed(jobs: DataFrame, max_attempts: int) -> DataFrame:
     return _reset(
-        jobs.filter((F.col("status") == "FAILED") & (F.col("attempt_count") < max_attempts)), "retried on request"
+        jobs.filter((F.col("status") == "FAILED") & (F.col("attempt_count") < max_attempts)), RETRY_REASON
     )
 
 
@@ -191,8 +194,9 @@ def recover_stale(jobs: DataFrame, now: Column, settings: Settings = DEFAULTS) -
     """Reset running jobs whose heartbeat (else start) is strictly before the bound.
     Picked in a bounded batch, oldest first; a job without either time is left alone."""
     bound = now - interval(settings.replay_stale_after)
-    picked = stale_running_jobs(jobs, bound, settings.max_replay_attempts, settings.recovery_batch)
-    return _reset(picked.filter(F.coalesce("heartbeat_at", "started_at") < bound), "worker heartbeat was stale")
+    # The limit comes last: rows left alone must not fill the batch.
+    known = jobs.filter(F.coalesce("heartbeat_at", "started_at") < bound)
+    return _reset(stale_running_jobs(known, bound, settings.max_replay_attempts, settings.recovery_batch), STALE_REASON)
 
 
 def mark_published(jobs: DataFrame, at: Column) -> DataFrame:
@@ -223,10 +227,10 @@ def fence_progress(progress: DataFrame, jobs: DataFrame) -> DataFrame:
     """Mark progress rows (job_id, execution_attempt, ...) that come from the
     attempt the job is running now; all others are from stale workers."""
     current = jobs.select("job_id", F.col("status").alias("_status"), F.col("attempt_count").alias("_attempt"))
-    keys = [c for c in progress.columns]
-    joined = attach_by_count(progress, current, ["job_id"], keys)
+    # A job has one progress row per source partition and chunk: no key is hot.
+    joined = progress.join(current, "job_id", "left")
     accepted = (F.col("_status") == "RUNNING") & (F.col("_attempt") == F.col("execution_attempt"))
-    return joined.withColumn("accepted", F.coalesce(accepted, F.lit(False))).drop("_status", "_attempt")
+    return joined.select(*progress.columns, F.coalesce(accepted, F.lit(False)).alias("accepted"))
 
 
 # --- checkpoints --------------------------------------------------------------------
@@ -299,18 +303,18 @@ def count_range(source: DataFrame, ranges: list[tuple[int, int, int]]) -> DataFr
 
 
 def load_or_plan(store: Store, source: DataFrame, job, at: Column, settings: Settings) -> DataFrame:
-    """The job's latest checkpoints; planned and stored once, then never again."""
-    stored = store.read("checkpoints")
-    if stored is not None:
-        mine = stored.filter(F.col("job_id") == job["job_id"])
-        if not mine.isEmpty():
-            return latest_version(mine, ["job_id", "source_topic", "source_partition"])
+    """The job's latest checkpoints; planned and stored once, then never again. A log
+    without rows gives a plan without partitions, which is complete."""
+    plan = f"plan-{job['job_id']}"
+    if store.is_committed(plan):
+        mine = store.read_or_empty("checkpoints").filter(F.col("job_id") == job["job_id"])
+        return latest_version(mine, ["job_id", "source_topic", "source_partition"])
     ranges = day_offset_ranges(partition_day_bounds(source), job["from_date"], job["to_date"])
     this_job = store.spark.createDataFrame(
         [(job["job_id"], job["from_date"], job["to_date"])], "job_id string, from_date date, to_date date"
     )
     planned = plan_replay(this_job, ranges, None, settings.source_topic, at)
-    store.append(f"plan-{job['job_id']}", {"checkpoints": planned})
+    store.append(plan, {"checkpoints": planned})
     return load_or_plan(store, source, job, at, settings)
 
 
@@ -349,6 +353,8 @@ def run_job(
         raise RuntimeError(f"replay job {job_id}: {decision}")
     running = start_jobs(_as_frame(store, job), as_of, settings.max_replay_attempts).first()
     attempt = running["attempt_count"]
+    # Offsets of several topics are not comparable; a job replays one.
+    source = source.filter(F.col("topic") == settings.source_topic)
     store.append(f"start-{job_id}-a{attempt}", {"jobs": _as_frame(store, running)})
     try:
         _run_chunks(store, source, running, as_of, settings, on_reject, after_chunk)
@@ -364,7 +370,7 @@ def run_job(
         store.append(f"fail-{job_id}-a{attempt}", {"jobs": failed})
         return "FAILED"
     done = latest_version(
-        store.read("checkpoints").filter(F.col("job_id") == job_id), ["job_id", "source_topic", "source_partition"]
+        store.read_or_empty("checkpoints").filter(F.col("job_id") == job_id), ["job_id", "source_topic", "source_partition"]
     )
     finished = complete_jobs(_as_frame(store, current_job(store, job_id)), replay_totals(done), as_of)
     store.append(f"finish-{job_id}-a{attempt}", {"jobs": finished})
@@ -402,7 +408,9 @@ def _run_chunk(store, source, job, checkpoints, chunk, number, as_of, on_reject,
         result = identity.project(checked, store.evidence(), as_of, scratch)
         dead = result.dead_letters
         if on_reject == "fail" and not dead.isEmpty():
-            worst = dead.select("reject_reason", "reject_detail").first()
+            # The first refused row in log order, so that a repeated run fails with the same text.
+            place = F.struct("partition", "offset", "reject_reason", "reject_detail")
+            worst = dead.agg(F.min(place).alias("first")).first()["first"]
             raise RejectedRows(f"{worst['reject_reason']}: {worst['reject_detail']}")
         frames = {
             "observations": result.observations,

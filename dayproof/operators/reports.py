@@ -65,13 +65,18 @@ def unresolved_mismatches(reports: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def report_timeliness(reports: DataFrame, run_at: str = "02:15:00", minutes: int = 5) -> DataFrame:
-    """Scheduled reports per date against the settlement run of the next day."""
+def report_timeliness(
+    reports: DataFrame, dates: DataFrame, as_of: Column, run_at: str = "02:15:00", minutes: int = 5
+) -> DataFrame:
+    """First scheduled report of each of ``dates`` against the settlement run of the next
+    day. A date without one is late once the time is over; until then ``on_time`` is null."""
     due = F.to_timestamp(F.concat_ws(" ", F.date_add("business_date", 1).cast("string"), F.lit(run_at)))
     first = reports.filter("trigger_type = 'SCHEDULED'").groupBy("business_date").agg(
         F.min("created_at").alias("first_report_at")
     )
     late = F.unix_micros("first_report_at") - F.unix_micros(due)
-    return first.withColumn("delay_seconds", F.floor(late / 1_000_000)).withColumn(
-        "on_time", late <= minutes * 60 * 1_000_000
+    allowed = minutes * 60 * 1_000_000
+    over = F.unix_micros(as_of) - F.unix_micros(due) > allowed
+    return dates.join(first, "business_date", "left").withColumn("delay_seconds", F.floor(late / 1_000_000)).withColumn(
+        "on_time", F.when(late.isNotNull(), late <= allowed).when(over, False)
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayproof.operators.identity import missing_records
+from dayproof.operators.replay import STALE_REASON
 from dayproof.operators.skew import attach
 from dayproof.schemas import POSITION, SOURCE_POSITION, TOTAL
 
@@ -82,15 +83,24 @@ def stale_heartbeats(jobs: DataFrame, stale_before: Column) -> DataFrame:
     return jobs.filter((F.col("status") == "RUNNING") & (alive < stale_before)).withColumn("last_alive_at", alive)
 
 
+def recovered_version() -> Column:
+    """Versions that take a job from a stale worker; retries on request and
+    announcements of a recovered job are not recoveries."""
+    return (
+        (F.col("status") == "REQUESTED")
+        & (F.col("error_message") == STALE_REASON)
+        & F.col("command_published_at").isNull()
+    )
+
+
 def replay_outcome_trend(job_log: DataFrame) -> DataFrame:
     """Failures and stale-worker recoveries per day of the job log."""
     day = F.to_date(F.coalesce("completed_at", "heartbeat_at", "started_at", "requested_at"))
-    recovered = (F.col("status") == "REQUESTED") & (F.col("attempt_count") > 0)
     return (
         job_log.groupBy(day.alias("day"))
         .agg(
             F.count(F.when(F.col("status") == "FAILED", 1)).alias("failures"),
-            F.count(F.when(recovered, 1)).alias("recoveries"),
+            F.count(F.when(recovered_version(), 1)).alias("recoveries"),
             F.count(F.when(F.col("status") == "COMPLETED", 1)).alias("completions"),
         )
     )
@@ -101,7 +111,7 @@ def quality_counters(reports: DataFrame, job_log: DataFrame) -> DataFrame:
     tagged = reports.select(F.when(F.col("status") == "MISMATCH", "mismatches").alias("counter")).unionByName(
         job_log.select(
             F.when(F.col("status") == "FAILED", "replay_failures")
-            .when((F.col("status") == "REQUESTED") & (F.col("attempt_count") > 0), "replay_recoveries")
+            .when(recovered_version(), "replay_recoveries")
             .alias("counter")
         )
     )

@@ -37,8 +37,9 @@ def field_violations() -> Column:
 
 def bad_source_position() -> Column:
     return (
-        (F.col("partition") < 0)
-        | (F.col("offset") < 0)
+        F.coalesce(F.col("partition") < 0, F.lit(True))
+        | F.coalesce(F.col("offset") < 0, F.lit(True))
+        | F.col("timestamp").isNull()  # no broker time, no business date
         | F.col("topic").isNull()
         | F.col("topic").rlike(r"^\s*$")
     )

@@ -16,7 +16,7 @@ from dayproof.plans.oracle_parts import ALERTS, CHECKPOINTS, FIXTURE, JOBS, REPO
 from dayproof.settings import DEFAULTS, Settings
 from dayproof.sources import log as source_log
 from dayproof.sources.scratch import Scratch
-from dayproof.sources.tables import Store, latest_version
+from dayproof.sources.tables import Store, latest_version, layout
 from dayproof.streaming.projector import start_projector
 
 NOW = "TIMESTAMP '2001-07-01 00:00:00'"
@@ -75,13 +75,16 @@ def slo_unresolved_mismatches(spark, sf_dir):
 @query(
     "slo_report_timeliness",
     """SELECT CAST(business_date AS VARCHAR) AS business_date,
-       CAST(floor(epoch(min(created_at) - (business_date + INTERVAL '26 hours 15 minutes'))) AS BIGINT) AS delay_seconds,
-       min(created_at) <= business_date + INTERVAL '26 hours 20 minutes' AS on_time
-       FROM reports WHERE trigger_type = 'SCHEDULED' GROUP BY business_date""",
+       CAST(floor(epoch(min(created_at) FILTER (trigger_type = 'SCHEDULED') - (business_date + INTERVAL '26 hours 15 minutes'))) AS BIGINT) AS delay_seconds,
+       coalesce(min(created_at) FILTER (trigger_type = 'SCHEDULED') <= business_date + INTERVAL '26 hours 20 minutes',
+         CASE WHEN business_date + INTERVAL '26 hours 20 minutes' < TIMESTAMP '2001-07-01 00:00:00' THEN false END) AS on_time
+       FROM reports GROUP BY business_date""",
     (REPORTS,),
 )
 def slo_report_timeliness(spark, sf_dir):
-    return reports.report_timeliness(control.reports(spark, sf_dir)).drop("first_report_at")
+    """All dates with a report of any kind; the settlement runs are over by the asking time."""
+    known = control.reports(spark, sf_dir)
+    return reports.report_timeliness(known, known.select("business_date").distinct(), now()).drop("first_report_at")
 
 
 @query("get_report", "SELECT report_id, status, correlation_id FROM reports WHERE report_id = 'rep-7'", (REPORTS,))
@@ -194,19 +197,51 @@ def dedupe_alert_consumer(spark, sf_dir):
     return alerts.dedupe_delivered(copies).select("alert_id")
 
 
-@query("alerts_for_report", f"SELECT {ALERT_STATE} FROM alerts WHERE report_id = 'rep-7'", (ALERTS,))
+@query(
+    "alerts_for_report",
+    f"SELECT {ALERT_STATE} FROM alerts WHERE report_id = (SELECT min(report_id) FROM reports WHERE status = 'MISMATCH')",
+    (ALERTS,),
+)
 def alerts_for_report(spark, sf_dir):
-    return alert_state(alerts.alerts_for_report(current_alerts(spark, sf_dir), "rep-7"))
+    """The alerts of one report that has some."""
+    mismatched = control.reports(spark, sf_dir).filter("status = 'MISMATCH'")
+    report_id = mismatched.agg(F.min("report_id")).first()[0]
+    return alert_state(alerts.alerts_for_report(current_alerts(spark, sf_dir), report_id))
+
+
+@query(
+    "alert_recovery_run",
+    """SELECT alert_id, channel, CASE WHEN channel = 'KAFKA' AND updated_at < TIMESTAMP '2001-06-30 23:55:00' THEN 'DELIVERED' ELSE status END AS status,
+       attempt_count + CASE WHEN channel = 'KAFKA' AND status <> 'DELIVERED' AND updated_at < TIMESTAMP '2001-06-30 23:55:00' THEN 1 ELSE 0 END AS attempt_count
+       FROM alerts""",
+    (ALERTS,),
+)
+def alert_recovery_run(spark, sf_dir):
+    """Two recovery runs, each with room for half of the undelivered KAFKA alerts. The
+    WEBHOOK alerts are as many and never updated here; they must not fill the batches."""
+    scratch = Scratch(spark, "recovery")
+    store = Store(spark, f"{scratch.path}/store")
+    # The store keeps a folder per business date; one a year is enough for a recovery.
+    stored = control.reports(spark, sf_dir).withColumn("business_date", F.trunc("business_date", "year"))
+    stored = stored.withColumns({f.name: F.lit(None).cast(f.dataType) for f in layout("reports") if f.name not in stored.columns})
+    store.append("seed", {"alerts": control.alert_log(spark, sf_dir), "reports": stored})
+    waiting = current_alerts(spark, sf_dir).filter("channel = 'KAFKA' AND status <> 'DELIVERED'").count()
+    settings = Settings(recovery_batch=waiting // 2 + 1)
+    for run in (1, 2):
+        alerts.recover_alerts(store, now(), f"recover-{run}", lambda messages: messages.write.format("noop").mode("append").save(), settings)
+    return latest_version(store.read("alerts"), ["alert_id"]).select("alert_id", "channel", "status", "attempt_count")
 
 
 @query(
     "slo_alert_attempt",
     """SELECT alert_id, report_id, CAST(epoch(min(updated_at) - min(created_at)) AS BIGINT) AS delay_seconds,
-       min(updated_at) <= min(created_at) + INTERVAL 60 SECOND AS in_time FROM alert_log WHERE version > 0 GROUP BY ALL""",
+       min(updated_at) <= min(created_at) + INTERVAL 60 SECOND AS in_time FROM alert_log WHERE version > 0 GROUP BY ALL
+       UNION ALL SELECT alert_id, report_id, NULL, CASE WHEN created_at + INTERVAL 60 SECOND < TIMESTAMP '2001-07-01 00:00:00' THEN false END
+       FROM alerts WHERE version = 0""",
     (ALERTS,),
 )
 def slo_alert_attempt(spark, sf_dir):
-    return alerts.first_attempt_delay(control.alert_log(spark, sf_dir), control.reports(spark, sf_dir))
+    return alerts.first_attempt_delay(control.alert_log(spark, sf_dir), control.reports(spark, sf_dir), now())
 
 
 # --- replay requests and jobs -------------------------------------------------------------
@@ -275,6 +310,20 @@ STALE = f"""stale AS (SELECT *, coalesce(heartbeat_at, started_at, requested_at)
        AND coalesce(heartbeat_at, started_at, requested_at) < {NOW} - INTERVAL 10 MINUTE)"""
 
 
+RECOVERED = f"""recovered AS (SELECT * FROM stale WHERE attempt_count < 5
+       AND coalesce(heartbeat_at, started_at) < {NOW} - INTERVAL 10 MINUTE ORDER BY alive, job_id LIMIT 100)"""
+
+
+def whole_job_log(spark, sf_dir):
+    """Job versions with retries on request, recoveries and announcements of the recovered jobs."""
+    current = control.jobs(spark, sf_dir)
+    recovered = replay.recover_stale(current, now())
+    log = control.job_log(spark, sf_dir)
+    for versions in (replay.retry_failed(current, 5), recovered, replay.mark_published(recovered, now())):
+        log = log.unionByName(versions)
+    return log
+
+
 @query(
     "stale_running_jobs",
     f"SELECT {JOB_COLUMNS} FROM stale WHERE attempt_count < 5 ORDER BY alive, job_id LIMIT 100",
@@ -323,8 +372,8 @@ def retry_failed_jobs(spark, sf_dir):
 
 @query(
     "recover_stale_jobs",
-    f"""SELECT job_id, 'REQUESTED' AS status, attempt_count FROM (SELECT * FROM stale WHERE attempt_count < 5 ORDER BY alive, job_id LIMIT 100)
-        WHERE coalesce(heartbeat_at, started_at) < {NOW} - INTERVAL 10 MINUTE""",
+    f"""SELECT job_id, 'REQUESTED' AS status, attempt_count FROM (SELECT * FROM stale WHERE attempt_count < 5
+        AND coalesce(heartbeat_at, started_at) < {NOW} - INTERVAL 10 MINUTE ORDER BY alive, job_id LIMIT 100)""",
     (JOBS, STALE),
 )
 def recover_stale_jobs(spark, sf_dir):
@@ -355,24 +404,27 @@ def fence_progress(spark, sf_dir):
 
 @query(
     "replay_outcome_trend",
-    """SELECT CAST(day AS VARCHAR) AS day, count(*) FILTER (status = 'FAILED') AS failures,
-       count(*) FILTER (status = 'REQUESTED' AND attempt_count > 0) AS recoveries, count(*) FILTER (status = 'COMPLETED') AS completions
-       FROM (SELECT *, CAST(coalesce(completed_at, heartbeat_at, started_at, requested_at) AS DATE) AS day FROM jobs) GROUP BY ALL""",
-    (JOBS,),
+    """SELECT CAST(day AS VARCHAR) AS day, count(*) FILTER (kind = 'F') AS failures,
+       count(*) FILTER (kind = 'R') AS recoveries, count(*) FILTER (kind = 'C') AS completions FROM (
+         SELECT CAST(requested_at AS DATE) AS day, '' AS kind FROM jobs
+         UNION ALL SELECT CAST(coalesce(completed_at, heartbeat_at, started_at, requested_at) AS DATE), CASE WHEN status IN ('FAILED', 'COMPLETED') THEN left(status, 1) ELSE '' END FROM jobs
+         UNION ALL SELECT CAST(coalesce(started_at, requested_at) AS DATE), '' FROM jobs WHERE status = 'FAILED' AND attempt_count < 5
+         UNION ALL SELECT CAST(coalesce(started_at, requested_at) AS DATE), 'R' FROM recovered) GROUP BY day""",
+    (JOBS, STALE, RECOVERED),
 )
 def replay_outcome_trend(spark, sf_dir):
-    return triage.replay_outcome_trend(control.jobs(spark, sf_dir))
+    return triage.replay_outcome_trend(whole_job_log(spark, sf_dir))
 
 
 @query(
     "quality_counters",
     """SELECT 'mismatches' AS counter, count(*) AS total FROM reports WHERE status = 'MISMATCH'
        UNION ALL SELECT 'replay_failures', count(*) FROM jobs WHERE status = 'FAILED'
-       UNION ALL SELECT 'replay_recoveries', count(*) FROM jobs WHERE status = 'REQUESTED' AND attempt_count > 0""",
-    (REPORTS, JOBS),
+       UNION ALL SELECT 'replay_recoveries', count(*) FROM recovered HAVING count(*) > 0""",
+    (REPORTS, JOBS, STALE, RECOVERED),
 )
 def quality_counters(spark, sf_dir):
-    return triage.quality_counters(control.reports(spark, sf_dir), control.jobs(spark, sf_dir))
+    return triage.quality_counters(control.reports(spark, sf_dir), whole_job_log(spark, sf_dir))
 
 
 # --- checkpoints ------------------------------------------------------------------------------

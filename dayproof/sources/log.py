@@ -20,24 +20,24 @@ def read_source_stream(
     spark: SparkSession,
     landing: str | None = None,
     kafka: dict[str, str] | None = None,
-    max_per_trigger: int = 1_000_000,
+    max_offsets: int = 1_000_000,
+    max_bytes: str = "1g",
+    max_files: int | None = None,
 ) -> DataFrame:
-    """Continuous read from the earliest record, bounded per trigger."""
+    """Continuous read from the earliest record, bounded per trigger: a topic by
+    ``max_offsets``, a folder by ``max_bytes`` or, instead, by ``max_files``."""
     if kafka is not None:
         stream = (
             spark.readStream.format("kafka")
             .option("startingOffsets", "earliest")
             .option("kafka.isolation.level", "read_committed")
-            .option("maxOffsetsPerTrigger", max_per_trigger)
+            .option("maxOffsetsPerTrigger", max_offsets)
             .options(**kafka)
             .load()
         )
         return kafka_columns(stream)
-    return (
-        spark.readStream.schema(SOURCE_LOG)
-        .option("maxFilesPerTrigger", max_per_trigger)
-        .parquet(landing)
-    )
+    bound = ("maxBytesPerTrigger", max_bytes) if max_files is None else ("maxFilesPerTrigger", max_files)
+    return spark.readStream.schema(SOURCE_LOG).option(*bound).parquet(landing)
 
 
 def kafka_columns(frame: DataFrame) -> DataFrame:

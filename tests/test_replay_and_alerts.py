@@ -14,7 +14,7 @@ from dayproof.streaming.projector import project_batch
 
 DAY = dt.date(2026, 7, 16)
 TODAY = dt.date(2026, 7, 18)
-SMALL = Settings(replay_chunk_offsets=5)
+SMALL = Settings(replay_chunk_offsets=5, source_topic="events")
 
 
 def now():
@@ -209,7 +209,7 @@ def test_dry_run_only_counts(spark, tmp_path, source, damaged):
     store = new_store(spark, tmp_path / "s", damaged)
     before = store.read("records").count()
     ask(store, dry=True)
-    assert replay.run_job(store, source, "j", now()) == "COMPLETED"
+    assert replay.run_job(store, source, "j", now(), dataclasses.replace(SMALL, replay_chunk_offsets=100_000)) == "COMPLETED"
     row = replay.current_job(store, "j")
     assert (row["discovered_events"], row["replayed_events"]) == (48, 0)
     assert progress_of(store) == [(0, 24, 24, 24, 0, "COMPLETED")] * 2
@@ -224,7 +224,7 @@ def test_refused_rows_fail_the_job_or_go_to_dead_letters(spark, tmp_path, source
     assert "INVALID" in replay.current_job(store, "j")["error_message"]
     assert [p[1] for p in progress_of(store)] == [5, 5]
     ask(store, "k")
-    assert replay.run_job(store, bad, "k", now(), on_reject="dead_letter") == "COMPLETED"
+    assert replay.run_job(store, bad, "k", now(), dataclasses.replace(SMALL, replay_chunk_offsets=100_000), on_reject="dead_letter") == "COMPLETED"
     assert store.read("dead_letters").count() == 2
 
 
