@@ -9,7 +9,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WHITE = r"[\x20\x09-\x0D]+"
+from dayproof.sources.scratch import Scratch
+
+#: Runs of white space that are not one space already.
+WHITE = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +29,13 @@ def packed(df: DataFrame, name: str = "row") -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
 
 
+def save_texts(scratch: Scratch, df: DataFrame, name: str) -> DataFrame:
+    """A scratch table of rows with whole texts, compressed more than others."""
+    path = scratch.table_path(name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def keep_session_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches bounded by rows and bytes; long texts then stay within a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

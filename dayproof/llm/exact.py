@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayproof.llm.common import WHITE
+from dayproof.llm.common import WHITE, save_texts
 from dayproof.sources.scratch import Scratch
 
 HOT_SHARE = 100_000
@@ -35,16 +35,21 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, " ")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows as a struct beside their working columns."""
+def _keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows as a struct beside their working columns, stored: texts are normalised once for
+    their keys, and the narrow passes over keys read nothing else."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.select(row.alias("row"), F.xxhash64(normalised(F.col("text"))).alias("content"))
+    text = docs.select(row.alias("row"), normalised(F.col("text")).alias("norm"))
+    keys = text.select(
+        "row", F.substring(F.encode(F.substring("norm", 1, LEAD), "UTF-8"), 1, LEAD).alias("lead"), F.sha2(F.col("norm").cast("binary"), 256).alias("digest")
+    )
+    return save_texts(scratch, keys.withColumn("content", F.xxhash64("digest")), "keyed")
 
 
-def hot_contents(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def hot_contents(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     """content, pieces: hashes with very many rows, and into how many pieces each is cut."""
-    counts = docs.select(F.xxhash64(normalised(F.col("text"))).alias("content")).groupBy("content").count()
-    total = docs.count()
+    counts = keyed.groupBy("content").count()
+    total = keyed.count()
     hot = counts.where(F.col("count") > max(HOT_ROWS, total // HOT_SHARE)).select(
         "content", F.ceil(F.col("count") / F.lit(max(PIECE_ROWS, total // HOT_SHARE))).cast("int").alias("pieces")
     )
@@ -54,19 +59,14 @@ def hot_contents(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def _sorted(keyed: DataFrame) -> tuple[DataFrame, Window]:
     """Range-partitioned rows, and the window of equal neighbours in content order.
     The window's keys hold those of the range, so it needs no shuffle of its own."""
-    text = normalised(F.col("row.text"))
     order = ["lead", "digest", *(["salt"] if "salt" in keyed.columns else [])]
-    spread = (
-        keyed.withColumn("lead", F.substring(F.encode(F.substring(text, 1, LEAD), "UTF-8"), 1, LEAD))
-        .withColumn("digest", F.sha2(text.cast("binary"), 256))
-        .repartitionByRange(*order)
-        .withColumn("norm", normalised(F.col("row.text")))
-    )
+    spread = keyed.repartitionByRange(*order).withColumn("norm", normalised(F.col("row.text")))
     return spread, Window.partitionBy(*order, "norm").orderBy(F.col("row.doc_id").asc_nulls_last())
 
 
 def _split(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    hot, keyed = F.broadcast(hot_contents(docs, scratch)), _keyed(docs)
+    keyed = _keyed(docs, scratch)
+    hot = F.broadcast(hot_contents(keyed, scratch))
     cold = keyed.join(hot, "content", "left_anti")
     # Ids within a piece are spread by hash; a null id goes to piece 0.
     salt = F.pmod(F.xxhash64("row.doc_id"), F.col("pieces")).cast("int")
