@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dayproof.llm.common import save_texts
 from dayproof.sources.scratch import Scratch
 
 FILE_RECORDS = 1024
@@ -45,8 +46,8 @@ def archive(pages: DataFrame, scratch: Scratch, file_records: int = FILE_RECORDS
     numbered = pages.select("page_id", record_text(F.col("page_id"), F.col("url"), F.col("html")).alias("record"), F.monotonically_increasing_id().alias("id"))
     # The number holds the task in its upper 31 bits and the place in the task below; stored at once, so it stays what it is.
     task, place = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
-    written = scratch.save(
-        numbered.select("page_id", "record", task.alias("task"), F.floor(place / file_records).alias("part"), (place % file_records).alias("nth")), "records"
+    written = save_texts(
+        scratch, numbered.select("page_id", "record", task.alias("task"), F.floor(place / file_records).alias("part"), (place % file_records).alias("nth")), "records"
     )
     files = written.groupBy("task", "part").count()
     per_task = files.groupBy("task").agg(F.max("part").alias("last"))
@@ -55,7 +56,8 @@ def archive(pages: DataFrame, scratch: Scratch, file_records: int = FILE_RECORDS
     size = F.octet_length("record") + len(RECORD_END)
     before = Window.partitionBy("file").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     placed = written.join(F.broadcast(first), "task").withColumn("file", (F.col("first") + F.col("part")).cast("long")).withColumn("length", size.cast("long"))
-    return scratch.save(
+    return save_texts(
+        scratch,
         placed.select("page_id", (F.col("file") * file_records + F.col("nth")).cast("long").alias("leaf"), "file", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "record"),
         "archive",
     )
