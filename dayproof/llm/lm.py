@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayproof.llm.common import fold
-from dayproof.llm.textscan import Block, mix, windows
+from dayproof.llm.textscan import blocks, mix, windows
 from dayproof.sources.scratch import Scratch
 
 BLOCK_TEXT = 12 << 20
@@ -97,12 +97,13 @@ def gather_blocks(docs: DataFrame) -> DataFrame:
 
 def block_tokens(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(token hashes, first token of each document with one more entry); each document ends with END."""
-    texts = docs["text"].combine_chunks().fill_null("").cast(pa.large_string())
-    _, offsets, data = texts.buffers()
-    bounds = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    data = np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]] if data is not None else np.zeros(0, np.uint8)
-    words, first = Block(data, bounds - bounds[0]).lowered().word_hashes()
-    return np.insert(words, first[1:], END), first + np.arange(len(first))
+    tokens, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    # Bytes are scanned a few megabytes at a time; only the tokens' hashes are held for the whole block.
+    for block in blocks(docs.to_batches(), "text"):
+        words, first = block.lowered().word_hashes()
+        tokens.append(np.insert(words, first[1:], END))
+        counts.append(np.diff(first) + 1)
+    return np.concatenate(tokens), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
 
 def block_grams(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
