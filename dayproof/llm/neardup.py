@@ -10,14 +10,19 @@ with at most one differing value, so they share a key: every pair within that di
 (19 of 50) is found. At similarity 0.75 a chunk agrees but for one value with probability
 0.63, so a pair stays without any key with probability 5e-5; at 0.8 it is 2e-6.
 
-Links: keys give candidates in two steps.
-
-1. Each class is compared with the smallest class of its buckets: at most one pair per
-   class. Confirmed pairs give first components (iterated stars, on tables).
-2. Every other pair of a bucket whose classes are not yet in one component, with set
-   sizes and a 4-bit signature distance that similarity 0.75 allows (the distance bound
-   is five standard deviations off), is compared as well. Within a bucket the largest
-   component is one side only, so a large group of copies is not paired with itself.
+Links: keys give candidates in two steps. In both a pair must have sizes that similarity
+0.75 allows and pass a bound from bitmaps: a cell that one set fills and the other does not
+stands for an element outside the shared ones. For sets up to CELL_SET elements the bound is
+exact; larger sets put a sample of their elements into the bitmap, and four standard
+deviations are allowed. Pairs whose samples differ in rate are held to a 4-bit signature
+distance within five standard deviations instead.
+
+1. Each bucket names one member, chosen by hash; a class is compared with the STARS nearest
+   of those its buckets name. Confirmed pairs give first components (iterated stars, on
+   tables), which hold most of a large group of near copies together.
+2. Every other pair of a bucket whose classes are not yet in one component is compared as
+   well. Within a bucket the largest component is one side only, so a large group of copies
+   is not paired with itself.
 
 Pairs are confirmed on full sets. So no link between different components is lost, and
 neither step emits all pairs of a group.
@@ -44,6 +49,9 @@ CHUNKS, WIDTH, BITS = 10, 5, 16
 VALUES = CHUNKS * WIDTH
 #: Differing 4-bit values (of 50) that a pair may have: at similarity 0.75 the mean is 11.7, the deviation 3.0.
 MAX_COARSE = 28
+#: Members of buckets that a class is compared with in the first step; the second step has the rest.
+STARS = 3
+CELLS, CELL_SET = 1024, 400
 
 _U = np.uint64
 _rng = np.random.default_rng(75)
@@ -96,6 +104,20 @@ def coarse_words(values: np.ndarray) -> np.ndarray:
     return (low.reshape(len(values), 4, 16) << (_U(4) * np.arange(16, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
 
 
+def level_of(sizes: np.ndarray) -> np.ndarray:
+    """How many low bits of the elements of a set must be zero to enter its bitmap."""
+    return np.ceil(np.log2(np.maximum(sizes, 1) / CELL_SET)).clip(0).astype(np.int32)
+
+
+def cell_words(items: np.ndarray, level: int) -> np.ndarray:
+    """Bitmap of the set's sample: one bit of CELLS for each element, as 64-bit numbers."""
+    if level:
+        items = items[(items >> _U(10)) & _U((1 << level) - 1) == 0]
+    bits = np.zeros(CELLS, np.uint8)
+    bits[(items & _U(CELLS - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
 def _lists(rows: np.ndarray) -> pa.Array:
     width = rows.shape[1]
     return pa.ListArray.from_arrays(
@@ -104,7 +126,7 @@ def _lists(rows: np.ndarray) -> pa.Array:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n, two sums that identify the set, keys and coarse signature."""
+    """doc_id, n, two sums that identify the set, keys, coarse signature, bitmap and its level."""
 
     def sketch(batches):
         for block in blocks(batches, "text"):
@@ -113,18 +135,21 @@ def sketches(docs: DataFrame) -> DataFrame:
             for i, items in enumerate(sets):
                 if len(items):
                     values[i] = signature(items)
+            levels = level_of(np.array([len(s) for s in sets]))
+            cells = np.array([cell_words(s, k) for s, k in zip(sets, levels, strict=True)])
             same = np.array([[mix(s ^ _U(0x9E37)).sum(dtype=np.uint64), mix(s + _U(0x79B9)).sum(dtype=np.uint64)] for s in sets])
             yield pa.RecordBatch.from_arrays(
                 [
                     block.batch.column(block.batch.schema.get_field_index("doc_id")),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(same[:, 0].astype(np.uint64).view(np.int64)), pa.array(same[:, 1].astype(np.uint64).view(np.int64)),
-                    _lists(chunk_keys(values)), _lists(coarse_words(values)),
+                    _lists(chunk_keys(values)), _lists(coarse_words(values)), _lists(cells), pa.array(levels, pa.int32()),
                 ],
-                ["doc_id", "n", "h1", "h2", "keys", "coarse"],
+                ["doc_id", "n", "h1", "h2", "keys", "coarse", "cells", "level"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n long, h1 long, h2 long, keys array<long>, coarse array<long>")
+    schema = "doc_id long, n long, h1 long, h2 long, keys array<long>, coarse array<long>, cells array<long>, level int"
+    return docs.select("doc_id", "text").mapInArrow(sketch, schema)
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
@@ -143,11 +168,31 @@ def set_rows(docs: DataFrame) -> DataFrame:
     return docs.select("node", "text").mapInArrow(items, "node long, items array<long>")
 
 
-def coarse_distance(a: str, b: str) -> Column:
-    """Differing 4-bit values of two coarse signatures."""
+def sketch_columns() -> list[Column]:
+    """n, level, the coarse signature and the bitmap as plain numbers, never null: a join
+    condition over them compiles to a few hundred instructions."""
+    numbers = [(f"q{k}", F.col("coarse")[k]) for k in range(4)] + [(f"c{k}", F.col("cells")[k]) for k in range(CELLS // 64)]
+    return ["n", "level", *[F.coalesce(value, F.lit(0)).alias(name) for name, value in numbers]]
+
+
+def of_other(light: DataFrame, key: str) -> DataFrame:
+    """Sketches under the names of a pair's second class."""
+    return light.select(F.col("node").alias(key), *[F.col(c).alias(f"{c}_b") for c in light.columns if c != "node"])
+
+
+def differing_cells() -> Column:
+    """Cells that one bitmap of a pair fills and the other does not."""
+    total = F.lit(0)
+    for k in range(CELLS // 64):
+        total = total + F.bit_count(F.col(f"c{k}").bitwiseXOR(F.col(f"c{k}_b")))
+    return total
+
+
+def coarse_distance() -> Column:
+    """Differing 4-bit values of a pair's coarse signatures."""
     total = F.lit(0)
     for k in range(4):
-        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
+        x = F.col(f"q{k}").bitwiseXOR(F.col(f"q{k}_b"))
         # Fold each half byte onto its lowest bit and count those bits.
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
@@ -155,8 +200,14 @@ def coarse_distance(a: str, b: str) -> Column:
     return total
 
 
-def _similar_sizes(a: str, b: str) -> Column:
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT)
+def may_link() -> Column:
+    """Whether a pair (``n`` and so on, ``n_b`` and so on) can reach the similarity."""
+    n, m, level = F.col("n"), F.col("n_b"), F.col("level")
+    sizes = F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+    # At most a seventh of the two sizes together lies outside the shared elements.
+    outside = (n + m) * (100 - PERCENT) / (100 + PERCENT) / F.expr("shiftleft(1L, level)")
+    few = differing_cells() <= outside + F.when(level > 0, 4 * F.sqrt(outside) + 3).otherwise(0)
+    return sizes & F.when(level == F.col("level_b"), few).otherwise(coarse_distance() <= MAX_COARSE)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -209,39 +260,39 @@ def near_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
         members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a <> most").drop("most")
         .join(members, "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
     )
-    reps = usable.join(classes, ["h1", "h2"]).where("doc_id = node").dropDuplicates(["h1", "h2"]).select("node", "n", "keys", "coarse")
-    reps = scratch.save(reps, "classes")
-    keyed = reps.select("node", "n", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
-    buckets = scratch.save(keyed.join(shared.select("key", "least"), "key"), "buckets")
-
-    light = reps.select("node", "n", "coarse")
-    other = light.select(F.col("node").alias("least"), F.col("n").alias("m"), F.col("coarse").alias("coarse_b"))
+    reps = usable.join(classes, ["h1", "h2"]).where("doc_id = node").dropDuplicates(["h1", "h2"])
+    reps = scratch.save(reps.select("node", "keys", *sketch_columns()), "classes")
+    keyed = reps.select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(
+        F.min("node").alias("least"), F.max("node").alias("most"), F.min_by("node", F.xxhash64("node", "key")).alias("star")
+    ).where("least <> most")
+    buckets = scratch.save(keyed.join(shared.select("key", "star"), "key"), "buckets")
+
+    light = reps.drop("keys")
+    nearest = Window.partitionBy("node").orderBy("distance", "star")  # at most a row for each key of a class
     first = (
-        buckets.where("node <> least").select("node", "least").distinct()
-        .join(light, "node").join(other, "least")
-        .where(_similar_sizes("n", "m") & (coarse_distance("coarse", "coarse_b") <= MAX_COARSE))
-        .groupBy("node").agg(F.min("least").alias("b")).withColumnRenamed("node", "a")
+        buckets.where("node <> star").select("node", "star").distinct()
+        .join(light, "node").join(of_other(light, "star"), "star").where(may_link())
+        .select("node", "star", differing_cells().alias("distance"))
+        .withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= STARS)
+        .select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b")).distinct()
     )
     first = scratch.save(first, "first")
     stars = scratch.save(confirm(first, named_sets(narrow, first, scratch)), "stars")
     found = components(stars.unionByName(split), scratch)
 
-    labelled = scratch.save(
-        buckets.join(found, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "labelled"
-    )
+    labelled = scratch.save(buckets.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "labelled")
     counts = labelled.groupBy("key", "root").count()
     mixed = counts.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
-    open_rows = scratch.save(labelled.join(mixed, "key").join(light.select("node", "coarse"), "node"), "open")
-    left = open_rows.where("root <> main").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("coarse").alias("ca"))
-    right = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("coarse").alias("cb"), "main")
+    open_rows = scratch.save(labelled.join(mixed, "key").join(light, "node"), "open")
+    left = open_rows.where("root <> main").withColumnsRenamed({"node": "a", "root": "ra"}).drop("main")
+    right = open_rows.select("key", "main", F.col("root").alias("rb"), F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in light.columns if c != "node"])
     second = (
         left.join(right, "key")
-        .where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))))
-        .where(_similar_sizes("na", "nb") & (coarse_distance("ca", "cb") <= MAX_COARSE))
+        .where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & may_link())
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
-    second = scratch.save(second.join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "second")
+    second = scratch.save(second.join(first, ["a", "b"], "left_anti"), "second")
     if not second.isEmpty():
         links = scratch.save(confirm(second, named_sets(narrow, second, scratch)), "links")
         if not links.isEmpty():
