@@ -65,6 +65,24 @@ def unit_edges(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, np.searchsorted(starts, block.bounds)
 
 
+def units_lowered(block: Block) -> Block:
+    """The same documents with A-Z in lower case, so that units share what is remembered.
+    Words that may hold a special token, which is matched before the tokenizer's normaliser
+    and by case, stay as they are, and so do words with combining marks (U+0300 to U+037F):
+    NFC composes some letters with them in lower case only."""
+    lowered = block.lowered()
+    kept = (block.data == 0xCC) | (block.data == 0xCD)
+    kept[:-1] |= (block.data[:-1] == 60) & (block.data[1:] == 124)
+    at = np.flatnonzero(kept)
+    if len(at):
+        starts, ends, _ = block.word_edges()
+        word = np.unique(np.searchsorted(starts, at, "right") - 1)
+        size = ends[word] - starts[word]
+        own = np.repeat(starts[word] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        lowered.data[own] = block.data[own]
+    return lowered
+
+
 class UnitEncoder:
     """Ids of texts by the tokenizer of a file; each distinct unit is encoded once."""
 
@@ -87,7 +105,7 @@ class UnitEncoder:
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, all ids one behind the other)."""
         lengths, parts = np.zeros(len(units), np.int64), [np.zeros(0, np.uint32)] * len(units)
-        pure = [k for k, u in enumerate(units) if (u.isascii() and u.isalpha()) or (_letters.fullmatch(u) and _letters.fullmatch(unicodedata.normalize("NFC", u)))]
+        pure = [k for k, u in enumerate(units) if (u.isascii() and u.isalpha()) or (_letters.fullmatch(u) and _letters.fullmatch(unicodedata.normalize("NFC", u).lower()))]
         for lo in range(0, len(pure), 512):
             some = pure[lo:lo + 512]
             ids = np.array(self.plain.encode(" ".join([units[k] for k in some]), add_special_tokens=False).ids, np.uint32)
@@ -108,7 +126,7 @@ class UnitEncoder:
 
     def block_ids(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, first id of each document with one more entry); END_ID closes each document."""
-        block = block.lowered()
+        block = units_lowered(block)
         starts, ends, first = unit_edges(block)
         hashes = block.span_hashes(starts, ends)
         distinct, example, which = np.unique(hashes, return_index=True, return_inverse=True)

@@ -56,6 +56,19 @@ def test_token_ids_are_the_tokenizers_own(documents):
     assert packing.packed_documents(documents([])).count() == 0
 
 
+def test_case_stays_where_the_tokenizer_looks_at_it():
+    texts = [
+        "<|ENDOFTEXT|>", "<|EndOfText|> x", "Ab<|StartOfText|>Cd<|endoftext|>EF", "x<|endoftexT|><|startoftext|>", "A <| B |> C", "<|", "END<", "|X|>",
+        "J\u030cA T\u0308 H\u0331x W\u030aY\u030a T\u0344", "ABC <|ENDOFTEXT|>\u3000Def\xa0É", "\u0130stanbul",
+    ]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, encoder = Tokenizer.from_file(path), packing.UnitEncoder(path)
+    for some in (texts, [t.lower() for t in texts], texts):  # both spellings from what is remembered
+        ids, first = encoder.block_ids(Block.of(some))
+        for i, text in enumerate(some):
+            assert ids[first[i]:first[i + 1]].tolist() == [*own.encode(text, add_special_tokens=False).ids, 2], text
+
+
 def check_sequences(placed, capacity=4096):
     by_sequence = collections.defaultdict(list)
     for r in placed:
