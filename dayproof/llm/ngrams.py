@@ -55,14 +55,17 @@ def document_features(block: Block, bits: int) -> Iterator[tuple[np.ndarray, np.
         yield found.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)
 
 
-def labelled_sample(labels: DataFrame, target: str, rows: int, allowed: Column) -> DataFrame:
-    """At most ``rows`` labelled ids, chosen by a hash of the id (a fixed bound, so
-    small enough to broadcast). Rows with a null id or a label other than 0 and 1
-    teach nothing; an id labelled both ways counts as its smaller label."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int, allowed: Column) -> DataFrame:
+    """At most ``rows`` labelled ids of ``docs``, chosen by a hash of the id (a fixed
+    bound, so small enough to broadcast). Labels of other ids take no place of the
+    bound. Rows with a null id or a label other than 0 and 1 teach nothing; an id
+    labelled both ways counts as its smaller label."""
     order = F.xxhash64("doc_id", F.lit("sample"))
     return (
         labels.where(allowed & F.col("doc_id").isNotNull() & F.col(target).isin(0, 1))
         .groupBy("doc_id").agg(F.min(F.col(target).cast("int")).alias("y"))
+        # Distinct first: a repeated id is then one row of the exchange for each task.
+        .join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
         .orderBy(order, "doc_id").limit(rows)
     )
 

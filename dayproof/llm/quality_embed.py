@@ -10,7 +10,8 @@ scorer is that table (2**BITS numbers, whatever the corpus).
 
 Defined cases: a null or empty text has the mean 0 and so the score of the output
 bias; a null id is scored like any other row; repeated rows are scored once each;
-without labelled rows every score is 0.5; an empty table gives an empty result.
+without labelled rows every score is 0.5 and the filter keeps all; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ def fit_embeddings(
 def train_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float] | None:
     """(weight per bucket, bias) of the log odds of quality 1; None without labelled rows.
     Rows of the held-out fold teach nothing."""
-    sample = labelled_sample(labels, "quality", sample_rows, fold("doc_id", FOLDS) != HELD_OUT)
+    sample = labelled_sample(docs, labels, "quality", sample_rows, fold("doc_id", FOLDS) != HELD_OUT)
     model = train(docs, sample, BITS, fit_embeddings)
     if model is None:
         return None
@@ -100,5 +101,9 @@ def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` predicted to be of quality 1, with their columns."""
-    return quality_scores(docs, train_quality(docs, labels)).where(F.col("_score") >= THRESHOLD).drop("_score")
+    """The rows of ``docs`` predicted to be of quality 1, with their columns; all rows
+    when no labelled row is left to learn from, as nothing speaks against any of them."""
+    model = train_quality(docs, labels)
+    if model is None:
+        return docs
+    return quality_scores(docs, model).where(F.col("_score") >= THRESHOLD).drop("_score")

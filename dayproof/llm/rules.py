@@ -136,7 +136,7 @@ def fit_logistic(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BIT
 
 def train_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float] | None:
     """(weight per bucket, bias) of the calibrated log odds; None without labelled rows."""
-    model = train(docs, labelled_sample(labels, "quality", sample_rows, F.lit(True)), BITS, fit_logistic)
+    model = train(docs, labelled_sample(docs, labels, "quality", sample_rows, F.lit(True)), BITS, fit_logistic)
     if model is None:
         return None
     weights, (slope, offset) = model

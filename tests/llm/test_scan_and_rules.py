@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dayproof.llm import quality_embed, rules
-from dayproof.llm.ngrams import document_features, mean_weights
+from dayproof.llm.ngrams import document_features, labelled_sample, mean_weights
 from dayproof.llm.textscan import Block, blocks
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -105,3 +105,19 @@ def test_without_labels_every_score_is_one_half(documents, spark):
     one = spark.createDataFrame([(1, 1, 0)], LABELS)
     assert quality_embed.classify_quality(documents([(1, "a b"), (2, "")]), one).count() == 2
     assert quality_embed.classify_quality(documents([]), one).count() == 0
+
+
+def test_labels_of_absent_documents_take_no_place_of_the_sample(documents, spark):
+    docs, labels = labelled(documents, spark)
+    wide = labels.unionByName(spark.range(1_000, 61_000).selectExpr("id as doc_id", "0 as quality", "0 as toxic"))
+    found = labelled_sample(docs, wide, "quality", 100, F.lit(True)).collect()
+    assert len(found) == 100 and all(r["doc_id"] < 300 and r["y"] == (r["doc_id"] % 4 != 0) for r in found)
+    for keep in (rules.keep_passing, quality_embed.keep_good):
+        assert {r["doc_id"] for r in keep(docs, wide).collect()} == {i for i in range(300) if i % 4}
+
+
+@pytest.mark.parametrize("keep", [rules.keep_passing, quality_embed.keep_good])
+def test_filters_keep_all_when_nothing_is_labelled(documents, spark, keep):
+    docs, _ = labelled(documents, spark)
+    for ids in ([], [(1_000, 1, 0), (1_001, 0, 0)]):
+        assert keep(docs, spark.createDataFrame(ids, LABELS)).count() == 300
