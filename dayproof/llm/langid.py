@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayproof.llm.common import fold
+from dayproof.llm.ngrams import one_text
 from dayproof.llm.textscan import blocks
 
 SLOTS = 192
@@ -72,7 +73,8 @@ def train_dictionaries(docs: DataFrame) -> dict[str, bytes]:
         return pa.table({"lang": [table["lang"][0].as_py()], "texts": [sum(table["texts"].to_pylist())], "dictionary": pa.array([make_dictionary(texts)], pa.binary())})
 
     # At most SLOTS texts for each language: a bounded broadcast of ids, and a bounded group.
-    rows = learnt.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang").applyInArrow(build, "lang string, texts long, dictionary binary").collect()
+    sampled = one_text(learnt.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]), ["doc_id", "lang", "texts"])
+    rows = sampled.groupBy("lang").applyInArrow(build, "lang string, texts long, dictionary binary").collect()
     return {r["lang"]: bytes(r["dictionary"]) for r in sorted(rows, key=lambda r: (-r["texts"], r["lang"])) if r["dictionary"]}
 
 

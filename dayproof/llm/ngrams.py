@@ -70,9 +70,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int,
     )
 
 
+def one_text(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and text, one row for each: the text with the least hash. Tasks reduce their own rows first."""
+    return rows.groupBy(*keys).agg(F.min_by(F.struct("text"), F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+
+
 def train(docs: DataFrame, sample: DataFrame, bits: int, fit) -> list[np.ndarray] | None:
     """Features of the sampled documents, extracted where they lie, go to one task
-    that fits the model: its input is bounded by the sample's rows times ``2**bits``.
+    that fits the model: its input is bounded by the sample's rows times ``2**bits``,
+    as an id that several rows share teaches by one of them (the least hash of the text).
     ``fit(rows)`` gets (label, buckets, shares) rows in a fixed order and returns
     arrays of float32. None when nothing is labelled."""
 
@@ -102,7 +108,7 @@ def train(docs: DataFrame, sample: DataFrame, bits: int, fit) -> list[np.ndarray
             )
 
     model = (
-        docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+        one_text(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), ["doc_id", "y"])
         .mapInArrow(extract, "doc_id long, y int, buckets binary, shares binary")
         .repartition(1).mapInArrow(learn, "k int, part binary").collect()
     )

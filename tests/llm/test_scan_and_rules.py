@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dayproof.llm import quality_embed, rules
-from dayproof.llm.ngrams import document_features, labelled_sample, mean_weights
+from dayproof.llm.ngrams import document_features, labelled_sample, mean_weights, train
 from dayproof.llm.textscan import Block, blocks
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -121,3 +121,15 @@ def test_filters_keep_all_when_nothing_is_labelled(documents, spark, keep):
     docs, _ = labelled(documents, spark)
     for ids in ([], [(1_000, 1, 0), (1_001, 0, 0)]):
         assert keep(docs, spark.createDataFrame(ids, LABELS)).count() == 300
+
+
+def test_a_repeated_id_teaches_once(documents, spark):
+    docs, labels = labelled(documents, spark)
+    texts = docs.where("doc_id = 1").unionByName(docs.where("doc_id = 2").withColumn("doc_id", F.lit(1).cast("long")))
+    many = docs.where("doc_id <> 1").unionByName(texts.crossJoin(spark.range(200)).drop("id"))
+
+    def fit(rows):
+        return [np.array([len(rows)], np.float32)]
+
+    seen = train(many, labelled_sample(many, labels, "quality", 1000, F.lit(True)), 16, fit)
+    assert seen[0][0] == 300

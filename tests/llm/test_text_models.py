@@ -161,6 +161,13 @@ def test_language_by_compression(documents):
     assert langid.language_of(documents([])).count() == 0
 
 
+def test_a_repeated_id_is_one_text_of_its_language(documents, monkeypatch):
+    monkeypatch.setattr(langid, "make_dictionary", lambda texts: " ".join(map(bytes.decode, texts)).encode())
+    rows = [(1, f"text number {i}", "en") for i in range(300)] + [(2, "noch ein text", "de"), (3, "und einer", "de")]
+    found = langid.train_dictionaries(documents(rows))
+    assert len(found["en"].split()) == 3 and len(found["de"].split()) == 5
+
+
 @pytest.fixture
 def corpus():
     rng = random.Random(6)
