@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 OPENERS = r"[<\[]"
 RESTS = r"(?:\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|start_header_id\|>|\|end_header_id\|>|\|eot_id\|>|s>|/s>|<SYS>>|</SYS>>|INST\]|/INST\])"
 START, END = "<|im_start|>", "<|im_end|>\n"
+SHEET = 1024
 
 
 def escape(text: Column) -> Column:
@@ -83,20 +84,15 @@ def render(messages: DataFrame) -> DataFrame:
     """conv_id, formatted and loss_spans (start, length in code points of ``formatted``) of
     each conversation, which is one output row."""
     head = F.concat(F.lit(START), encode_role(F.col("role")), F.lit("\n"))
-    part = F.struct("turn", head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("learn"))
-    parts = messages.select("conv_id", part.alias("part")).groupBy("conv_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    lengths = F.transform("parts", lambda p: F.struct(F.length(p["head"]).alias("head"), F.length(p["body"]).alias("body"), p["learn"].alias("learn")))
-    empty = F.from_json(F.lit("[]"), "array<struct<start:long,length:long,learn:boolean>>")
-    spans = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + p["head"] + p["body"] + len(END)).alias("at"),
-            F.when(p["learn"], F.concat(a["spans"], F.array(F.struct((a["at"] + p["head"]).alias("start"), p["body"].cast("long").alias("length"), p["learn"].alias("learn"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-    )["spans"]
+    written = messages.select("conv_id", "turn", head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("learn"))
+    order = ["turn", "head", "body", "learn"]
+    before = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.length("head") + F.length("body") + len(END)).over(before), F.lit(0))
+    part = F.struct(*order, (at + F.length("head")).alias("start"), F.length("body").cast("long").alias("length"))
+    parts = written.select("conv_id", part.alias("part")).groupBy("conv_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    spans = F.transform(F.filter("parts", lambda p: p["learn"]), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length")))
     formatted = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
-    return parts.select("conv_id", formatted.alias("formatted"), F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))).alias("loss_spans"))
+    return parts.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -109,10 +105,32 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.select("*", turns.alias("turns"))
 
 
+def masked_texts(formatted: DataFrame) -> DataFrame:
+    """``formatted`` with the texts (unescaped) that its loss_spans cut out of it. The cuts are
+    made in sheets of SHEET code points, so that a span costs its length and not its place."""
+    sheets = F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{SHEET}}}"), F.lit(0))
+    with_sheets = formatted.withColumn("sheets", sheets)
+
+    def cut(span: Column) -> Column:
+        sheet = F.floor(span["start"] / SHEET).cast("int")
+        last = F.floor((span["start"] + span["length"]) / SHEET).cast("int")
+        place = (span["start"] - sheet * SHEET + 1).cast("int")
+        whole = F.array_join(F.slice("sheets", sheet + 1, last - sheet + 1), "")
+        return unescape(F.substring(whole, place, span["length"].cast("int")))
+
+    return with_sheets.withColumn("learned", F.transform("loss_spans", cut)).drop("sheets")
+
+
 def chat_digests(rows: DataFrame) -> DataFrame:
-    """The digests of every conversation of ``rows``, read back from its formatted text."""
-    read = read_back(render(fold_messages(conversation_events(rows))))
-    learned = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    """The digests of every conversation of ``rows``, read back from its formatted text; those
+    of the loss are of the text under the mask."""
+    return digests(render(fold_messages(conversation_events(rows))))
+
+
+def digests(formatted: DataFrame) -> DataFrame:
+    """The digests of every row of ``formatted`` (conv_id, formatted, loss_spans)."""
+    read = masked_texts(read_back(formatted))
+    learned = F.array_join("learned", "")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),

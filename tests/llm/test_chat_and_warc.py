@@ -57,6 +57,18 @@ def test_fold_of_deltas_edits_and_regenerations(spark):
     assert "Python" not in plan and "Arrow" not in plan and plan.split("Physical Plan")[1].count("Exchange") == 1
 
 
+def test_loss_is_the_text_under_the_mask(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", HOSTILE[t % len(HOSTILE)] + "é日😀" * (t * 97 % 700)) for t in range(60)]
+    written = chat.render(chat.fold_messages(chat.conversation_events(spark.createDataFrame(rows, TURNS))))
+    row, own = chat.digests(written).first(), "".join(x for _, t, r, x in rows if r == "assistant")
+    assert (row["loss_chars"], row["loss_sha256"]) == (len(own), digest(own))
+    # A wrong mask shows.
+    moved = written.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.struct((s["start"] - 1).alias("start"), s["length"].alias("length"))))
+    bare = written.withColumn("loss_spans", F.slice("loss_spans", 1, 2))
+    assert chat.digests(moved).first()["loss_sha256"] != digest(own)
+    assert chat.digests(bare).first()["loss_sha256"] == digest("".join(x for _, t, _, x in rows if t in (1, 3)))
+
+
 PAGES = "page_id long, url string, html string"
 
 
