@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry_points
+from dayproof.plans import control_queries
 from dayproof.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +48,20 @@ def test_flagship_report(spark):
 def test_plans_stay_inside_built_in_operators(spark, name):
     plan = entry_points.queries()[name](spark, SF)._jdf.queryExecution().toString()
     assert not re.search(r"Python|CartesianProduct|BroadcastNestedLoopJoin", plan)
+
+
+def test_recovered_alerts_carry_the_true_dates(spark, monkeypatch):
+    sent = []
+
+    def only_send(store, as_of, batch_id, sink, settings):
+        if batch_id == "recover-1":
+            recover(store, as_of, batch_id, lambda messages: sent.extend(messages.limit(50).collect()), settings)
+
+    recover = control_queries.alerts.recover_alerts
+    monkeypatch.setattr(control_queries.alerts, "recover_alerts", only_send)
+    QUERIES["alert_recovery_run"](spark, SF)
+    dated = control_queries.current_alerts(spark, SF).select("alert_id", "report_id").join(
+        control_queries.control.reports(spark, SF).select("report_id", "business_date"), "report_id"
+    )
+    dates = {r["alert_id"]: str(r["business_date"]) for r in dated.collect()}
+    assert len(sent) == 50 and all(dates[r["key"]] in r["value"] for r in sent)
