@@ -21,7 +21,7 @@ def read_source_stream(
     landing: str | None = None,
     kafka: dict[str, str] | None = None,
     max_offsets: int = 1_000_000,
-    max_bytes: str = "1g",
+    max_bytes: int = 1 << 30,
     max_files: int | None = None,
 ) -> DataFrame:
     """Continuous read from the earliest record, bounded per trigger: a topic by

@@ -1,5 +1,3 @@
-import datetime as dt
-import json
 import sys
 from pathlib import Path
 
@@ -9,9 +7,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from dayproof.session import build_session  # noqa: E402
 
-UTC = dt.timezone.utc
-CLOCK = dt.datetime(2026, 7, 18, 10, 0, tzinfo=UTC)
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -29,23 +24,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def uid(n: int) -> str:
-    return f"00000000-0000-4000-8000-{n:012x}"
-
-
-def event_json(n=1, key="ORDER-1001", when="2026-07-17T12:00:00Z", amount=125.5, attributes=None, **extra) -> str:
-    body = {
-        "eventId": uid(n) if isinstance(n, int) else n,
-        "businessKey": key,
-        "eventTime": when,
-        "amount": amount,
-        "attributes": {"channel": "WEB"} if attributes is None else attributes,
-    }
-    return json.dumps({**body, **extra})
-
-
-def log_row(offset, value, partition=0, at=None, topic="events"):
-    at = at or dt.datetime(2026, 7, 18, 0, 5, tzinfo=UTC) + dt.timedelta(seconds=offset)
-    return (topic, partition, offset, at, "k", value)

@@ -2,7 +2,7 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
-from conftest import CLOCK, UTC
+from event_rows import CLOCK, UTC
 from pyspark.sql import functions as F
 
 from dayproof import schemas

@@ -4,7 +4,7 @@ import datetime as dt
 import random
 
 import pytest
-from conftest import CLOCK, UTC, event_json, log_row, uid
+from event_rows import CLOCK, UTC, event_json, log_row, uid
 from pyspark.sql import functions as F
 
 from dayproof.functions.payload import decode_events

@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from conftest import CLOCK, UTC, event_json, log_row
+from event_rows import CLOCK, UTC, event_json, log_row
 from pyspark.sql import functions as F
 from test_replay_and_alerts import alert, mismatch
 

@@ -2,7 +2,7 @@ import dataclasses
 import datetime as dt
 
 import pytest
-from conftest import CLOCK, UTC, event_json, log_row
+from event_rows import CLOCK, UTC, event_json, log_row
 from pyspark.sql import functions as F
 
 from dayproof import schemas

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import CLOCK, event_json, log_row
+from event_rows import CLOCK, event_json, log_row
 from pyspark.sql import functions as F
 
 from dayproof.functions.payload import decode_events, same_json
