@@ -2,10 +2,11 @@
 
 A document's ids (end id included) are cut into pieces of at most CAPACITY. Only the
 histogram of piece lengths goes to the driver (at most CAPACITY rows). Lengths are placed
-longest first into the group of equal sequences with most space left; a placement covers
+longest first into the group of equal sequences with most space left; a run covers
 as many sequences at once as the histogram allows, and splits the group if it covers only
-part. A placement is (length, first rank, count, first sequence, offset), and pieces are
-joined to placements by length and rank.
+part. What fits nowhere opens sequences with as many pieces of its length as they hold.
+If whole pieces leave more than PADDING free, some are cut into the gaps. Pieces are
+joined to runs by length and rank.
 
 Ranks: pieces of one length are numbered in SLOTS slots by hash and a slot's ranks start
 after those of the slots before it, so a length that most documents share is not
@@ -18,8 +19,12 @@ empty result; columns other than doc_id and text are not looked at.
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import itertools
 import unicodedata
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
@@ -34,6 +39,8 @@ from dayproof.sources.scratch import Scratch
 
 CAPACITY = 4096
 END_ID = 2
+#: Share of the sequences that may stay free before pieces are cut, and the least space they are cut into.
+PADDING, LEAST_GAP = 0.01, 1 / 128
 SLOTS = 64
 #: Units whose ids a Python worker remembers between blocks; the store starts anew beyond that.
 REMEMBERED = 1_000_000
@@ -187,19 +194,36 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     return docs.select("doc_id", "text").mapInArrow(pieces, "doc_id long, start long, length long, ids binary, doc_tokens long")
 
 
-def place_lengths(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, count, first sequence, offset) of every placement."""
-    placements: list[tuple[int, int, int, int, int]] = []
-    groups: dict[int, list[tuple[int, int]]] = {}  # space left: (first sequence, sequences)
+class Run(NamedTuple):
+    """Where pieces of one length go: item ``i`` of ``count`` (ranks from ``rank``) covers the
+    stretch ``[i * length, (i + 1) * length)``, which is laid over the sequences from ``first`` on,
+    ``span`` ids in each of them from ``offset``. A span that is no multiple of the length cuts items."""
+
+    length: int
+    rank: int
+    count: int
+    first: int
+    offset: int
+    span: int
+
+
+def place_runs(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Run], list[tuple[int, int, int, Run | None]], int]:
+    """(runs, free space, sequences): lengths longest first into the sequences with most space left.
+
+    What fits nowhere opens sequences that hold as many pieces of that length as they can. Free
+    space is (space, first sequence, sequences, the run that opened them if nothing else is in them).
+    """
+    runs: list[Run] = []
+    groups: dict[int, list[tuple[int, int, Run | None]]] = {}  # space left: (first sequence, sequences, run)
     spaces: list[int] = []  # heap of the keys of groups, most space first
     sequences = 0
 
-    def add(space: int, first: int, count: int) -> None:
-        if space:
+    def add(space: int, first: int, count: int, run: Run | None = None) -> None:
+        if space and count:
             if space not in groups:
                 groups[space] = []
                 heapq.heappush(spaces, -space)
-            groups[space].append((first, count))
+            groups[space].append((first, count, run))
 
     for length in sorted(histogram, reverse=True):
         left, rank = histogram[length], 0
@@ -208,23 +232,91 @@ def place_lengths(histogram: dict[int, int], capacity: int = CAPACITY) -> list[t
                 heapq.heappop(spaces)
             space = -spaces[0] if spaces else 0
             if space >= length:
-                first, count = groups[space].pop()
+                first, count, run = groups[space].pop()
                 if not groups[space]:
                     del groups[space]
                 if count > left:
-                    add(space, first + left, count - left)
+                    add(space, first + left, count - left, run and run._replace(rank=run.rank + left * run.span // run.length))
                     count = left
-            else:
-                space, first, count = capacity, sequences, left
-                sequences += left
-            placements.append((length, rank, count, first, capacity - space))
-            add(space - length, first, count)
-            left, rank = left - count, rank + count
-    return placements
+                runs.append(Run(length, rank, count, first, capacity - space, length))
+                add(space - length, first, count)
+                left, rank = left - count, rank + count
+                continue
+            each = capacity // length
+            for count, copies in ((left // each, each), (1, left % each)):
+                if count and copies:
+                    runs.append(Run(length, rank, count * copies, sequences, 0, copies * length))
+                    add(capacity - copies * length, sequences, count, runs[-1])
+                    sequences, rank = sequences + count, rank + count * copies
+            left = 0
+    return runs, [(space, *entry) for space in groups for entry in groups[space]], sequences
+
+
+def place_lengths(histogram: dict[int, int], capacity: int = CAPACITY) -> Iterator[tuple[int, int, int, int, int]]:
+    """(length, first rank, count, first sequence, offset) of whole pieces, one piece to a sequence."""
+    for length, rank, count, first, offset, span in place_runs(histogram, capacity)[0]:
+        copies = span // length
+        for k in range(copies):
+            yield length, rank + k * (count // copies), count // copies, first, offset + k * length
+
+
+def fill_gaps(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
+    """Runs of every piece. While whole pieces leave more than PADDING of the sequences free,
+    sequences of one length each, those with most space first, are taken apart and their pieces
+    cut into the space of the others, down to spaces of LEAST_GAP ids."""
+    runs, free, sequences = place_runs(histogram, capacity)
+    space_left = sum(space * count for space, _, count, _ in free)
+    if space_left <= PADDING * sequences * capacity:
+        return runs
+    least = max(1, int(LEAST_GAP * capacity))
+    donors = sorted((f for f in free if f[3] is not None), key=lambda f: (-f[0], f[1]))
+    gaps = {(space, first): count for space, first, count, _ in free if space >= least}
+    gone: list[tuple[int, int]] = []  # sequences that are taken apart: (first, count)
+    given: list[Run] = []  # their pieces
+    room = sum(space * count for (space, _), count in gaps.items())
+    for space, first, count, run in donors:
+        # Taken apart, a sequence gives up its own space as well; a length less one may be lost in each gap group.
+        lost = sum(1 for _ in gaps) * (max(histogram) - 1)
+        own = space if (space, first) in gaps else 0
+        n = min(count, max(0, room - lost) // (run.span + own))
+        if n <= 0:
+            continue
+        # The last sequences of the group, with the last ranks of its run.
+        copies = run.span // run.length
+        gone.append((first + count - n, n))
+        given.append(Run(run.length, run.rank + (count - n) * copies, n * copies, 0, 0, run.length))
+        room -= n * (run.span + own)
+        if own:
+            gaps[space, first] -= n
+    kept = []
+    taken = {(g.length, g.rank): g.count for g in given}
+    for run in runs:
+        ends = [(rank, rank + n) for (length, rank), n in taken.items() if length == run.length and run.rank <= rank < run.rank + run.count]
+        at = run.rank
+        for lo, hi in [*sorted(ends), (run.rank + run.count, 0)]:
+            if lo > at:
+                skipped = (at - run.rank) * run.length // run.span
+                kept.append(run._replace(rank=at, count=lo - at, first=run.first + skipped))
+            at = hi
+    spans = sorted(((space, first, count) for (space, first), count in gaps.items() if count), reverse=True)
+    for length, rank, count, *_ in given:
+        while count:
+            space, first, n = spans[0]
+            whole = min(count, space * n // length)
+            used = -(-whole * length // space)
+            if whole:
+                kept.append(Run(length, rank, whole, first, capacity - space, space))
+            spans[:1] = [(space, first + used, n - used)] if n > used and whole else []
+            rank, count = rank + whole, count - whole
+    # Close the gaps in the numbers of the sequences.
+    gone.sort()
+    starts, before = [g[0] for g in gone], [0, *itertools.accumulate(g[1] for g in gone)]
+    return [run._replace(first=run.first - before[bisect.bisect_right(starts, run.first)]) for run in kept]
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (stored rows with doc_id, start, length) with sequence_id and offset."""
+    """``pieces`` (stored rows with doc_id, start, length) with sequence_id and offset. A piece that
+    is cut becomes several rows, with ``skip`` ids of the piece before each; ``cut`` marks them."""
     spark = pieces.sparkSession
     slots = max(SLOTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Ids may repeat: whatever order ties take, ranks within a slot are distinct.
@@ -235,29 +327,50 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     starts = counts.select("length", "slot", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     nth = F.row_number().over(Window.partitionBy("length", "slot").orderBy("doc_id", "start")) - 1
     ranked = slotted.withColumn("nth", nth).join(starts, ["length", "slot"]).withColumn("rank", F.col("before") + F.col("nth"))
-    schema = "length long, first_rank long, count long, first_sequence long, offset long"
-    placements = spark.createDataFrame(place_lengths(histogram, capacity), schema)
-    # As many rows as placements of the histogram: bounded by its lengths, not by the pieces.
-    joined = ranked.join(F.broadcast(placements), "length").where("rank >= first_rank and rank < first_rank + count")
-    return joined.withColumn("sequence_id", F.col("first_sequence") + F.col("rank") - F.col("first_rank")).drop(
-        "slot", "nth", "before", "rank", "first_rank", "count", "first_sequence"
-    )
-
-
-def packed_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    schema = "length long, first_rank long, count long, first long, shift long, span long"
+    runs = spark.createDataFrame(fill_gaps(histogram, capacity), schema)
+    # As many rows as runs of the histogram: bounded by its lengths, not by the pieces.
+    joined = ranked.join(F.broadcast(runs), "length").where("rank >= first_rank and rank < first_rank + count")
+    lo, hi = "(rank - first_rank) * length", "(rank - first_rank + 1) * length"
+    laid = joined.withColumns({"lo": F.expr(lo), "hi": F.expr(hi)}).withColumn("cell", F.expr("explode(sequence(lo div span, (hi - 1) div span))"))
+    laid = laid.withColumns({"from": F.expr("greatest(lo, cell * span)"), "to": F.expr("least(hi, (cell + 1) * span)")})
+    columns = {
+        "cut": F.expr("to - from < length"), "skip": F.expr("from - lo"), "piece_start": F.col("start"),
+        "sequence_id": F.expr("first + cell"), "offset": F.expr("shift + from - cell * span"),
+        "start": F.expr("start + from - lo"), "length": F.expr("to - from"),
+    }
+    return laid.select(*[c for c in pieces.columns if c not in columns], *[value.alias(name) for name, value in columns.items()])
+
+
+def packed_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece of ``docs``."""
     scratch = Scratch(docs.sparkSession, "packing")
-    narrow = token_pieces(docs, tokenizer).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    placed = pack(scratch.save(narrow, "pieces"))
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    made = token_pieces(docs, tokenizer, capacity).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    placed = scratch.save(pack(scratch.save(made, "pieces"), capacity), "placed")
+    result = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    whole, cut = placed.where("not cut").select(result), placed.where("cut")
+    if cut.isEmpty():
+        return whole
+    # Ids of the few documents with cut pieces are made again; pieces alike in all of these columns are interchangeable.
+    theirs = docs.join(cut.select(F.col("doc_id").alias("_cut")).distinct(), F.col("doc_id").eqNullSafe(F.col("_cut")), "left_semi")
+    again = token_pieces(theirs, tokenizer, capacity).select(
+        F.col("doc_id").alias("_doc"), F.col("start").alias("_start"), F.crc32("ids").alias("_crc"), "ids"
+    ).dropDuplicates(["_doc", "_start", "_crc"])
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("piece_start") == F.col("_start")) & (F.col("ids_crc32") == F.col("_crc"))
+    part = F.substring("ids", F.col("skip") * 4 + 1, F.col("length") * 4)
+    parts = cut.join(again, same).withColumn("ids_crc32", F.crc32(part))
+    return whole.unionByName(parts.select(result))
 
 
 def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """sequence_id, ids: the packed sequences themselves (ids must be unique in ``docs``).
     A sequence holds CAPACITY ids at most, so a group is small."""
-    with_ids = token_pieces(docs, tokenizer).select("doc_id", "start", "ids")
+    # A cut piece lies within one of the uncut ones.
+    home = F.expr(f"start div {CAPACITY} * {CAPACITY}")
+    with_ids = token_pieces(docs, tokenizer).select("doc_id", F.col("start").alias("home"), "ids")
+    own = F.substring("ids", (F.col("start") - F.col("home")) * 4 + 1, F.col("length") * 4).alias("ids")
     return (
-        placed.join(with_ids, ["doc_id", "start"]).groupBy("sequence_id")
-        .agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
+        placed.withColumn("home", home).join(with_ids, ["doc_id", "home"]).groupBy("sequence_id")
+        .agg(F.array_sort(F.collect_list(F.struct("offset", own))).alias("parts"))
         .select("sequence_id", F.aggregate("parts", F.unhex(F.lit("")), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
     )

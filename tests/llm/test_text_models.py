@@ -81,6 +81,49 @@ def check_sequences(placed, capacity=4096):
         assert end <= capacity
 
 
+@pytest.mark.parametrize("histogram", [
+    {10: 100_000}, {5: 50_000, 300: 2_000}, {200: 10_000, 1500: 500, 4096: 100}, {3000: 1_000}, {3000: 700, 2999: 4, 17: 1},
+])
+def test_runs_fill_the_sequences(histogram):
+    used, ranks = collections.defaultdict(list), collections.defaultdict(list)
+    for length, rank, count, first, offset, span in packing.fill_gaps(histogram):
+        ranks[length].append((rank, count))
+        for i in range(count):
+            lo, hi = i * length, (i + 1) * length
+            for cell in range(lo // span, (hi - 1) // span + 1):
+                a, b = max(lo, cell * span), min(hi, (cell + 1) * span)
+                used[first + cell].append((offset + a - cell * span, b - a))
+    for length, n in histogram.items():
+        ends = list(itertools.accumulate([0, *[c for _, c in sorted(ranks[length])]]))
+        assert [r for r, _ in sorted(ranks[length])] == ends[:-1] and ends[-1] == n
+    for parts in used.values():
+        ends = list(itertools.accumulate([0, *[n for _, n in sorted(parts)]]))
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 4096
+    assert sorted(used) == list(range(len(used)))
+    assert sum(n * c for n, c in histogram.items()) >= 0.99 * 4096 * (len(used) - 1)
+
+
+def test_short_texts_are_packed_densely_and_cut_pieces_keep_their_ids(documents):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["one", "two", "tree", "house"]) for _ in range(rng.choice([60, 60, 60, 2]))) for _ in range(300)]
+    rows = [*enumerate(texts), (None, texts[0]), (0, texts[0]), (0, "other"), (301, None)]
+    placed = packing.packed_documents(documents(rows), capacity=100).collect()
+    check_sequences(placed, 100)
+    tokens = sum(r["length"] for r in placed)
+    assert tokens >= 0.95 * 100 * len({r["sequence_id"] for r in placed})
+    own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    expected = collections.Counter()
+    for i, text in rows:
+        expected[i, (*own.encode(text or "", add_special_tokens=False).ids, 2)] += 1
+    pieces_of = collections.defaultdict(list)
+    for r in placed:
+        pieces_of[r["doc_id"], r["doc_tokens"]].append(r)
+    assert sum(r["length"] < min(100, r["doc_tokens"]) for r in placed) > 0  # some pieces are cut
+    for (i, ids), n in expected.items():
+        spans = [r for r in pieces_of[i, len(ids)] if zlib.crc32(np.array(ids[r["start"]:r["start"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"]]
+        assert sum(r["length"] for r in spans) >= n * len(ids)
+
+
 def test_placements_cover_each_rank_once():
     rng = random.Random(4)
     histogram = {rng.randint(1, 100): rng.randint(1, 50) for _ in range(60)} | {1: 100_000, 100: 3}
