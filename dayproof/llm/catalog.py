@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dayproof.llm import chat, exact, langid, lm, neardup, packing, pieces, quality_embed, rules, warc
+from dayproof.llm import chat, exact, filter_audit, langid, lm, neardup, packing, pieces, prefixhash, quality_embed, resample, rules, warc
 from dayproof.llm.common import keep_session_batches, ship_code, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +115,85 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_lm_scores")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op11_fingerprints")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixhash.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
+@query("op12_filter_audit", r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+  FROM documents
+), m AS (
+  SELECT doc_id, part, (CASE WHEN len(words) < 100 THEN 1 ELSE 0 END)
+    + (CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END)
+    + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END)
+    + (CASE WHEN doc_id > least THEN 16 ELSE 0 END) AS bits
+  FROM d
+), c AS (
+  SELECT part, bits, count(*) AS n, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good,
+    count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS toxic
+  FROM m GROUP BY part, bits
+), f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), o AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), s AS (
+  SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS earlier FROM o, (SELECT unnest(range(1, 6))::INTEGER AS step)
+), r AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN c.bits & (bit | earlier) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN c.bits & bit > 0 AND c.bits & earlier = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN c.bits & bit > 0 AND c.bits & earlier > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN c.bits = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN c.bits & bit > 0 AND c.bits & earlier = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN c.bits & bit > 0 AND c.bits & earlier = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM r
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_resample", r"""
+WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), b AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+), w AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(word)), lambda k: ('0x' || substr(hex(encode(word)), 2 * k + 1, 2))::BIGINT)),
+    lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT unnest(words) AS word FROM d UNION SELECT unnest(words) FROM b), t
+), s AS (SELECT bucket, count(*) AS n FROM (SELECT unnest(words) AS word FROM d) JOIN w USING (word) GROUP BY bucket),
+u AS (SELECT bucket, count(*) AS n FROM (SELECT unnest(words) AS word FROM b) JOIN w USING (word) GROUP BY bucket),
+g AS (
+  SELECT s.bucket, floor(1000 * ln((coalesce(u.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + 10000)::DOUBLE
+    / ((s.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM u), 0) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s LEFT JOIN u USING (bucket)
+), p AS (
+  SELECT doc_id, sum(gain) AS total FROM (SELECT doc_id, unnest(words) AS word FROM d) JOIN w USING (word) JOIN g USING (bucket) GROUP BY doc_id
+), r AS (
+  SELECT doc_id, len(words) AS n_features, coalesce(floor(total::DOUBLE / len(words)), 0)::BIGINT AS weight,
+    ('0x' || left(sha256('2024:' || doc_id), 8))::BIGINT AS h
+  FROM d LEFT JOIN p USING (doc_id)
+), q AS (
+  SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM r
+), z AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS nth,
+    (SELECT count(*) * 10 // 100 FROM q WHERE n_features >= 20) AS wanted
+  FROM q
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND nth <= wanted THEN nth END AS rank FROM z
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
