@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dayproof.functions.common import interval, short_message, stable_uuid
 from dayproof.settings import DEFAULTS, Settings
+from dayproof.sources.scratch import Scratch
 from dayproof.sources.tables import latest_version
 
 
@@ -116,32 +117,50 @@ def complete_alerts(alerts: DataFrame, outcomes: DataFrame) -> DataFrame:
     )
 
 
-def recover_alerts(store, as_of: Column, batch_id: str, sink, settings: Settings = DEFAULTS) -> DataFrame:
-    """One recovery run: pick stale entries, deliver them, append the outcome.
+def deliver(store, due: DataFrame, as_of: Column, batch_id: str, sink, settings: Settings = DEFAULTS) -> None:
+    """One delivery attempt of the ``due`` entries: send, then append the outcomes.
 
     ``sink`` gets the message frame. A sink that raises turns the batch's sendable
     entries into FAILED ones; delivery is at least once.
     """
+    with Scratch(store.spark, batch_id) as scratch:
+        # The sink and the outcomes see the same entries, whatever is appended meanwhile.
+        due = scratch.save(due, "due")
+        deliveries = scratch.save(deliverable(alerts_with_reports(due, store.read_or_empty("reports")), settings), "deliveries")
+        try:
+            sink(alert_messages(deliveries))
+        except Exception as failure:  # noqa: BLE001 - any transport error is recorded
+            text = str(failure) or type(failure).__name__
+            deliveries = deliveries.withColumn(
+                "problem",
+                F.when(F.col("problem").isNull() & (F.col("channel") == "KAFKA"), F.lit(text[:2000])).otherwise(
+                    F.col("problem")
+                ),
+            )
+        store.append(batch_id, {"alerts": complete_alerts(due, delivery_outcomes(deliveries, as_of))})
+
+
+def recover_alerts(store, as_of: Column, batch_id: str, sink, settings: Settings = DEFAULTS) -> DataFrame:
+    """One recovery run: pick stale entries and try to deliver them again."""
     current = latest_version(store.read_or_empty("alerts"), ["alert_id"])
     # The limit comes last: rows this job never updates must not fill the batch.
     mine = handled_here(current, store.read_or_empty("reports"), settings)
     due = recoverable_alerts(mine, as_of - interval(settings.alert_retry_after), settings.recovery_batch)
-    deliveries = deliverable(alerts_with_reports(due, store.read_or_empty("reports")), settings)
-    try:
-        sink(alert_messages(deliveries))
-    except Exception as failure:  # noqa: BLE001 - any transport error is recorded
-        text = str(failure) or type(failure).__name__
-        deliveries = deliveries.withColumn(
-            "problem",
-            F.when(F.col("problem").isNull() & (F.col("channel") == "KAFKA"), F.lit(text[:2000])).otherwise(
-                F.col("problem")
-            ),
-        )
-    versions = complete_alerts(due, delivery_outcomes(deliveries, as_of))
-    store.append(batch_id, {"alerts": versions})
+    deliver(store, due, as_of, batch_id, sink, settings)
     return store.read("alerts")
 
 
+def deliver_new(store, reports: DataFrame, as_of: Column, batch_id: str, sink, settings: Settings = DEFAULTS) -> bool:
+    """First attempt for the outbox entries of ``reports`` that were never tried. False if there are none."""
+    current = latest_version(store.read_or_empty("alerts"), ["alert_id"])
+    untried = current.filter("status = 'PENDING' AND attempt_count = 0").join(reports.select("report_id"), ["report_id"], "left_semi")
+    due = handled_here(untried.select(*current.columns), store.read_or_empty("reports"), settings)
+    if due.isEmpty():
+        return False
+    deliver(store, due, as_of, batch_id, sink, settings)
+    return True
+
+
 def dedupe_delivered(messages: DataFrame) -> DataFrame:
     """Consumer side of at-least-once delivery: one message per alert id."""
     return messages.dropDuplicates(["alert_id"])

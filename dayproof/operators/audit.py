@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayproof import schemas
 from dayproof.functions.common import row_json
+from dayproof.operators import daily
 from dayproof.operators.skew import key_counts
+from dayproof.sources.scratch import Scratch
 
 
 def _listed(column: str, values: tuple[str, ...]) -> str:
@@ -129,21 +133,68 @@ def deletion_audit(
     before: DataFrame, after: DataFrame, table: str, key: str, changed_at: Column
 ) -> DataFrame:
     """DELETE audit rows for rows of ``before`` whose key is gone."""
-    gone = before.join(after.select(key), [key], "left_anti")
+    return deleted_rows(before.join(after.select(key), [key], "left_anti"), table, key, changed_at)
+
+
+def deleted_rows(gone: DataFrame, table: str, key: str, changed_at: Column) -> DataFrame:
+    """DELETE audit rows of the given rows."""
     return gone.select(
         F.lit(table).alias("table_name"),
         F.lit("DELETE").alias("operation"),
         "business_date",
         F.col(key).cast("string").alias("row_key"),
-        row_json(before.columns).alias("old_row"),
+        row_json(gone.columns).alias("old_row"),
         F.lit(None).cast("string").alias("new_row"),
         changed_at.alias("changed_at"),
     )
 
 
+def capture_deletions(store, since: int, as_of: Column, upto: int | None = None) -> str | None:
+    """Find business records that vanished between two commits and append, as one batch, their
+    DELETE audit rows and what their days lose. Returns the batch id, None if nothing could vanish.
+
+    Only folders that one of the two snapshots does not see are compared; a capture that is
+    repeated is skipped.
+    """
+    upto = store.next_seq() - 1 if upto is None else upto
+    batch_id = f"deletions-{since}-{upto}"
+    if store.is_committed(batch_id):
+        return batch_id
+    removed, added = store.replaced("records", since, upto)
+    with Scratch(store.spark, batch_id) as scratch:
+        gone = scratch.save(removed.join(added.select("event_id"), ["event_id"], "left_anti"), "gone")
+        if gone.isEmpty():
+            return None
+        store.append(
+            batch_id,
+            {
+                "audit": deleted_rows(gone, "business_records", "event_id", as_of),
+                "daily_changes": daily.deletion_changes(gone, store.next_seq(), as_of),
+            },
+        )
+    return batch_id
+
+
+def delete_aggregates(store, first: date, last: date, as_of: Column, batch_id: str) -> None:
+    """Take the aggregates of some days away: DELETE audit rows and zeros in the metrics."""
+    if store.is_committed(batch_id):
+        return
+    days = daily.fold_daily_changes(store.read_or_empty("daily_changes").filter(F.col("business_date").between(first, last)))
+    with Scratch(store.spark, batch_id) as scratch:
+        aggregates = scratch.save(daily.aggregates_of(days).filter("record_count <> 0 OR total_amount <> 0"), "aggregates")
+        store.append(
+            batch_id,
+            {
+                "audit": deleted_rows(aggregates, "daily_aggregates", "business_date", as_of),
+                "daily_changes": daily.aggregate_deletion_changes(aggregates, store.next_seq(), as_of),
+            },
+        )
+
+
 def audit_search(audit: DataFrame, day=None) -> DataFrame:
+    """Newest change first; changes of one moment by table and key."""
     found = audit if day is None else audit.filter(F.col("business_date") == F.lit(day))
-    return found.orderBy(F.col("changed_at").desc())
+    return found.orderBy(F.col("changed_at").desc(), "table_name", "row_key")
 
 
 def retention_gaps(bounds: DataFrame, jobs: DataFrame) -> DataFrame:

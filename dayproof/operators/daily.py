@@ -137,6 +137,12 @@ def deletion_changes(deleted_records: DataFrame, seq: int, updated_at) -> DataFr
     return _as_change(gone, "DELTA", seq, updated_at)
 
 
+def aggregate_deletion_changes(aggregates: DataFrame, seq: int, updated_at) -> DataFrame:
+    """A deleted aggregate row (date, count, amount) leaves zeros; the records stay."""
+    gone = _by_day([_tagged(aggregates, aggregate_record_count="-record_count", aggregate_amount="-total_amount")])
+    return _as_change(gone, "DELTA", seq, updated_at)
+
+
 def replacement_changes(metrics: DataFrame, seq: int, updated_at) -> DataFrame:
     """Exact values that replace everything known about their dates so far."""
     return _as_change(metrics.select("business_date", *MEASURES), "REPLACE", seq, updated_at)

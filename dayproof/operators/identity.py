@@ -22,6 +22,10 @@ VARIANT = [*POSITION, "event_id", "payload_hash"]
 # Keys of a micro-batch are broadcast against stored tables up to this count: at
 # under 200 bytes a key that is 100 MB. Larger batches take the shuffled join.
 BROADCAST_KEYS = 500_000
+# Up to this many variants, a batch's event ids go to the scan of the stored tables as a list.
+PUSHED_IDS = 2000
+# Up to this many source partitions have an offset range of their own in the scan's filter.
+PUSHED_RANGES = 256
 
 PAYLOAD_CONFLICT = "event id already has another payload"
 POSITION_CONFLICT = "source position already holds another event"
@@ -36,11 +40,13 @@ class Evidence(NamedTuple):
 
 
 class Shape(NamedTuple):
-    """Size of a batch: distinct variants, most copies of one, most variants at one position."""
+    """Size of a batch: distinct variants, most copies of one, most variants at one position,
+    and the (topic, partition, first offset, last offset) it covers."""
 
     variants: int
     copies: int
     at_one_position: int
+    ranges: tuple[tuple, ...] = ()
 
     @property
     def rows(self) -> int:
@@ -73,29 +79,59 @@ def delivered_variants(valid: DataFrame) -> DataFrame:
 
 
 def batch_shape(variants: DataFrame) -> Shape:
-    """One job, three numbers."""
+    """One job; one row per source partition comes back."""
     places = variants.groupBy(*POSITION).agg(F.expr("count(*) AS n"), F.expr("max(copies) AS copies"))
-    row = places.agg(F.sum("n"), F.max("copies"), F.max("n")).first()
-    return Shape(*[value or 0 for value in row])
+    rows = places.groupBy("topic", "partition").agg(
+        F.sum("n").alias("n"), F.max("copies").alias("copies"), F.max("n").alias("most"),
+        F.min("offset").alias("low"), F.max("offset").alias("high"),
+    ).collect()
+    return Shape(
+        sum(r["n"] for r in rows), max((r["copies"] for r in rows), default=0), max((r["most"] for r in rows), default=0),
+        tuple((r["topic"], r["partition"], r["low"], r["high"]) for r in rows),
+    )
+
+
+def near_positions(ranges: tuple[tuple, ...]) -> Column | None:
+    """Condition on stored observations that can lie at a batch's positions. It reaches the
+    scan, where row groups of other offsets are skipped: a batch of new offsets reads none."""
+    if not ranges:
+        return None
+    if len(ranges) > PUSHED_RANGES:
+        topics = {topic: [r for r in ranges if r[0] == topic] for topic in {r[0] for r in ranges}}
+        ranges = tuple((t, None, min(r[2] for r in own), max(r[3] for r in own)) for t, own in topics.items())
+    near = F.lit(False)
+    for topic, partition, low, high in ranges:
+        here = F.col("source_topic").eqNullSafe(F.lit(topic)) & F.col("source_offset").between(low, high)
+        near = near | (here if partition is None else here & (F.col("source_partition") == partition))
+    return near
+
+
+def pushed_ids(candidates: DataFrame, shape: Shape) -> list[str] | None:
+    """The event ids of a small batch, else None."""
+    if shape.variants > PUSHED_IDS:
+        return None
+    return [r["event_id"] for r in candidates.select("event_id").distinct().collect()]
 
 
 def _lookup(
-    stored: DataFrame | None, columns: list[str], keys: list[str], wanted: DataFrame, small: bool
+    stored: DataFrame | None, columns: list[str], keys: list[str], wanted: DataFrame, small: bool, near: Column | None = None
 ) -> DataFrame | None:
-    """Stored rows whose keys occur in ``wanted``. With a small batch the stored
-    table is only scanned, never shuffled."""
+    """Stored rows whose keys occur in ``wanted``. With a small batch the stored table is only
+    scanned, never shuffled; ``near`` holds for all of them and is for the scan to skip by."""
     if stored is None:
         return None
-    found = stored.selectExpr(*columns)
+    found = (stored if near is None else stored.filter(near)).selectExpr(*columns)
     if small:
         return found.join(F.broadcast(wanted.select(*keys).distinct()), keys, "left_semi")
     return found
 
 
-def with_seen_events(variants: DataFrame, observations: DataFrame | None, small: bool = False) -> DataFrame:
+def with_seen_events(
+    variants: DataFrame, observations: DataFrame | None, small: bool = False, near: Column | None = None
+) -> DataFrame:
     """Add ``seen_event``: the event already stored at the row's position."""
     columns = [f"{s} AS {p}" for s, p in zip(SOURCE_POSITION, POSITION)]
-    seen = _lookup(observations, [*columns, "event_id AS seen_event"], POSITION, variants, small)
+    seen = _lookup(observations, [*columns, "event_id AS seen_event"], POSITION, variants, small, near)
     if seen is None:
         return variants.withColumn("seen_event", F.expr(NULL_TEXT))
     return variants.join(seen, POSITION, "left")
@@ -163,18 +199,24 @@ def position_losers(candidates: DataFrame, ledger: DataFrame | None, scratch: Sc
 
 
 def event_facts(
-    candidates: DataFrame, ledger: DataFrame | None, records: DataFrame | None, small: bool = False
+    candidates: DataFrame,
+    ledger: DataFrame | None,
+    records: DataFrame | None,
+    small: bool = False,
+    ids: list[str] | None = None,
 ) -> DataFrame:
     """Per (event id, payload hash): does it agree with the event's first payload,
-    when did it first arrive, is the event or its record stored already."""
+    when did it first arrive, is the event or its record stored already. ``ids`` are
+    all event ids of the candidates, if they are few: bloom filters answer for them."""
+    near = None if ids is None else F.col("event_id").isin(ids)
     by_payload = candidates.groupBy("event_id", "payload_hash").agg(
         F.expr(f"min({ARRIVAL}) AS first_arrival"), F.expr("count(*) AS copies")
     )
     by_event = by_payload.groupBy("event_id").agg(
         F.expr("min_by(payload_hash, struct(first_arrival, payload_hash)) AS reference_hash")
     )
-    known = _lookup(ledger, ["event_id", "payload_hash AS known_hash"], ["event_id"], by_event, small)
-    held = _lookup(records, ["event_id", "true AS has_record"], ["event_id"], by_event, small)
+    known = _lookup(ledger, ["event_id", "payload_hash AS known_hash"], ["event_id"], by_event, small, near)
+    held = _lookup(records, ["event_id", "true AS has_record"], ["event_id"], by_event, small, near)
     if known is not None:
         by_event = by_event.join(known, ["event_id"], "left")
     if held is not None:
@@ -202,7 +244,7 @@ def resolve(
     """Verdict and insert flags per variant (the projection outcome).
     ``variants`` is a stored table of :func:`delivered_variants`."""
     small = shape.variants <= BROADCAST_KEYS
-    placed = with_seen_events(variants, existing.observations, small)
+    placed = with_seen_events(variants, existing.observations, small, near_positions(shape.ranges))
     if existing.observations is not None:
         placed = scratch.save(placed, "placed")
     foreign = "seen_event IS NOT NULL AND seen_event <> event_id"
@@ -215,7 +257,9 @@ def resolve(
         losers = scratch.save(position_losers(candidates, existing.ledger, scratch), "losers")
         candidates = candidates.join(losers, VARIANT, "left_anti")
         lost = losers if lost is None else lost.unionByName(losers)
-    facts = event_facts(candidates, existing.ledger, existing.records, small)
+    stored = existing.ledger is not None or existing.records is not None
+    ids = pushed_ids(candidates, shape) if stored else None
+    facts = event_facts(candidates, existing.ledger, existing.records, small, ids)
     if shape.variants >= hot_rows:
         # Both routes of the join read the facts.
         facts = scratch.save(facts, "facts")

@@ -14,6 +14,7 @@ from dayproof.functions.common import inclusive_days, interval, short_message, s
 from dayproof.functions.payload import decode_events
 from dayproof.operators import daily, identity, repair
 from dayproof.operators.alerts import outbox_for
+from dayproof.operators.known_keys import KnownKeys
 from dayproof.operators.reconcile import reconcile
 from dayproof.operators.reports import NotFound
 from dayproof.operators.skew import attach
@@ -377,8 +378,23 @@ def run_job(
     return "COMPLETED"
 
 
+def _long(left: list, settings: Settings) -> bool:
+    """Several chunks are left, each too large for its keys to be broadcast."""
+    lengths = [r["end_offset"] - r["next_offset"] for r in left]
+    chunk = sum(min(n, settings.replay_chunk_offsets) for n in lengths)
+    return max(lengths, default=0) > settings.replay_chunk_offsets and chunk > identity.BROADCAST_KEYS
+
+
 def _run_chunks(store, source, job, as_of, settings, on_reject, after_chunk) -> None:
     checkpoints = load_or_plan(store, source, job, as_of, settings)
+    if not job["dry_run"] and _long(resume_ranges(checkpoints).collect(), settings):
+        with KnownKeys(store) as keys:
+            _run_each_chunk(store, source, job, checkpoints, as_of, settings, on_reject, after_chunk, keys)
+    else:
+        _run_each_chunk(store, source, job, checkpoints, as_of, settings, on_reject, after_chunk, None)
+
+
+def _run_each_chunk(store, source, job, checkpoints, as_of, settings, on_reject, after_chunk, keys) -> None:
     number = 0
     while True:
         # One row per source partition: control data, like the offsets of a stream.
@@ -391,21 +407,21 @@ def _run_chunks(store, source, job, as_of, settings, on_reject, after_chunk) ->
             for r in left
         ]
         with Scratch(store.spark, f"replay-{job['job_id']}") as scratch:
-            _run_chunk(store, source, job, checkpoints, chunk, number, as_of, on_reject, scratch)
+            _run_chunk(store, source, job, checkpoints, chunk, number, as_of, on_reject, scratch, keys)
         stored = store.read("checkpoints").filter(F.col("job_id") == job["job_id"])
         checkpoints = latest_version(stored, ["job_id", "source_topic", "source_partition"])
         if after_chunk is not None:
             after_chunk(number)
 
 
-def _run_chunk(store, source, job, checkpoints, chunk, number, as_of, on_reject, scratch) -> None:
+def _run_chunk(store, source, job, checkpoints, chunk, number, as_of, on_reject, scratch, keys) -> None:
     spark, job_id, attempt = store.spark, job["job_id"], job["attempt_count"]
     frames: dict[str, DataFrame] = {}
     found = scratch.save(count_range(source, chunk), "found")
     if not job["dry_run"]:
         rows = read_source_range(source, chunk)
         checked = scratch.save(validate_events(decode_events(rows), as_of), "checked")
-        result = identity.project(checked, store.evidence(), as_of, scratch)
+        result = identity.project(checked, store.evidence() if keys is None else keys.evidence(), as_of, scratch)
         dead = result.dead_letters
         if on_reject == "fail" and not dead.isEmpty():
             # The first refused row in log order, so that a repeated run fails with the same text.
@@ -443,7 +459,10 @@ def _run_chunk(store, source, job, checkpoints, chunk, number, as_of, on_reject,
         heartbeat_at=as_of,
     )
     frames |= {"checkpoints": moved, "jobs": beat}
-    store.append(f"replay-{job_id}-a{attempt}-c{number}", frames)
+    batch_id = f"replay-{job_id}-a{attempt}-c{number}"
+    store.append(batch_id, frames)
+    if keys is not None:
+        keys.add(store.written("ledger", batch_id), store.written("records", batch_id))
 
 
 def _repair_and_validate(store, source, job, as_of, settings) -> None:

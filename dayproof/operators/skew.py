@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dayproof.sources.scratch import Scratch
+
 # At most this many keys take the broadcast route, so its size is bounded whatever
 # the data: any key outside the HOT_KEYS heaviest holds under 1/HOT_KEYS of the rows.
 HOT_KEYS = 1000
@@ -61,6 +63,19 @@ def attach(
     return joined.selectExpr(*rows.columns, *[f"coalesce(_hot.{v}, _cold.{v}) AS {v}" for v in values])
 
 
+def numbered(in_order: DataFrame, scratch: Scratch, name: str = "place") -> DataFrame:
+    """Rows of an ordered frame with their place, from 0. Rows stay in the tasks of the sort; a task's
+    first place follows from the row counts of the tasks before it, one row per task."""
+    placed = in_order.withColumn("_task", F.spark_partition_id()).withColumn(
+        "_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    )
+    placed = scratch.save(placed, "placed")
+    per_task = placed.groupBy("_task").agg(F.count(F.lit(1)).alias("_rows"), F.min("_row").alias("_first"))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = per_task.select("_task", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_base"))
+    return placed.join(F.broadcast(bases), "_task").withColumn(name, F.col("_base") + F.col("_row")).select(*in_order.columns, name)
+
+
 def attach_by_count(
     rows: DataFrame, facts: DataFrame, keys: list[str], spread_by: list[str], hot_rows: int = HOT_KEY_ROWS
 ) -> DataFrame:

@@ -7,17 +7,18 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from dayproof.functions.common import explode_dates, settlement_date
-from dayproof.operators import alerts, audit, daily, replay, reports, triage
+from dayproof.operators import alerts, audit, daily, daily_run, reconcile, replay, reports, triage
 from dayproof.plans import control
 from dayproof.plans.catalog import query
 from dayproof.plans.evidence_queries import ranges_of
-from dayproof.plans.fixture import as_of, fixture, table
+from dayproof.plans.fixture import as_of, fixture, lose_records, table
 from dayproof.plans.oracle_parts import ALERTS, CHECKPOINTS, FIXTURE, JOBS, REPORTS, REQUESTS, stamp
 from dayproof.settings import DEFAULTS, Settings
 from dayproof.sources import log as source_log
 from dayproof.sources.scratch import Scratch
 from dayproof.sources.tables import Store, latest_version, layout
-from dayproof.streaming.projector import start_projector
+from dayproof.sources.topics import FileTopic
+from dayproof.streaming.consumer import start_consumer
 
 NOW = "TIMESTAMP '2001-07-01 00:00:00'"
 
@@ -74,17 +75,19 @@ def slo_unresolved_mismatches(spark, sf_dir):
 
 @query(
     "slo_report_timeliness",
-    """SELECT CAST(business_date AS VARCHAR) AS business_date,
-       CAST(floor(epoch(min(created_at) FILTER (trigger_type = 'SCHEDULED') - (business_date + INTERVAL '26 hours 15 minutes'))) AS BIGINT) AS delay_seconds,
-       coalesce(min(created_at) FILTER (trigger_type = 'SCHEDULED') <= business_date + INTERVAL '26 hours 20 minutes',
-         CASE WHEN business_date + INTERVAL '26 hours 20 minutes' < TIMESTAMP '2001-07-01 00:00:00' THEN false END) AS on_time
-       FROM reports GROUP BY business_date""",
+    """SELECT CAST(d.day AS VARCHAR) AS business_date,
+       CAST(floor(epoch(min(created_at) FILTER (trigger_type = 'SCHEDULED') - (d.day + INTERVAL '26 hours 15 minutes'))) AS BIGINT) AS delay_seconds,
+       coalesce(min(created_at) FILTER (trigger_type = 'SCHEDULED') <= d.day + INTERVAL '26 hours 20 minutes',
+         CASE WHEN d.day + INTERVAL '26 hours 20 minutes' < TIMESTAMP '2001-07-01 00:00:00' THEN false END) AS on_time
+       FROM (SELECT CAST(unnest(generate_series(min(business_date), max(business_date), INTERVAL 1 DAY)) AS DATE) AS day FROM reports) d
+       LEFT JOIN reports r ON r.business_date = d.day GROUP BY d.day""",
     (REPORTS,),
 )
 def slo_report_timeliness(spark, sf_dir):
-    """All dates with a report of any kind; the settlement runs are over by the asking time."""
+    """Every day from the first order to the last, also those without any report."""
     known = control.reports(spark, sf_dir)
-    return reports.report_timeliness(known, known.select("business_date").distinct(), now()).drop("first_report_at")
+    ends = known.select(F.min("business_date").alias("first"), F.max("business_date").alias("last"))
+    return reports.report_timeliness(known, explode_dates(ends, "first", "last").select("business_date"), now()).drop("first_report_at")
 
 
 @query("get_report", "SELECT report_id, status, correlation_id FROM reports WHERE report_id = 'rep-7'", (REPORTS,))
@@ -212,15 +215,16 @@ def alerts_for_report(spark, sf_dir):
 @query(
     "alert_recovery_run",
     """SELECT alert_id, channel, CASE WHEN channel = 'KAFKA' AND updated_at < TIMESTAMP '2001-06-30 23:55:00' THEN 'DELIVERED' ELSE status END AS status,
-       attempt_count + CASE WHEN channel = 'KAFKA' AND status <> 'DELIVERED' AND updated_at < TIMESTAMP '2001-06-30 23:55:00' THEN 1 ELSE 0 END AS attempt_count
-       FROM alerts""",
+       attempt_count + CASE WHEN channel = 'KAFKA' AND status <> 'DELIVERED' AND updated_at < TIMESTAMP '2001-06-30 23:55:00' THEN 1 ELSE 0 END AS attempt_count,
+       CASE WHEN channel = 'KAFKA' AND status <> 'DELIVERED' AND updated_at < TIMESTAMP '2001-06-30 23:55:00' THEN 'rep-' || r.o_orderkey || ' ' || CAST(CAST(r.o_orderdate AS DATE) AS VARCHAR) ELSE '' END AS sent
+       FROM alerts a JOIN orders r ON a.report_id = 'rep-' || r.o_orderkey""",
     (ALERTS,),
 )
 def alert_recovery_run(spark, sf_dir):
     """Two recovery runs, each with room for half of the undelivered KAFKA alerts. The
     WEBHOOK alerts are as many and never updated here; they must not fill the batches."""
     scratch = Scratch(spark, "recovery")
-    store = Store(spark, f"{scratch.path}/store")
+    store, topic = Store(spark, f"{scratch.path}/store"), FileTopic(spark, scratch.path, "alerts")
     # True dates, so a folder per business date, as in the store itself: the messages carry them.
     stored = control.reports(spark, sf_dir)
     stored = stored.withColumns({f.name: F.lit(None).cast(f.dataType) for f in layout("reports") if f.name not in stored.columns})
@@ -228,8 +232,13 @@ def alert_recovery_run(spark, sf_dir):
     waiting = current_alerts(spark, sf_dir).filter("channel = 'KAFKA' AND status <> 'DELIVERED'").count()
     settings = Settings(recovery_batch=waiting // 2 + 1)
     for run in (1, 2):
-        alerts.recover_alerts(store, now(), f"recover-{run}", lambda messages: messages.write.format("noop").mode("append").save(), settings)
-    return latest_version(store.read("alerts"), ["alert_id"]).select("alert_id", "channel", "status", "attempt_count")
+        alerts.recover_alerts(store, now(), f"recover-{run}", lambda messages, run=run: topic.send(f"recover-{run}", messages), settings)
+    sent = topic.read().select(
+        F.col("key").alias("alert_id"),
+        F.concat_ws(" ", F.get_json_object("value", "$.report_id"), F.get_json_object("value", "$.business_date")).alias("sent"),
+    )
+    state = latest_version(store.read("alerts"), ["alert_id"]).select("alert_id", "channel", "status", "attempt_count")
+    return state.join(sent, "alert_id", "left").fillna("", ["sent"])
 
 
 @query(
@@ -690,14 +699,136 @@ def replay_effect(spark, sf_dir):
     (FIXTURE,),
 )
 def streaming_projection(spark, sf_dir):
-    """The log arrives in two parts and is projected by a stream; daily metrics of the result."""
+    """Daily metrics after the log went through a stream in bounded batches, one of them twice."""
+    return daily.fold_daily_changes(fixture(spark, sf_dir).streamed.store.read("daily_changes")).drop("updated_at")
+
+
+@query(
+    "run_counters",
+    """SELECT 'taken_in' AS counter, count(*) AS total FROM log UNION ALL SELECT 'observations', count(*) FROM obs
+       UNION ALL SELECT 'ledger', count(*) FROM ledger UNION ALL SELECT 'records', count(*) FROM ledger
+       UNION ALL SELECT 'dead_letters', count(*) FROM dead WHERE detail <> 'source position already holds another event'""",
+    (FIXTURE,),
+)
+def run_counters(spark, sf_dir):
+    """What the stream's passes counted while they read and wrote."""
+    run = fixture(spark, sf_dir).streamed
+    written = run.store.counters().filter("table_name <> 'daily_changes'")
+    taken_in = run.intake.frame(spark).select(F.lit("taken_in").alias("counter"), F.col("rows_in").alias("n"))
+    both = taken_in.unionByName(written.select(F.col("table_name").alias("counter"), F.col("row_count").alias("n")))
+    return both.groupBy("counter").agg(F.sum("n").alias("total"))
+
+
+@query(
+    "delivered_messages",
+    f"""SELECT part AS "partition", ukey AS key, {stamp('rts')} AS sent_at,
+       CASE WHEN dom = 25 AND m7 = 4 THEN '{{"eventId":"' || id ELSE '{{"eventId":"' || id || '","businessKey":"' ||
+         CASE WHEN dom = 19 AND m7 = 4 THEN '   ' WHEN dom = 25 AND m7 = 6 THEN repeat('K', 201) ELSE ukey END || '","eventTime":"' ||
+         CASE WHEN dom = 7 AND m7 = 4 THEN '2030-01-01T00:00:00.000000Z' ELSE strftime(et, '%Y-%m-%dT%H:%M:%S.%fZ') END || '","amount":' ||
+         CASE WHEN dom = 19 AND m7 = 6 THEN '1000000000000000' ELSE CAST(amount AS VARCHAR) END || ',"attributes":' || props || '}}' END AS value
+       FROM log l WHERE problem IS NOT NULL OR EXISTS (SELECT 1 FROM valid v WHERE v.part = l.part AND v.off = l.off AND v.amount <> v.first_amount)""",
+    (FIXTURE,),
+)
+def delivered_messages(spark, sf_dir):
+    """The dead letters of the stream, read back from the files of their topic."""
+    return fixture(spark, sf_dir).streamed.dead_letters.read().select("partition", "key", "sent_at", "value")
+
+
+@query(
+    "consumed_alerts",
+    "SELECT DISTINCT a.alert_id, a.report_id FROM alerts a JOIN lines l ON l.report_id = a.report_id WHERE a.channel = 'KAFKA'",
+    (ALERTS,),
+)
+def consumed_alerts(spark, sf_dir):
+    """Every attempted alert was sent as often as it was tried, in three rounds; the consumer
+    stops after each round and goes on from its checkpoint."""
+    scratch = Scratch(spark, "consumer")
+    topic = FileTopic(spark, scratch.path, "alerts")
+    out, checkpoint = scratch.table_path("consumed"), scratch.table_path("state")
+    sent = current_alerts(spark, sf_dir).filter("channel = 'KAFKA' AND attempt_count > 0")
+    body = F.to_json(F.struct("report_id"))
+    copies = sent.select(F.col("alert_id").alias("key"), body.alias("value"), F.explode(F.sequence(F.lit(1), F.col("attempt_count"))).alias("copy"))
+    at = (F.lit(control.QUEUE_NOW) + F.make_dt_interval(F.lit(0), F.lit(0), F.col("copy"))).alias("sent_at")
+    messages = scratch.save(copies.select("key", "value", at, (F.col("copy") % 3).alias("round")), "messages")
+    for turn in range(3):
+        topic.send(f"round-{turn}", messages.filter(F.col("round") == turn))
+        start_consumer(topic.stream(), out, checkpoint).awaitTermination()
+    consumed = spark.read.schema("alert_id string, value string, sent_at timestamp").parquet(out)
+    return consumed.select("alert_id", F.get_json_object("value", "$.report_id").alias("report_id"))
+
+
+@query(
+    "scheduled_run",
+    """SELECT CAST(d.day AS VARCHAR) AS business_date, CASE WHEN coalesce(e1 OR e2 OR e3 OR e4 OR e5, false) THEN 'MISMATCH' ELSE 'MATCHED' END AS status,
+       coalesce(kafka, 0) AS kafka_event_count, coalesce(c.agg_count, 0) AS aggregate_record_count, coalesce(ch, '') AS channel,
+       CASE ch WHEN 'KAFKA' THEN 'DELIVERED' WHEN 'WEBHOOK' THEN 'PENDING' ELSE '' END AS alert_status,
+       CASE WHEN ch = 'KAFKA' THEN 2 ELSE 0 END AS attempts,
+       CASE WHEN ch = 'KAFKA' THEN (SELECT string_agg(type, ',' ORDER BY k) FROM issues i WHERE i.bdate = d.day) ELSE '' END AS sent_issues
+       FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS day) d
+       LEFT JOIN compared c ON c.bdate = d.day
+       LEFT JOIN (SELECT unnest(['KAFKA', 'WEBHOOK']) AS ch) ON coalesce(e1 OR e2 OR e3 OR e4 OR e5, false)""",
+    (FIXTURE,),
+)
+def scheduled_run(spark, sf_dir):
+    """The run of the first of February catches up on January. Its sink is down, so the reports
+    are kept and their entries fail; it is run again and changes nothing; the recovery run delivers."""
     f = fixture(spark, sf_dir)
-    scratch = Scratch(spark, "stream")
-    landing, checkpoint = scratch.table_path("landing"), scratch.table_path("checkpoint")
-    store = Store(spark, scratch.table_path("store"))
-    early = F.col("timestamp") < F.lit(dt.datetime(2024, 1, 16, tzinfo=dt.timezone.utc))
-    for part in (f.log.filter(early), f.log.filter(~early)):
-        source_log.append_landing(part, landing)
-        stream = source_log.read_source_stream(spark, landing)
-        start_projector(stream, store.root, checkpoint, "projector", as_of()).awaitTermination()
-    return daily.fold_daily_changes(store.read("daily_changes")).drop("updated_at")
+    scratch = Scratch(spark, "scheduled")
+    store = damaged_store(spark, f)
+    topic = FileTopic(spark, scratch.path, "alerts")
+    run_at = dt.datetime(2024, 2, 1, 2, 15, tzinfo=dt.timezone.utc)
+
+    def down(messages):
+        raise ConnectionError("broker did not answer")
+
+    done = daily_run.scheduled_run(store, f.log, F.lit(run_at), down, dt.date(2024, 1, 1))
+    commits = len(store.commits())
+    again = daily_run.scheduled_run(store, f.log, F.lit(run_at), lambda m: topic.send("again", m), dt.date(2024, 1, 1))
+    assert len(done) == 31 and not again and len(store.commits()) == commits
+    later = F.lit(run_at + dt.timedelta(minutes=10))
+    alerts.recover_alerts(store, later, "recovery", lambda m: topic.send("recovery", m))
+    known = latest_version(store.read("alerts"), ["alert_id"])
+    sent = topic.read().select(F.col("key").alias("alert_id"), F.from_json("value", "issues array<struct<type string>>")["issues"]["type"].alias("types"))
+    rows = store.read("reports").join(known.select("report_id", "alert_id", "channel", F.col("status").alias("alert_status"), "attempt_count"), "report_id", "left")
+    return rows.join(sent, "alert_id", "left").select(
+        "business_date", "status", "kafka_event_count", "aggregate_record_count", F.coalesce("channel", F.lit("")).alias("channel"),
+        F.coalesce("alert_status", F.lit("")).alias("alert_status"), F.coalesce("attempt_count", F.lit(0)).alias("attempts"),
+        F.coalesce(F.array_join("types", ","), F.lit("")).alias("sent_issues"),
+    )
+
+
+@query(
+    "deletion_capture",
+    """SELECT CAST(e.bdate AS VARCHAR) AS business_date, e.cnt AS unique_event_count, r.cnt AS db_record_count,
+       CAST(r.amt AS VARCHAR) AS db_total_amount, CASE WHEN day(e.bdate) BETWEEN 6 AND 8 THEN 0 ELSE e.cnt END AS aggregate_record_count,
+       e.cnt - r.cnt AS deleted_records, CASE WHEN day(e.bdate) BETWEEN 6 AND 8 THEN 1 ELSE 0 END AS deleted_aggregates,
+       concat_ws(',', CASE WHEN e.cnt <> r.cnt THEN 'UNIQUE_EVENTS_VS_DATABASE' END,
+         CASE WHEN e.cnt <> r.cnt OR day(e.bdate) BETWEEN 6 AND 8 THEN 'DATABASE_VS_AGGREGATE_COUNT' END,
+         CASE WHEN e.amt <> r.amt OR day(e.bdate) BETWEEN 6 AND 8 THEN 'DATABASE_VS_AGGREGATE_AMOUNT' END) AS issues
+       FROM exact e JOIN (SELECT bdate, count(*) AS cnt, CAST(sum(amount) AS DECIMAL(24,4)) AS amt FROM records GROUP BY bdate) r ON r.bdate = e.bdate""",
+    (FIXTURE,),
+)
+def deletion_capture(spark, sf_dir):
+    """Records vanish from a sound store, and the aggregates of three days; what the comparison
+    of the two commits leaves in metrics and audit, and what a report says of it."""
+    f = fixture(spark, sf_dir)
+    store = Store(spark, Scratch(spark, "deletions").path)
+    tables = {"observations": f.observations, "ledger": f.ledger, "records": f.all_records}
+    store.append("initial", {**tables, "daily_changes": daily.daily_changes(*tables.values(), 1, as_of())}, 1)
+    store.append("later", {"records": store.empty("records")})
+    before = store.next_seq() - 1
+    store.replace("records", "purge", lose_records(store.read("records")))
+    for _ in range(2):
+        audit.capture_deletions(store, before, as_of(), upto=before + 1)
+        audit.delete_aggregates(store, dt.date(2024, 1, 6), dt.date(2024, 1, 8), as_of(), "purge-aggregates")
+    deleted = store.read("audit").groupBy("business_date").agg(
+        F.count(F.when(F.col("table_name") == "business_records", 1)).alias("deleted_records"),
+        F.count(F.when(F.col("table_name") == "daily_aggregates", 1)).alias("deleted_aggregates"),
+    )
+    metrics = daily.fold_daily_changes(store.read("daily_changes"))
+    compared = reconcile.compare(metrics.withColumn("kafka_event_count", F.col("consumed_event_count")), DEFAULTS.amount_tolerance)
+    told = F.filter("issues.type", lambda t: t != "SOURCE_OBSERVATIONS_VS_UNIQUE_EVENTS")
+    return compared.join(deleted, "business_date", "left").select(
+        "business_date", "unique_event_count", "db_record_count", "db_total_amount", "aggregate_record_count",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("deleted_records", "deleted_aggregates")], F.array_join(told, ",").alias("issues"),
+    )

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from dayproof.functions.payload import decode_events, same_json
 from dayproof.operators import audit, daily, identity, reconcile, repair, triage, validity
 from dayproof.operators.alerts import outbox_for
-from dayproof.operators.skew import attach_by_count
+from dayproof.operators.skew import attach_by_count, numbered
 from dayproof.plans.catalog import query
-from dayproof.plans.fixture import Fixture, as_of, fixture
+from dayproof.plans.fixture import Fixture, as_of, event_number, fixture
 from dayproof.plans.oracle_parts import FIXTURE, PAYLOAD, stamp, uuid_of
 from dayproof.sources import log as source_log
 from dayproof.sources.scratch import Scratch
@@ -509,14 +509,16 @@ def deletion_audit(spark, sf_dir):
 
 @query(
     "audit_search",
-    """SELECT day, rows FROM (SELECT CAST(bdate AS VARCHAR) AS day, count(*) AS rows FROM ledger WHERE dom % 6 = 3 AND m7 = 2 AND dom = 9 GROUP BY bdate)""",
+    """SELECT row_key, CAST(row_number() OVER (ORDER BY changed_at DESC, row_key) - 1 AS BIGINT) AS place FROM (
+         SELECT id AS row_key, bdate + to_days(CAST(n % 3 AS INTEGER)) AS changed_at FROM ledger WHERE dom % 6 = 3 AND m7 = 2 AND bdate = DATE '2024-01-09')""",
     FX,
 )
 def audit_search(spark, sf_dir):
+    """One day's deletions, noticed in three audits a day apart, with each row's place in the list."""
     f = fixture(spark, sf_dir)
-    rows = audit.deletion_audit(f.all_records, f.records, "business_records", "event_id", as_of())
-    found = audit.audit_search(rows, dt.date(2024, 1, 9))
-    return found.groupBy(F.col("business_date").alias("day")).agg(F.count(F.lit(1)).alias("rows"))
+    noticed = F.date_add("business_date", (event_number(F.col("row_key")) % 3).cast("int")).cast("timestamp")
+    rows = audit.deletion_audit(f.all_records, f.records, "business_records", "event_id", as_of()).withColumn("changed_at", noticed)
+    return numbered(audit.audit_search(rows, dt.date(2024, 1, 9)), f.scratch).select("row_key", "place")
 
 
 @query(

@@ -9,8 +9,11 @@ the log. Everything is stored once per session and input folder.
 from __future__ import annotations
 
 import datetime as dt
+import time
 from functools import cached_property
+from typing import NamedTuple
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,10 @@ from dayproof.session import prepare_session
 from dayproof.settings import DEFAULTS
 from dayproof.sources import log as source_log
 from dayproof.sources.scratch import Scratch
+from dayproof.sources.tables import Store
+from dayproof.sources.topics import FileTopic
+from dayproof.streaming.progress import IntakeCounters
+from dayproof.streaming.projector import start_projector
 
 AS_OF = dt.datetime(2024, 2, 2, tzinfo=dt.timezone.utc)
 
@@ -173,6 +180,12 @@ def bend_aggregates(exact: DataFrame) -> DataFrame:
     )
 
 
+class StreamedRun(NamedTuple):
+    store: Store
+    dead_letters: FileTopic
+    intake: IntakeCounters
+
+
 class Fixture:
     """The derived tables of one input folder, each stored when first needed."""
 
@@ -234,6 +247,53 @@ class Fixture:
         letters = self.first.dead_letters.unionByName(second.dead_letters)
         return self.scratch.save(letters, "dead_letters", ["business_date"])
 
+    @cached_property
+    def streamed(self) -> StreamedRun:
+        """The log as a landing folder of several files, projected by a stream that takes one
+        file a batch. The third batch fails once, after its files are written and before its commit."""
+        rows, at_most = self.log.count(), 200_000
+        files = max(5, -(-rows // at_most))
+        shares = [k / files for k in range(1, files)]
+        cuts = self.log.select(F.percentile_approx("timestamp", shares).alias("cuts")).first()["cuts"]
+        landing, checkpoint, root = (self.scratch.table_path(n) for n in ("landing", "stream-state", "stream-store"))
+        edges = [None, *sorted(set(cuts)), None]
+        for low, high in zip(edges, edges[1:], strict=False):
+            part = self.log
+            if low is not None:
+                part = part.filter(F.col("timestamp") >= F.lit(low))
+            if high is not None:
+                part = part.filter(F.col("timestamp") < F.lit(high))
+            # A landing file holds a bounded number of rows, and files arrive in the log's order.
+            source_log.append_landing(part.coalesce(1), landing)
+        letters = FileTopic(self.spark, self.scratch.path, "dead-letters")
+        intake = IntakeCounters()
+        failed: list[str] = []
+
+        def fail_once(batch_id: str) -> None:
+            if batch_id == "projector-2" and not failed:
+                failed.append(batch_id)
+                raise RuntimeError("the worker was lost before the commit")
+
+        self.spark.streams.addListener(intake)
+        for _ in range(2):
+            stream = source_log.read_source_stream(self.spark, landing, max_files=1)
+            query = start_projector(stream, root, checkpoint, "projector", as_of(), dead_letters=letters, before_commit=fail_once)
+            try:
+                query.awaitTermination()
+            except StreamingQueryException:
+                # Without the failure that was asked for, this one is real.
+                if len(failed) != 1:
+                    raise
+                failed.append("seen")
+        store = Store(self.spark, root)
+        assert failed == ["projector-2", "seen"] and len(store.commits()) == len(edges) - 1
+        # The listener hears of a batch some time after its end.
+        deadline = time.monotonic() + 30
+        while len(intake.rows) < len(edges) - 1 and time.monotonic() < deadline:
+            time.sleep(0.1)
+        self.spark.streams.removeListener(intake)
+        return StreamedRun(store, letters, intake)
+
     @cached_property
     def days(self) -> tuple[dt.date, dt.date]:
         return source_log.log_days(self.log)

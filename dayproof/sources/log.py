@@ -193,12 +193,14 @@ def append_landing(events: DataFrame, path: str) -> None:
 
 
 def publish_kafka(messages: DataFrame, kafka: dict[str, str], topic: str) -> None:
-    messages.select("key", "value").write.format("kafka").options(**kafka).option("topic", topic).save()
+    """Messages with key and value, and with partition number and headers if they have any."""
+    placed = [c for c in ("partition", "headers") if c in messages.columns]
+    messages.select("key", "value", *placed).write.format("kafka").options(**kafka).option("topic", topic).save()
 
 
 def dead_letter_messages(dead_letters: DataFrame) -> DataFrame:
     """Rows for a dead-letter topic, on the partition number they came from."""
-    return dead_letters.select("partition", "key", "value")
+    return dead_letters.select("partition", "key", "value", F.col("timestamp").alias("sent_at"))
 
 
 def dead_letter_coordinates(dead_letters: DataFrame) -> DataFrame:

@@ -4,16 +4,20 @@ A batch writes one folder per table (``<table>/batch_id=<id>``) and, last, a row
 in ``commits``. Readers open the folders of committed batches only, so a batch
 counts in all tables or in none, and a repeated batch replaces its own folders.
 One writer at a time; readers need no coordination.
+
+Files are laid out for lookups by later batches: positions are sorted, so that row groups
+span few offsets, and event ids have bloom filters. The commit row holds the row counts of the
+batch, taken by the pass that wrote it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
 from functools import cache
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -34,7 +38,10 @@ TABLES = {
     "audit": schemas.AUDIT,
 }
 BY_DATE = {"observations", "ledger", "records", "dead_letters", "reports"}
-COMMIT = "batch_id string, seq long, tables array<string>, supersedes array<string>"
+# Row order inside a file, and columns by which single rows are looked up.
+SORTED = {"observations": schemas.SOURCE_POSITION, "dead_letters": schemas.POSITION}
+LOOKED_UP = {"ledger": "event_id", "records": "event_id"}
+COMMIT = "batch_id string, seq long, tables array<string>, supersedes array<string>, row_counts map<string, long>"
 
 
 @cache
@@ -77,8 +84,8 @@ class Store:
     def next_seq(self) -> int:
         return max((c["seq"] for c in self.commits()), default=0) + 1
 
-    def _visible(self, table: str, without: str | None) -> list[str]:
-        commits = [c for c in self.commits() if c["batch_id"] != without]
+    def _visible(self, table: str, without: str | None, upto: int | None = None) -> list[str]:
+        commits = [c for c in self.commits() if c["batch_id"] != without and (upto is None or c["seq"] <= upto)]
         gone = {name for c in commits for name in c["supersedes"]}
         return [
             c["batch_id"]
@@ -86,49 +93,83 @@ class Store:
             if table in c["tables"] and f"{table}/{c['batch_id']}" not in gone
         ]
 
-    def commit(self, batch_id: str, seq: int, tables: list[str], supersedes: Sequence[str] = ()) -> None:
+    def commit(
+        self, batch_id: str, seq: int, tables: list[str], supersedes: Sequence[str] = (), row_counts: dict[str, int] | None = None
+    ) -> None:
+        counted = [part for name, n in (row_counts or {}).items() for part in (F.lit(name), F.lit(n).cast("long"))]
         row = self.spark.range(1, numPartitions=1).select(
             F.lit(batch_id).alias("batch_id"),
             F.lit(seq).cast("long").alias("seq"),
             F.array(*map(F.lit, tables)).cast("array<string>").alias("tables"),
             F.array(*map(F.lit, supersedes)).cast("array<string>").alias("supersedes"),
+            F.create_map(*counted).cast("map<string, long>").alias("row_counts"),
         )
         row.write.mode("overwrite").parquet(f"{self.root}/commits/batch_id={batch_id}/")
         if self._commits is not None:
-            mine = Row(batch_id=batch_id, seq=seq, tables=list(tables), supersedes=list(supersedes))
+            mine = Row(batch_id=batch_id, seq=seq, tables=list(tables), supersedes=list(supersedes), row_counts=dict(row_counts or {}))
             self._commits = [c for c in self._commits if c["batch_id"] != batch_id] + [mine]
 
     # --- tables ----------------------------------------------------------------
 
-    def append(self, batch_id: str, frames: dict[str, DataFrame], seq: int | None = None) -> None:
-        """Write all frames of a batch, then make them visible."""
+    def append(
+        self,
+        batch_id: str,
+        frames: dict[str, DataFrame],
+        seq: int | None = None,
+        before_commit: Callable[[], None] | None = None,
+        supersedes: Sequence[str] = (),
+    ) -> None:
+        """Write all frames of a batch, then make them visible. ``before_commit`` is called in
+        between: what it sends goes out at least once, and whatever it raises leaves the batch unseen."""
         seq = self.next_seq() if seq is None else seq
-        run_together([lambda t=t, f=f: self._write(t, batch_id, f) for t, f in frames.items()])
-        self.commit(batch_id, seq, sorted(frames))
-
-    def _write(self, table: str, batch_id: str, frame: DataFrame) -> None:
+        names = sorted(frames)
+        counts = run_together([lambda t=t: self._write(t, batch_id, frames[t]) for t in names])
+        if before_commit is not None:
+            before_commit()
+        self.commit(batch_id, seq, names, supersedes, dict(zip(names, counts, strict=True)))
+
+    def replace(self, table: str, batch_id: str, frame: DataFrame, others: dict[str, DataFrame] | None = None) -> None:
+        """Put ``frame`` in place of all visible rows of a table. Earlier snapshots can still be read."""
+        gone = [f"{table}/{b}" for b in self._visible(table, batch_id)]
+        self.append(batch_id, {table: frame, **(others or {})}, supersedes=gone)
+
+    def _write(self, table: str, batch_id: str, frame: DataFrame) -> int:
+        """Write a batch's rows of a table and return how many there were, counted on the way."""
         frame = frame.selectExpr(
             *[f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in layout(table)]
         )
-        path = f"{self.root}/{table}/batch_id={batch_id}"
         if table in BY_DATE:
             # Few files per date, and several for a date too big for one.
             frame = frame.hint("rebalance", "business_date")
-            frame.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
-                "business_date"
-            ).parquet(path)
-        else:
-            frame.write.mode("overwrite").parquet(path)
+        if table in SORTED:
+            frame = frame.sortWithinPartitions("business_date", *SORTED[table])
+        counted = Observation()
+        writer = frame.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
+        if table in LOOKED_UP:
+            # The adaptive filter picks its size by the row group's distinct values.
+            writer = writer.option(f"parquet.bloom.filter.enabled#{LOOKED_UP[table]}", "true").option(
+                "parquet.bloom.filter.adaptive.enabled", "true"
+            )
+        if table in BY_DATE:
+            writer = writer.option("partitionOverwriteMode", "static").partitionBy("business_date")
+        writer.parquet(f"{self.root}/{table}/batch_id={batch_id}")
+        return counted.get["rows"]
+
+    def counters(self) -> DataFrame:
+        """Rows that each batch wrote to each table, as counted while they were written."""
+        rows = [(c["batch_id"], c["seq"], table, n) for c in self.commits() for table, n in (c["row_counts"] or {}).items()]
+        return self.spark.createDataFrame(rows, "batch_id string, seq long, table_name string, row_count long")
 
     def read(
         self,
         table: str,
         dates: tuple[date, date] | None = None,
         without: str | None = None,
+        upto: int | None = None,
     ) -> DataFrame | None:
-        """Committed rows of a table, optionally of a day range and without one
-        batch's own rows. None while nothing is committed."""
-        batches = self._visible(table, without)
+        """Committed rows of a table, optionally of a day range, without one batch's own
+        rows, or as they were with commit ``upto``. None while nothing is committed."""
+        batches = self._visible(table, without, upto)
         if not batches:
             return None
         frame = (
@@ -141,6 +182,21 @@ class Store:
             frame = frame.filter(F.col("business_date").between(*map(F.lit, dates)))
         return frame
 
+    def written(self, table: str, *batch_ids: str) -> DataFrame:
+        """The own rows of some batches, committed or not."""
+        path = f"{self.root}/{table}"
+        folders = [f"{path}/batch_id={b}" for b in batch_ids]
+        if not folders:
+            return self.empty(table)
+        frame = self.spark.read.schema(layout(table)).option("basePath", path).parquet(*folders)
+        return frame.select(*layout(table).names)
+
+    def replaced(self, table: str, since: int, upto: int) -> tuple[DataFrame, DataFrame]:
+        """Rows of the folders seen with commit ``since`` but not with ``upto``, and the other way
+        round. Folders seen with both hold no change and are not read."""
+        before, after = (set(self._visible(table, None, seq)) for seq in (since, upto))
+        return self.written(table, *sorted(before - after)), self.written(table, *sorted(after - before))
+
     def empty(self, table: str) -> DataFrame:
         return self.spark.createDataFrame([], layout(table))
 
@@ -158,12 +214,9 @@ class Store:
     def compact(self, table: str, batch_id: str) -> None:
         """Rewrite the visible batches of a table as one. Old folders stay until
         somebody cleans up; readers stop seeing them with the commit."""
-        batches = self._visible(table, None)
         frame = self.read(table)
-        if frame is None:
-            return
-        self._write(table, batch_id, frame)
-        self.commit(batch_id, self.next_seq(), [table], [f"{table}/{b}" for b in batches])
+        if frame is not None:
+            self.replace(table, batch_id, frame)
 
 
 def latest_version(log: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
