@@ -148,6 +148,8 @@ def failure_counts(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Data
     """part, bits (A to E), good, toxic, n: documents by what they fail and how they are labelled."""
     rows = scratch.save(document_failures(docs), "failures")
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    # Stored, so that the digests meet as two exchanges, of which Spark can split a hot one.
+    first = scratch.save(first, "first")
     marked = labels.where("doc_id is not null and (quality = 1 or toxic = 1)").groupBy("doc_id").agg(
         F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic")
     )
