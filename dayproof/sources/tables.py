@@ -5,8 +5,7 @@ in ``commits``. Readers open the folders of committed batches only, so a batch
 counts in all tables or in none, and a repeated batch replaces its own folders.
 One writer at a time; readers need no coordination.
 
-Files are laid out for lookups by later batches: positions are sorted, so that row groups
-span few offsets, and event ids have bloom filters. The commit row holds the row counts of the
+Files are laid out for lookups by later batches: positions are sorted by source partition and offset, and event ids have bloom filters. The commit row holds the row counts of the
 batch, taken by the pass that wrote it.
 """
 
@@ -37,9 +36,15 @@ TABLES = {
     "checkpoints": schemas.CHECKPOINTS,
     "audit": schemas.AUDIT,
 }
-BY_DATE = {"observations", "ledger", "records", "dead_letters", "reports"}
+# Folders inside a batch's folder. Offsets of different source partitions are not comparable, so a file
+# of observations holds one of them and its row groups span few offsets. The folder's ``place`` repeats
+# the column source_partition, which stays in the file for the scan's filters to be matched with.
+FOLDERS = {
+    "observations": ["business_date", "place"],
+    **{table: ["business_date"] for table in ("ledger", "records", "dead_letters", "reports")},
+}
 # Row order inside a file, and columns by which single rows are looked up.
-SORTED = {"observations": schemas.SOURCE_POSITION, "dead_letters": schemas.POSITION}
+SORTED = {"observations": ["source_topic", "source_offset"], "dead_letters": schemas.POSITION}
 LOOKED_UP = {"ledger": "event_id", "records": "event_id"}
 COMMIT = "batch_id string, seq long, tables array<string>, supersedes array<string>, row_counts map<string, long>"
 
@@ -138,11 +143,14 @@ class Store:
         frame = frame.selectExpr(
             *[f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in layout(table)]
         )
-        if table in BY_DATE:
-            # Few files per date, and several for a date too big for one.
-            frame = frame.hint("rebalance", "business_date")
+        folders = FOLDERS.get(table, [])
+        if "place" in folders:
+            frame = frame.withColumn("place", F.col("source_partition"))
+        if folders:
+            # Few files per folder, and several for one too big for one.
+            frame = frame.hint("rebalance", *folders)
         if table in SORTED:
-            frame = frame.sortWithinPartitions("business_date", *SORTED[table])
+            frame = frame.sortWithinPartitions(*folders, *SORTED[table])
         counted = Observation()
         writer = frame.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
         if table in LOOKED_UP:
@@ -150,8 +158,8 @@ class Store:
             writer = writer.option(f"parquet.bloom.filter.enabled#{LOOKED_UP[table]}", "true").option(
                 "parquet.bloom.filter.adaptive.enabled", "true"
             )
-        if table in BY_DATE:
-            writer = writer.option("partitionOverwriteMode", "static").partitionBy("business_date")
+        if folders:
+            writer = writer.option("partitionOverwriteMode", "static").partitionBy(*folders)
         writer.parquet(f"{self.root}/{table}/batch_id={batch_id}")
         return counted.get["rows"]
 
