@@ -20,12 +20,17 @@ distance within five standard deviations instead.
 1. Each bucket names one member, chosen by hash; a class is compared with the STARS nearest
    of those its buckets name. Confirmed pairs give first components (iterated stars, on
    tables), which hold most of a large group of near copies together.
-2. Every other pair of a bucket whose classes are not yet in one component is compared as
-   well. Within a bucket the largest component is one side only, so a large group of copies
-   is not paired with itself.
-
-Pairs are confirmed on full sets. So no link between different components is lost, and
-neither step emits all pairs of a group.
+2. Every other pair of a bucket whose classes are not yet in one component is a candidate as well, if it
+   passes a prefix test, which is exact. The shingles of all classes in such buckets are ordered by the
+   number of classes that hold them, rare ones first. Two linked sets share an element among the
+   first ``n - ceil(0.75 n) + 1`` of the larger and the first ``n - ceil(6 n / 7) + 1`` of the smaller, at
+   places that leave room for the overlap. A passage that many documents share is frequent, so
+   it leaves the prefixes, and documents that have it and little else in common never meet.
+   Rows of an element's largest component meet only those outside it.
+
+Pairs are confirmed on full sets. Links can be lost in three ways: no common key (5e-5, above), the
+sampled bitmap bound of sets above CELL_SET elements (four deviations) and MAX_COARSE (five); the last
+two are for the first step only, so a pair in a bucket of classes that stay apart is safe from them.
 
 Defined cases: a null or empty text has an empty set, links with nothing and stays; with
 fewer than five words the whole sequence is one shingle; a null id is linked with
@@ -211,21 +216,59 @@ def may_link() -> Column:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
+    """The pairs (a, b) whose full sets reach the similarity; once for each pair of sets."""
     shared = F.size(F.array_intersect("items_a", "items_b"))
     return (
         pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
         .where(shared * 100 >= (F.size("items_a") + F.size("items_b") - shared) * PERCENT)
-        .select("a", "b").distinct()
+        .select("a", "b")
     )
 
 
-def named_sets(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The sets of the documents that ``pairs`` names. Their ids are stored first: Spark
-    then knows their size, and broadcasts them only while they are few."""
-    named = scratch.save(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id").repartition("doc_id"), "named")
-    return scratch.save(set_rows(docs.join(named, "doc_id").withColumnRenamed("doc_id", "node")), "sets")
+def named_sets(docs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, items, sid (a number of its own) of the sets of some documents. Their ids are stored first:
+    Spark then knows their size, and broadcasts them only while they are few."""
+    named = scratch.save(nodes.select(F.col("node").alias("doc_id")).distinct(), "named")
+    sets = set_rows(docs.join(named, "doc_id").withColumnRenamed("doc_id", "node"))
+    return scratch.save(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
+def prefix_rows(sets: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """e, sid, node, root, n, place: the first elements of each set in the order of rarity, as far as a
+    linked set must share one of them. Elements of one set only take places and are left out."""
+    elements = sets.select("sid", "node", F.size("items").cast("long").alias("n"), F.explode("items").alias("e"))
+    held = scratch.save(elements.groupBy("e").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "holders")
+    mine = Window.partitionBy("sid")
+    placed = elements.join(held, "e").withColumn(
+        "place", F.col("n") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("holders", "e"))
+    )
+    first = placed.where(f"place <= n - ({PERCENT} * n + 99) div 100 + 1").select("e", "sid", "node", "n", "place")
+    return scratch.save(first.join(roots, "node"), "prefixes")
+
+
+def prefix_pairs(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """a, b: nodes of different components whose sets can reach the similarity by :func:`prefix_rows`."""
+    by_root = rows.groupBy("e", "root").count()
+    mains = by_root.groupBy("e").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+    mains = scratch.save(mains.where("roots > 1").drop("roots"), "mains")
+    rows = scratch.save(rows.join(mains, "e"), "met")
+    # An overlap of 3/7 of both sizes together is 6/7 of the smaller one at least.
+    smaller = rows.where(f"place <= n - ({2 * PERCENT} * n + {99 + PERCENT}) div {100 + PERCENT} + 1")
+    other = rows.select("e", (F.col("root") == F.col("main")).alias("in_main"), *[F.col(c).alias(f"{c}_b") for c in ("sid", "node", "root", "n", "place")])
+    overlap = f"({PERCENT} * (n + n_b) + {99 + PERCENT}) div {100 + PERCENT}"
+    fits = F.expr(
+        f"root <> root_b AND (n < n_b OR n = n_b AND sid < sid_b) AND 100 * n >= {PERCENT} * n_b"
+        f" AND least(n - place, n_b - place_b) + 1 >= {overlap}"
+    )
+    pairs = smaller.where("root <> main").join(other, "e").where(fits).unionByName(
+        smaller.where("root = main").join(other.where("not in_main"), "e").where(fits)
+    )
+    return pairs.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -278,23 +321,20 @@ def near_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
         .select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b")).distinct()
     )
     first = scratch.save(first, "first")
-    stars = scratch.save(confirm(first, named_sets(narrow, first, scratch)), "stars")
+    stars = scratch.save(confirm(first, named_sets(narrow, ends_of(first), scratch)), "stars")
     found = components(stars.unionByName(split), scratch)
 
     labelled = scratch.save(buckets.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "labelled")
-    counts = labelled.groupBy("key", "root").count()
-    mixed = counts.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
-    open_rows = scratch.save(labelled.join(mixed, "key").join(light, "node"), "open")
-    left = open_rows.where("root <> main").withColumnsRenamed({"node": "a", "root": "ra"}).drop("main")
-    right = open_rows.select("key", "main", F.col("root").alias("rb"), F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in light.columns if c != "node"])
-    second = (
-        left.join(right, "key")
-        .where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & may_link())
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
-    second = scratch.save(second.join(first, ["a", "b"], "left_anti"), "second")
-    if not second.isEmpty():
-        links = scratch.save(confirm(second, named_sets(narrow, second, scratch)), "links")
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    apart = labelled.join(scratch.save(mixed, "mixed"), "key", "left_semi").select("node", "root").distinct()
+    apart = scratch.save(apart, "apart")
+    if not apart.isEmpty():
+        sets = named_sets(narrow, apart, scratch)
+        met = scratch.save(prefix_pairs(prefix_rows(sets, apart, scratch), scratch).join(first, ["a", "b"], "left_anti"), "met")
+        # Candidates are pairs of one bucket.
+        keys = [reps.select(F.col("node").alias(k), F.col("keys").alias(f"keys_{k}")) for k in ("a", "b")]
+        second = met.join(keys[0], "a").join(keys[1], "b").where(F.arrays_overlap("keys_a", "keys_b")).select("a", "b").distinct()
+        links = scratch.save(confirm(second, sets), "links")
         if not links.isEmpty():
             found = components(stars.unionByName(split).unionByName(links), scratch)
 
