@@ -16,16 +16,20 @@ How it is spread out:
    expectation step is one aggregation of them, a row per bucket goes to the driver.
 4. All blocks meet their answers and score their documents.
 
-No vocabulary is collected or broadcast, and no group grows with the corpus.
+No vocabulary is collected or broadcast. A block's arrays are those of one kind of n-gram at a time. The rows
+of a shard are bounded by its tokens, except that an n-gram of all blocks (the end token) has one entry a block.
 
 Defined cases: a null or empty text is its end token; a null id is in fold 0; repeated
-rows are counted and scored once each; without training texts counts are 0 and weights
+rows are counted and scored once each; a text is never cut, so a very long one is a block of its own
+(about 100 bytes of memory a token); other columns are not looked at; without training texts counts are 0 and weights
 uniform; a bucket without deleted counts takes the weights of the next lower one; an
 empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -33,12 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayproof.llm.common import fold
-from dayproof.llm.textscan import blocks, mix, windows
+from dayproof.llm.textscan import blocks, mix, pair_hashes
 from dayproof.sources.scratch import Scratch
 
-BLOCK_TEXT = 12 << 20
-SHARD_TOKENS = 1_500_000
-DELETED_SHARE = 50
+BLOCK_TEXT = 3 << 20
+SHARD_TOKENS = 500_000
+#: The deleted part is one in so many training texts, by hash; a small corpus that has none in it takes the next larger part.
+DELETED_SHARE, LARGER_SHARES = 50, (20, 8, 3, 2)
 MAX_STEPS, TOLERANCE = 20, 1e-4
 FOLDS, HELD_OUT = 7, 2
 MAIN, DELETED, UNSEEN = 0, 1, 2
@@ -47,10 +52,10 @@ END = np.uint64(0x5851F42D4C957F2D)
 BEGIN = np.uint64(0x14057B7EF767814F)
 
 
-def gather_blocks(docs: DataFrame) -> DataFrame:
+def gather_blocks(docs: DataFrame, share: int) -> DataFrame:
     """block, part, docs, tokens, payload: documents of one part each, compressed together."""
     part = F.when(fold("doc_id", FOLDS) == HELD_OUT, UNSEEN).when(
-        F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit("deleted")), F.lit(DELETED_SHARE)) == 0, DELETED
+        F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit("deleted")), F.lit(share)) == 0, DELETED
     ).otherwise(MAIN)
 
     def gather(batches):
@@ -106,26 +111,24 @@ def block_tokens(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(tokens), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
 
-def block_grams(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(unigram, bigram) hash at each token; the context of a first token is BEGIN."""
+def block_grams(tokens: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes at each token: of the unigram, then of the bigram, one at a time. The context of a first token is BEGIN."""
+    yield mix(tokens + np.uint64(1))
     context = np.empty_like(tokens)
     context[1:] = tokens[:-1]
     context[first[:-1]] = BEGIN
-    pairs = np.empty(2 * len(tokens), np.uint64)
-    pairs[0::2], pairs[1::2] = context, tokens
-    return mix(tokens + np.uint64(1)), windows(pairs, 2)[0::2] if len(tokens) else tokens
+    yield pair_hashes(context, tokens)
 
 
 def read_payload(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all()
 
 
-def _sharded(grams: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct grams in order of shard and hash, their counts, index of each token's gram, first gram of each shard)."""
-    distinct, which, counts = np.unique(grams, return_inverse=True, return_counts=True)
-    # The leading bits choose the shard, so hash order is shard order.
+def shard_edges(distinct: np.ndarray, shards: int) -> np.ndarray:
+    """First of the sorted grams of each shard, with one more entry: the leading bits choose the
+    shard, so the order of hashes is the order of shards."""
     shard = ((distinct >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-    return distinct, counts, which, np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
+    return np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
 
 
 def gram_counts(table: DataFrame, shards: int) -> DataFrame:
@@ -134,9 +137,9 @@ def gram_counts(table: DataFrame, shards: int) -> DataFrame:
     def ask(batches):
         for batch in batches:
             for block, part, payload in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
-                found = block_grams(*block_tokens(read_payload(payload)))
-                for kind, grams in enumerate(found, 1):
-                    distinct, counts, _, first = _sharded(grams, shards)
+                for kind, grams in enumerate(block_grams(*block_tokens(read_payload(payload))), 1):
+                    distinct, counts = np.unique(grams, return_counts=True)
+                    first = shard_edges(distinct, shards)
                     own = np.flatnonzero(np.diff(first))
                     ends = pa.array(np.append(first[own], len(distinct)).astype(np.int32))
                     n = len(own)
@@ -181,21 +184,21 @@ def _answer(asked: pa.Table) -> pa.Table:
     return pa.concat_tables([rows.cast(extra.schema), extra])
 
 
-def counts_of_tokens(payload: bytes, answers: pa.Table, shards: int, part: int, column: str) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def counts_of_tokens(payload: bytes, answers: pa.Table, part: int, column: str) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(documents, first token of each, bigram, context and token count of every token), in
     all training texts (``train``) or in the main part (``main``)."""
     docs = read_payload(payload)
     tokens, first = block_tokens(docs)
     found = []
     for kind, grams in enumerate(block_grams(tokens, first), 1):
-        distinct, counts, which, at = _sharded(grams, shards)
-        own = np.zeros(len(distinct), np.int64)
+        _, which, counts = np.unique(grams, return_inverse=True, return_counts=True)
+        # A block's answers side by side in order of shard are in the order of its grams.
+        mine = answers.filter(pa.compute.equal(answers["kind"], kind)).sort_by("shard")[column].combine_chunks()
+        own = mine.flatten().to_numpy().astype(np.int64)
         if column == "train" and part != UNSEEN:
             own += counts
-        for k, shard, extra in zip(answers["kind"].to_pylist(), answers["shard"].to_pylist(), answers[column], strict=True):
-            if k == kind:
-                own[at[shard]:at[shard + 1]] += extra.values.to_numpy()
         found.append(own[which])
+        del grams, which, counts, mine, own
     singles, pairs = found
     context = np.empty_like(singles)
     context[1:] = singles[:-1]
@@ -247,8 +250,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    table = scratch.save(gather_blocks(docs), "blocks")
-    sums = {r["part"]: (r["tokens"], r["docs"]) for r in table.groupBy("part").agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs")).collect()}
+    for share in (DELETED_SHARE, *LARGER_SHARES):
+        table = scratch.save(gather_blocks(docs, share), "blocks")
+        sums = {r["part"]: (r["tokens"], r["docs"]) for r in table.groupBy("part").agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs")).collect()}
+        if DELETED in sums or MAIN not in sums:
+            break
     total = sum(t for t, _ in sums.values())
     train_tokens, train_docs = (sum(sums.get(p, (0, 0))[k] for p in (MAIN, DELETED)) for k in range(2))
     main_tokens, main_docs = sums.get(MAIN, (0, 0))
@@ -266,17 +272,21 @@ def score_documents(docs: DataFrame) -> DataFrame:
         return table.where(part).groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(function, out)
 
     def tuples(block: pa.Table, own: pa.Table) -> pa.Table:
-        _, _, pair, context, single = counts_of_tokens(block["payload"][0].as_py(), own, shards, DELETED, "main")
+        _, _, pair, context, single = counts_of_tokens(block["payload"][0].as_py(), own, DELETED, "main")
         context = np.where(context < 0, main_docs, context)
-        rows, n = np.unique(np.stack([bucket_of(context), pair, context, single]), axis=1, return_counts=True)
-        return pa.table({**{name: pa.array(row, pa.int64()) for name, row in zip(("bucket", "pair", "context", "single"), rows, strict=True)}, "n": pa.array(n, pa.int64())})
+        # Tuples are told apart by a hash of their three numbers; the bucket follows from the context.
+        key = pair_hashes(pair_hashes(pair.view(np.uint64), context.view(np.uint64)), single.view(np.uint64))
+        _, at, n = np.unique(key, return_index=True, return_counts=True)
+        pair, context, single = pair[at], context[at], single[at]
+        columns = {"bucket": bucket_of(context), "pair": pair, "context": context, "single": single, "n": n}
+        return pa.table({name: pa.array(values, pa.int64()) for name, values in columns.items()})
 
     seen = meet(F.col("part") == DELETED, "main", tuples, "bucket long, pair long, context long, single long, n long")
     seen = scratch.save(seen.groupBy("bucket", "pair", "context", "single").agg(F.sum("n").alias("n")), "tuples")
     weights = weight_table(learn_weights(seen, main_tokens, main_types))
 
     def score(block: pa.Table, own: pa.Table) -> pa.Table:
-        found, first, pair, context, single = counts_of_tokens(block["payload"][0].as_py(), own, shards, block["part"][0].as_py(), "train")
+        found, first, pair, context, single = counts_of_tokens(block["payload"][0].as_py(), own, block["part"][0].as_py(), "train")
         context = np.where(context < 0, train_docs, context)
         lam = weights[bucket_of(context)]
         p = lam[:, 0] / (train_types + 1) + lam[:, 1] * single / max(1, train_tokens) + lam[:, 2] * pair / np.maximum(context, 1)

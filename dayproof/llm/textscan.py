@@ -139,6 +139,11 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
+def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of each pair, as that of a run of two."""
+    return mix((_U(2) * _STEP + left) * _STEP + right)
+
+
 def segment_sums(values: np.ndarray, first: np.ndarray, shorter: int = 0) -> np.ndarray:
     """Sums of ``values`` for each document, whose items are ``first[i]`` to
     ``first[i + 1]`` less the last ``shorter`` ones."""
