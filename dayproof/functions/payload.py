@@ -24,6 +24,9 @@ INSTANT_TEXT = (
 EPOCH_SECONDS_TEXT = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?\z"
 NEEDS_ESCAPE = r'[\x00-\x1f"\\]'
 NEGATIVE_TEXT = r"^\s*-[0.]*[1-9]"
+# A string, a number, or what lies between them.
+JSON_TOKEN = r'"(?:[^"\\]|\\.)*"|-?\d[\d.eE+-]*|[^"\d-]+'
+NUMBER_TOKEN = r"^(-?)(\d+)(?:\.(\d+))?(?:[eE]([+-]?\d+))?$"
 NUMBER_TEXT = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -44,6 +47,34 @@ def _beyond_micros(text: Column) -> Column:
     return F.coalesce(F.rtrim(digits, F.lit("0")), F.lit(""))
 
 
+def plain_number(text: Column) -> Column:
+    """One spelling for every JSON number of the same value, whatever its length: plain digits without
+    leading or trailing zeros, and no exponent unless the point is over 400 digits away."""
+    whole, fraction = F.regexp_extract(text, NUMBER_TOKEN, 2), F.regexp_extract(text, NUMBER_TOKEN, 3)
+    power = F.coalesce(F.regexp_extract(text, NUMBER_TOKEN, 4).try_cast("int"), F.lit(0))
+    written = F.concat(whole, fraction)
+    started = F.ltrim(written, F.lit("0"))
+    digits = F.rtrim(started, F.lit("0"))
+    # The value is 0.DIGITS times ten to the ``point``.
+    point = F.length(whole) + power - (F.length(written) - F.length(started))
+    size = F.length(digits)
+    plain = (
+        F.when(F.abs(point) > 400, F.concat(digits, F.lit("E"), point.cast("string")))
+        .when(point >= size, F.concat(digits, F.repeat(F.lit("0"), point - size)))
+        .when(point > 0, F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, size)))
+        .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+    )
+    return F.when(digits == "", F.lit("0")).otherwise(F.concat(F.regexp_extract(text, NUMBER_TOKEN, 1), plain))
+
+
+def plain_numbers(json: Column) -> Column:
+    """A JSON text with every number, at any depth, in its one spelling; strings stay as they are.
+    Texts whose numbers are all plain integers are not taken apart."""
+    tokens = F.regexp_extract_all(json, F.lit(JSON_TOKEN), F.lit(0))
+    spelled = F.transform(tokens, lambda t: F.when(t.rlike(r"^-?\d"), plain_number(t)).otherwise(t))
+    return F.when(json.rlike(r"\d[.eE]|-0"), F.array_join(spelled, "")).otherwise(json)
+
+
 def decode_events(source: DataFrame) -> DataFrame:
     """Parse ``value``. Unreadable rows keep going with a ``decode_error``."""
     event = F.from_json("value", EVENT_JSON, {"columnNameOfCorruptRecord": "_corrupt"})
@@ -60,7 +91,7 @@ def decode_events(source: DataFrame) -> DataFrame:
         F.to_json("_e.attributes").alias("_attributes"),
         (F.col("_e.amount").isNotNull() & ~F.is_variant_null("_e.amount")).alias("_has_amount"),
     )
-    attributes = F.when(F.col("_attributes") != "null", F.col("_attributes"))
+    attributes = F.when(F.col("_attributes") != "null", plain_numbers(F.col("_attributes")))
     # The text is looked at only where the decimal does not settle the question.
     text, exact = F.col("_amount_text"), F.col("amount_exact")
     is_number = F.when(exact.isNotNull(), ~text.isin("true", "false")).otherwise(text.rlike(NUMBER_TEXT))
@@ -112,4 +143,4 @@ def payload_hash(text: Column) -> Column:
 
 def same_json(left: Column, right: Column) -> Column:
     """Equality of two JSON texts, whatever the key order and number spelling."""
-    return F.to_json(F.try_parse_json(left)) == F.to_json(F.try_parse_json(right))
+    return plain_numbers(F.to_json(F.try_parse_json(left))) == plain_numbers(F.to_json(F.try_parse_json(right)))

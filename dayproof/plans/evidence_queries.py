@@ -249,6 +249,21 @@ def day_offset_ranges(spark, sf_dir):
     return ranges_of(fixture(spark, sf_dir))
 
 
+@query(
+    "topic_day_ranges",
+    """SELECT 'business-events' AS topic, CAST(bdate AS VARCHAR) AS business_date, part AS "partition", lo AS start_offset, hi AS end_offset FROM ranges
+       UNION ALL SELECT 'refunds', CAST(bdate AS VARCHAR), part, lo + 5000000000, hi + 5000000000 FROM ranges WHERE part = 1""",
+    FX,
+)
+def topic_day_ranges(spark, sf_dir):
+    """Day bounds of a log of two topics, laid out by topic, partition and day; from its footers alone."""
+    f = fixture(spark, sf_dir)
+    path = f.scratch.table_path("laid-out")
+    refunds = f.log.filter("partition = 1").withColumns({"topic": F.lit("refunds"), "offset": F.col("offset") + 5_000_000_000})
+    source_log.append_laid_out(f.log.unionByName(refunds), path)
+    return source_log.day_offset_ranges(source_log.laid_out_bounds(spark, path), f.first_day, f.last_day)
+
+
 @query("kafka_day_counts", "SELECT CAST(bdate AS VARCHAR) AS business_date, c AS kafka_event_count FROM kafka", FX)
 def kafka_day_counts(spark, sf_dir):
     return source_log.kafka_day_counts(ranges_of(fixture(spark, sf_dir)))

@@ -103,8 +103,9 @@ def faulty_deliveries(events: DataFrame) -> DataFrame:
         F.lit('","amount":'), amount_text, F.lit(',"attributes":'), F.col("props"), F.lit("}"),
     )
     # A redelivery spells the same event differently.
+    exponents = F.regexp_replace("props", r"(\d+)\}", "$1.00e+0}")
     respelled = F.concat(
-        F.lit('{"attributes": '), F.col("props"), F.lit(', "amount": '), F.col("amount").cast("decimal(19,2)"),
+        F.lit('{"attributes": '), exponents, F.lit(', "amount": '), F.col("amount").cast("decimal(19,2)"),
         F.lit(', "traceId": 1, "eventTime": "'), event_time, F.lit('", "businessKey": "'), key,
         F.lit('", "eventId": "'), F.upper(event_id), F.lit('"}'),
     )

@@ -109,14 +109,40 @@ def log_days(source: DataFrame) -> tuple[date, date] | None:
     return None if row is None or row["first"] is None else (row["first"], row["last"])
 
 
-def partition_day_bounds(source: DataFrame) -> DataFrame:
+def partition_day_bounds(source: DataFrame, by_topic: bool = False) -> DataFrame:
     """Smallest offset per partition and day, and the partition's latest offset.
-    The only pass over the log: three narrow columns, combined before the shuffle."""
-    return source.groupBy("partition", business_date(F.col("timestamp")).alias("day")).agg(
+    The only pass over the log: three narrow columns, combined before the shuffle. Offsets of
+    several topics are not comparable: ``by_topic`` keeps them apart, without it the rows are one topic's."""
+    topic = ["topic"] if by_topic else []
+    return source.groupBy(*topic, "partition", business_date(F.col("timestamp")).alias("day")).agg(
         F.min("offset").alias("low"), F.max("offset").alias("high")
     )
 
 
+LAID_OUT = ["topic", "partition", "day"]
+
+
+def append_laid_out(events: DataFrame, path: str) -> None:
+    """Append rows to a log kept as ``topic=/partition=/day=`` folders of files in offset order."""
+    rows = events.withColumn("day", business_date(F.col("timestamp"))).hint("rebalance", *LAID_OUT)
+    rows.sortWithinPartitions(*LAID_OUT, "offset").write.mode("append").partitionBy(*LAID_OUT).parquet(path)
+
+
+def laid_out_bounds(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`partition_day_bounds` by topic of a laid-out log, from the footers of its files: the
+    scan answers with the smallest and largest offsets it finds there and reads no rows."""
+    name = "spark.sql.sources.useV1SourceList"
+    before = spark.conf.get(name)
+    # Only the second version of the reader takes the aggregation over.
+    spark.conf.set(name, ",".join(s for s in before.split(",") if s != "parquet"))
+    try:
+        files = spark.read.schema("offset long, topic string, partition int, day date").parquet(path)
+        # Resolved while the setting holds.
+        return files.groupBy(*LAID_OUT).agg(F.min("offset").alias("low"), F.max("offset").alias("high"))
+    finally:
+        spark.conf.set(name, before)
+
+
 def day_offset_ranges(bounds: DataFrame, first: date, last: date) -> DataFrame:
     """``[start, end)`` per partition for each day of the range.
 
@@ -125,29 +151,30 @@ def day_offset_ranges(bounds: DataFrame, first: date, last: date) -> DataFrame:
     the smallest ``low`` of this and all later days; without one it starts at the
     latest offset. The end is the next day's start.
     """
-    latest = bounds.groupBy("partition").agg((F.max("high") + 1).alias("latest"))
+    keys = [c for c in ("topic", "partition") if c in bounds.columns]
+    latest = bounds.groupBy(*keys).agg((F.max("high") + 1).alias("latest"))
     days = latest.select(
-        "partition",
+        *keys,
         F.explode(F.sequence(F.lit(first), F.date_add(F.lit(last), 1))).alias("day"),
         F.lit(None).cast("long").alias("low"),
         F.lit(True).alias("asked"),
     )
-    known = bounds.select("partition", "day", "low", F.lit(False).alias("asked"))
-    merged = days.unionByName(known).groupBy("partition", "day").agg(
+    known = bounds.select(*keys, "day", "low", F.lit(False).alias("asked"))
+    merged = days.unionByName(known).groupBy(*keys, "day").agg(
         F.min("low").alias("low"), F.max("asked").alias("asked")
     )
-    onwards = Window.partitionBy("partition").orderBy(F.col("day").desc()).rowsBetween(
+    onwards = Window.partitionBy(*keys).orderBy(F.col("day").desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    starts = merged.withColumn("start", F.min("low").over(onwards)).filter("asked").join(latest, "partition")
+    starts = merged.withColumn("start", F.min("low").over(onwards)).filter("asked").join(latest, keys)
     starts = starts.withColumn("start_offset", F.least(F.coalesce("start", "latest"), "latest"))
-    following = Window.partitionBy("partition").orderBy("day")
+    following = Window.partitionBy(*keys).orderBy("day")
     return (
         starts.withColumn("next_start", F.lead("start_offset").over(following))
         .filter(F.col("day") <= F.lit(last))
         .select(
             F.col("day").alias("business_date"),
-            "partition",
+            *keys,
             "start_offset",
             F.greatest("start_offset", "next_start").alias("end_offset"),
         )
