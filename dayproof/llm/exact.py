@@ -66,11 +66,12 @@ def _sorted(keyed: DataFrame) -> tuple[DataFrame, Window]:
 
 def _split(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     keyed = _keyed(docs, scratch)
-    hot = F.broadcast(hot_contents(keyed, scratch))
+    hot = hot_contents(keyed, scratch)
     cold = keyed.join(hot, "content", "left_anti")
-    # Ids within a piece are spread by hash; a null id goes to piece 0.
-    salt = F.pmod(F.xxhash64("row.doc_id"), F.col("pieces")).cast("int")
-    return cold, keyed.join(hot, "content").withColumn("salt", salt)
+    # By the number of the stored row: an id that very many rows repeat is spread like any other.
+    numbered = keyed.withColumn("number", F.monotonically_increasing_id())
+    salt = F.pmod(F.col("number"), F.col("pieces")).cast("int")
+    return cold, numbered.join(hot, "content").withColumn("salt", salt).drop("number")
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -89,18 +90,20 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         )
 
     pieces = scratch.save(runs(hot).withColumn("norm", F.when(F.col("nth") == 1, F.col("norm"))), "pieces")
-    # One row per piece, whole texts compared: at most HOT_SHARE texts.
-    merged = (
-        pieces.where("nth = 1").groupBy("content", "digest", "norm")
-        .agg(F.min("first_id").alias("keep_id"), F.sum("rows").alias("group_size"), F.min(F.when(F.col("first_id").isNull(), F.col("salt"))).alias("null_salt"))
-        .drop("norm")
+    # One row per piece, whole texts compared: at most HOT_SHARE texts. Of pieces that begin with the
+    # smallest id (nulls last), the first one has the row that stays.
+    best = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "salt"))
+    merged = scratch.save(
+        pieces.where("nth = 1").groupBy("content", "digest", "norm").agg(best.alias("best"), F.sum("rows").alias("group_size"))
+        .select("content", "digest", F.col("best.first_id").alias("keep_id"), F.col("best.salt").alias("kept_salt"), "group_size"),
+        "merged",
     )
-    first_piece = F.when(F.col("keep_id").isNull(), F.col("salt") == F.col("null_salt")).otherwise(F.col("first_id") == F.col("keep_id"))
+    first_piece = F.col("salt") == F.col("kept_salt")
     return runs(cold).select(
         "doc_id", F.col("first_id").alias("keep_id"), F.col("rows").alias("group_size"),
         (F.col("nth") == 1).alias("kept"), F.col("digest").alias("text_sha256"),
     ).unionByName(
-        pieces.drop("norm").join(F.broadcast(merged), ["content", "digest"]).select(
+        pieces.drop("norm").join(merged, ["content", "digest"]).select(
             "doc_id", "keep_id", "group_size",
             (first_piece & (F.col("nth") == 1)).alias("kept"), F.col("digest").alias("text_sha256"),
         )

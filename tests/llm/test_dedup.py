@@ -47,6 +47,20 @@ def test_exact_groups_with_hot_texts(documents, monkeypatch):
         assert all(r["doc_id"] == r["keep_id"] for r in kept)
 
 
+def test_an_id_that_very_many_rows_repeat(spark, documents, monkeypatch):
+    monkeypatch.setattr(exact, "HOT_ROWS", 10)
+    monkeypatch.setattr(exact, "PIECE_ROWS", 7)
+    rows = [(7, "same")] * 60 + [(None, "same")] * 30 + [(8, "sa me")] * 5 + [(None, "only  null")] * 25 + [(None, "only null")] * 20
+    docs = documents(rows)
+    found = exact.exact_groups(docs).collect()
+    assert len(found) == len(rows) and {(r["doc_id"], r["keep_id"], r["group_size"]) for r in found} == groups(rows)
+    assert sorted(str(r["keep_id"]) for r in found if r["kept"]) == ["7", "8", "None"]
+    assert exact.drop_copies(docs).count() == 3
+    _, hot = exact._split(docs, Scratch(spark, "t"))
+    sizes = [r["count"] for r in hot.groupBy("content", "salt").count().collect()]
+    assert max(sizes) <= 14 and len(sizes) > 15
+
+
 def test_exact_dedup_keeps_columns(documents, monkeypatch):
     monkeypatch.setattr(exact, "HOT_ROWS", 10)
     rows = copies()
