@@ -17,7 +17,9 @@ there are some already), which the reader takes off again; roles are percent-enc
 
 Defined cases: a null text or role counts as empty; a null conv_id is one conversation; a
 null turn comes first; equal turns go by role and text; events of one message with the same
-seq go by kind and text; rows repeated in full are turns of their own; empty gives empty.
+seq go by kind and text; rows repeated in full are turns of their own; empty gives empty; other
+columns are not looked at. A conversation is one array and one output row, so it and its longest
+text must fit in a task's memory; all rows of null conv_id are one conversation in this sense.
 """
 
 from __future__ import annotations
@@ -53,14 +55,29 @@ def decode_role(role: Column) -> Column:
 
 
 def conversation_events(rows: DataFrame) -> DataFrame:
-    """The log of a finished conversation table (conv_id, turn, role, text): each row opens
-    a message and streams its text as one delta."""
+    """A log that ends in the given conversations (conv_id, turn, role, text). By a hash of its place, a
+    message comes as one delta, as three, as a draft whose beginning is edited and then gone on
+    with, or as a draft that is generated anew in two."""
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     numbered = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     numbered = numbered.withColumn("message", F.row_number().over(order))
-    events = F.array(
-        F.struct((F.col("message") * 2).cast("long").alias("seq"), F.lit("open").alias("kind"), F.col("role").alias("role"), F.lit("").alias("text")),
-        F.struct((F.col("message") * 2 + 1).cast("long").alias("seq"), F.lit("delta").alias("kind"), F.lit("").alias("role"), F.col("text").alias("text")),
+    size = F.length("text")
+
+    def part(low: Column, high: Column) -> Column:
+        return F.substring(F.col("text"), low.cast("int") + 1, (high - low).cast("int"))
+
+    def event(nth: int, kind: str, text: Column) -> Column:
+        role = F.col("role") if kind == "open" else F.lit("")
+        return F.struct((F.col("message") * 8 + nth).cast("long").alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+
+    none, whole, third, two, half = F.lit(0), size, F.floor(size / 3), F.floor(size * 2 / 3), F.floor(size / 2)
+    opened, draft = event(0, "open", F.lit("")), event(1, "delta", F.concat(F.lit("draft: "), part(half, whole)))
+    shape = F.pmod(F.xxhash64("conv_id", "turn", "message"), F.lit(4))
+    events = (
+        F.when(shape == 0, F.array(opened, event(1, "delta", F.col("text"))))
+        .when(shape == 1, F.array(opened, event(1, "delta", part(none, third)), event(2, "delta", part(third, two)), event(3, "delta", part(two, whole))))
+        .when(shape == 2, F.array(opened, draft, event(2, "edit", part(none, half)), event(3, "delta", part(half, whole))))
+        .otherwise(F.array(opened, draft, event(2, "regenerate", F.lit("")), event(3, "delta", part(none, half)), event(4, "delta", part(half, whole))))
     )
     return numbered.select("conv_id", F.col("message").cast("long").alias("turn"), F.explode(events).alias("e")).select("conv_id", "turn", "e.*")
 

@@ -111,3 +111,12 @@ def test_audit_of_empty_replicas(spark, pages):
     assert warc.audit(empty, empty, scratch).count() == 0
     assert [r["kind"] for r in warc.audit(one, empty, scratch).collect()] == ["missing"]
     assert warc.fixity_report(pages.limit(0)).count() == 0
+
+
+def test_logs_of_all_shapes_end_in_the_table(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", HOSTILE[(c + t) % len(HOSTILE)] * (t % 4)) for c in range(60) for t in range(5)]
+    events = chat.conversation_events(spark.createDataFrame(rows, TURNS)).cache()
+    kinds = {r["kind"]: r["n"] for r in events.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert kinds["open"] == 300 and kinds["edit"] > 30 and kinds["regenerate"] > 30 and kinds["delta"] > 500
+    final = {(r["conv_id"], r["turn"] - 1, r["role"], r["text"]) for r in chat.fold_messages(events).collect()}
+    assert final == set(rows)
