@@ -16,7 +16,7 @@ decoding gives back any text exactly.
 
 Defined cases: a null or empty text has one segmentation, without pieces; fewer than N
 segmentations give a shorter list; equal scores go to longer last pieces, then to the order
-of the search; a null id is kept; repeated rows are encoded once each; an empty table gives
+of the search; a very long text without spaces is one chunk, solved position by position; a null id is kept; repeated rows are encoded once each; an empty table gives
 an empty result.
 """
 
@@ -37,6 +37,8 @@ from dayproof.llm.textscan import Block, blocks
 N_BEST = 3
 #: Chunks that a Python worker remembers between blocks; the store starts anew beyond that.
 REMEMBERED = 1_000_000
+#: Characters of the chunks whose searches are remembered; the oldest go first.
+SEARCHED = 500_000
 #: Texts below the penalty of a character without piece: below the worst of the usual scores.
 PENALTY = 10.0
 SPACE = "▁"
@@ -59,6 +61,9 @@ class PieceModel:
                 self.pieces[text] = (i, float(model.get_score(i)))
                 self.text_of[i] = text.encode()
         self.longest = max(map(len, self.pieces))
+        across = [t for t in self.pieces if " " in t.lstrip(" ") or ("\n" in t and t != "\n")]
+        if across:
+            raise ValueError(f"pieces reach over the edge of a chunk: {across[:3]}")
         usual = [s for _, s in self.pieces.values() if s > -1e8]
         self.fallback = min(usual) - PENALTY
         # The same pieces by hash, for whole blocks.
@@ -79,6 +84,7 @@ class PieceModel:
         self.text_at = np.cumsum(size)
         self.text_pool = np.frombuffer(b"".join(self.text_of.get(i, b"") for i in range(len(size) - 1)), np.uint8)
         self.searches: OrderedDict[str, list] = OrderedDict()
+        self.searched = 0
         self.forget()
 
     def forget(self) -> None:
@@ -104,9 +110,11 @@ class PieceModel:
         best = [0.0]
         for own in into:
             best.append(max(best[start] + score for start, _, score in own))
-        queue, serial, found = [(-best[-1], 0, len(text), 0.0, None)], 0, []
+        # By what is lost against the best path, which is exactly 0 along it, then nearest the start: so
+        # no more than N paths are followed where sums in another order would differ in the last bits.
+        queue, serial, found = [(0.0, len(text), 0, 0.0, None)], 0, []
         while queue and len(found) < n:
-            _, _, end, done, path = heapq.heappop(queue)
+            lost, end, _, done, path = heapq.heappop(queue)
             if not end:
                 ids = []
                 while path is not None:
@@ -116,7 +124,7 @@ class PieceModel:
                 continue
             for start, ids, score in into[end - 1]:
                 serial += 1
-                heapq.heappush(queue, (-(best[start] + score + done), serial, start, done + score, (ids, path)))
+                heapq.heappush(queue, (lost + (best[end] - (best[start] + score)), start, serial, done + score, (ids, path)))
         return found
 
     def alternatives(self, chunk: str, n: int) -> list[tuple[float, list[int]]]:
@@ -124,8 +132,9 @@ class PieceModel:
         if chunk not in self.searches:
             found = self.nbest(chunk, n)
             self.searches[chunk] = [(found[0][0] - s, ids) for s, ids in found]
-            if len(self.searches) > 50_000:
-                self.searches.popitem(last=False)
+            self.searched += len(chunk)
+            while self.searched > SEARCHED and len(self.searches) > 1:
+                self.searched -= len(self.searches.popitem(last=False)[0])
         return self.searches[chunk]
 
     # All distinct chunks of a block at once.

@@ -2,6 +2,7 @@ import collections
 import itertools
 import math
 import random
+import time
 import zlib
 
 import brute
@@ -276,3 +277,14 @@ def test_language_model_of_nothing(documents):
     assert lm.score_documents(documents([])).count() == 0
     rows = lm.score_documents(documents([(1, None), (2, "a")])).collect()
     assert all(math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in rows)
+
+
+def test_one_very_long_word_of_random_letters_is_searched_in_seconds():
+    rng = random.Random(31)
+    model = pieces.model_at(None)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000))
+    start = time.monotonic()
+    found = model.nbest(" " + word, 3)
+    assert time.monotonic() - start < 30 and len(found) == 3
+    assert found[0][0] >= found[1][0] >= found[2][0]
+    assert all(model.decode(ids) == word for _, ids in found)
