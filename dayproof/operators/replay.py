@@ -303,20 +303,22 @@ def count_range(source: DataFrame, ranges: list[tuple[int, int, int]]) -> DataFr
 # --- execution ----------------------------------------------------------------------
 
 
-def load_or_plan(store: Store, source: DataFrame, job, at: Column, settings: Settings) -> DataFrame:
+def load_or_plan(store: Store, source: DataFrame, job, at: Column, settings: Settings, bounds: DataFrame | None = None) -> DataFrame:
     """The job's latest checkpoints; planned and stored once, then never again. A log
-    without rows gives a plan without partitions, which is complete."""
+    without rows gives a plan without partitions, which is complete. ``bounds`` of the topic
+    are taken from the log's rows unless they are known."""
     plan = f"plan-{job['job_id']}"
     if store.is_committed(plan):
         mine = store.read_or_empty("checkpoints").filter(F.col("job_id") == job["job_id"])
         return latest_version(mine, ["job_id", "source_topic", "source_partition"])
-    ranges = day_offset_ranges(partition_day_bounds(source), job["from_date"], job["to_date"])
+    bounds = partition_day_bounds(source) if bounds is None else bounds
+    ranges = day_offset_ranges(bounds, job["from_date"], job["to_date"])
     this_job = store.spark.createDataFrame(
         [(job["job_id"], job["from_date"], job["to_date"])], "job_id string, from_date date, to_date date"
     )
     planned = plan_replay(this_job, ranges, None, settings.source_topic, at)
     store.append(plan, {"checkpoints": planned})
-    return load_or_plan(store, source, job, at, settings)
+    return load_or_plan(store, source, job, at, settings, bounds)
 
 
 def current_job(store: Store, job_id: str):
@@ -339,8 +341,10 @@ def run_job(
     settings: Settings = DEFAULTS,
     on_reject: str = "fail",
     after_chunk=None,
+    bounds: DataFrame | None = None,
 ) -> str:
-    """Execute a requested job to its end and return its status.
+    """Execute a requested job to its end and return its status. With the topic's day ``bounds``
+    (see :func:`dayproof.sources.log.laid_out_bounds`) no part of the log outside the job's days is read.
 
     ``on_reject="fail"`` fails the job at the first chunk with refused rows and
     writes nothing of that chunk; ``"dead_letter"`` stores them and goes on.
@@ -358,9 +362,13 @@ def run_job(
     source = source.filter(F.col("topic") == settings.source_topic)
     store.append(f"start-{job_id}-a{attempt}", {"jobs": _as_frame(store, running)})
     try:
-        _run_chunks(store, source, running, as_of, settings, on_reject, after_chunk)
-        if not running["dry_run"]:
-            _repair_and_validate(store, source, running, as_of, settings)
+        if bounds is None:
+            # Plan and validation ask for the same: one pass over the log, kept as days x partitions rows.
+            with Scratch(store.spark, f"bounds-{job_id}") as scratch:
+                bounds = scratch.save(partition_day_bounds(source), "bounds")
+                _execute(store, source, running, as_of, settings, on_reject, after_chunk, bounds)
+        else:
+            _execute(store, source, running, as_of, settings, on_reject, after_chunk, bounds)
     except StaleWorker:
         raise
     except Exception as failure:  # noqa: BLE001 - any failure ends the attempt
@@ -378,6 +386,12 @@ def run_job(
     return "COMPLETED"
 
 
+def _execute(store, source, job, as_of, settings, on_reject, after_chunk, bounds) -> None:
+    _run_chunks(store, source, job, as_of, settings, on_reject, after_chunk, bounds)
+    if not job["dry_run"]:
+        _repair_and_validate(store, job, as_of, settings, bounds)
+
+
 def _long(left: list, settings: Settings) -> bool:
     """Several chunks are left, each too large for its keys to be broadcast."""
     lengths = [r["end_offset"] - r["next_offset"] for r in left]
@@ -385,8 +399,8 @@ def _long(left: list, settings: Settings) -> bool:
     return max(lengths, default=0) > settings.replay_chunk_offsets and chunk > identity.BROADCAST_KEYS
 
 
-def _run_chunks(store, source, job, as_of, settings, on_reject, after_chunk) -> None:
-    checkpoints = load_or_plan(store, source, job, as_of, settings)
+def _run_chunks(store, source, job, as_of, settings, on_reject, after_chunk, bounds) -> None:
+    checkpoints = load_or_plan(store, source, job, as_of, settings, bounds)
     if not job["dry_run"] and _long(resume_ranges(checkpoints).collect(), settings):
         with KnownKeys(store) as keys:
             _run_each_chunk(store, source, job, checkpoints, as_of, settings, on_reject, after_chunk, keys)
@@ -465,12 +479,12 @@ def _run_chunk(store, source, job, checkpoints, chunk, number, as_of, on_reject,
         keys.add(store.written("ledger", batch_id), store.written("records", batch_id))
 
 
-def _repair_and_validate(store, source, job, as_of, settings) -> None:
+def _repair_and_validate(store, job, as_of, settings, bounds) -> None:
     first, last = job["from_date"], job["to_date"]
     dates = daily.requested_dates(store.spark, (first, last))
     attempt = job["attempt_count"]
     repair.repair(store, dates, first, last, as_of, f"repair-{job['job_id']}-a{attempt}")
-    ranges = day_offset_ranges(partition_day_bounds(source), first, last)
+    ranges = day_offset_ranges(bounds, first, last)
     metrics = daily.fold_daily_changes(store.read_or_empty("daily_changes"))
     reports = reconcile(
         ranges, metrics, dates, "REPLAY_VALIDATION", job["correlation_id"], as_of, settings.amount_tolerance
@@ -478,6 +492,55 @@ def _repair_and_validate(store, source, job, as_of, settings) -> None:
     append_reports(store, reports, f"validate-{job['job_id']}-a{attempt}", settings)
 
 
+# --- recovery over the store -----------------------------------------------------------
+
+
+def dispatch_commands(store: Store, as_of: Column, batch_id: str, sink, settings: Settings = DEFAULTS) -> bool:
+    """Announce the requested jobs that were never announced, or too long ago, oldest first.
+
+    ``sink`` gets one message a job (key: job id). Jobs are marked as announced after it took
+    them, so one that fails leaves them due; an announcement may go out twice, and
+    ``run_job`` does nothing for a job that runs already. False if there is nothing to announce.
+    """
+    if store.is_committed(batch_id):
+        return False
+    with Scratch(store.spark, batch_id) as scratch:
+        current = latest_version(store.read_or_empty("jobs"), ["job_id"])
+        due = scratch.save(dispatchable_jobs(current, as_of - interval(settings.redispatch_after), settings.recovery_batch), "due")
+        if due.isEmpty():
+            return False
+        body = F.to_json(F.struct("job_id", "from_date", "to_date", "dry_run", "attempt_count", "correlation_id"))
+        sink(due.select(F.col("job_id").alias("key"), body.alias("value")))
+        store.append(batch_id, {"jobs": mark_published(due, as_of)})
+    return True
+
+
+def recover_jobs(store: Store, as_of: Column, batch_id: str, settings: Settings = DEFAULTS) -> bool:
+    """Put jobs whose worker fell silent back into the queue, with their progress. Their next
+    attempt has a new number, by which progress of the silent one is refused from then on."""
+    if store.is_committed(batch_id):
+        return False
+    with Scratch(store.spark, batch_id) as scratch:
+        current = latest_version(store.read_or_empty("jobs"), ["job_id"])
+        again = scratch.save(recover_stale(current, as_of, settings), "again")
+        if again.isEmpty():
+            return False
+        store.append(batch_id, {"jobs": again})
+    return True
+
+
+def retry_job(store: Store, job_id: str, batch_id: str, settings: Settings = DEFAULTS) -> bool:
+    """Put a failed job back into the queue on request. False if it did not fail or has no attempt left."""
+    if store.is_committed(batch_id):
+        return False
+    job = current_job(store, job_id)
+    again = retry_failed(_as_frame(store, job), settings.max_replay_attempts)
+    if again.isEmpty():
+        return False
+    store.append(batch_id, {"jobs": again})
+    return True
+
+
 def append_reports(store: Store, reports: DataFrame, batch_id: str, settings: Settings = DEFAULTS) -> None:
     """Reports and their outbox rows, visible together."""
     with Scratch(store.spark, "reports") as scratch:

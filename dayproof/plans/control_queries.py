@@ -349,6 +349,40 @@ def slo_stale_heartbeats(spark, sf_dir):
     return found.select("job_id", "attempt_count", "last_alive_at")
 
 
+@query(
+    "replay_recovery_run",
+    f"""SELECT j.job_id, CASE WHEN r.job_id IS NOT NULL THEN 'REQUESTED' ELSE j.status END AS status, j.attempt_count,
+       3 + (CASE WHEN r.job_id IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN d.job_id IS NOT NULL THEN 1 ELSE 0 END) AS version,
+       CASE WHEN d.job_id IS NOT NULL THEN 1 ELSE 0 END AS messages
+       FROM jobs j LEFT JOIN recovered r ON r.job_id = j.job_id
+       LEFT JOIN (SELECT job_id FROM (
+         SELECT job_id, requested_at FROM jobs WHERE status = 'REQUESTED' AND (command_published_at IS NULL OR command_published_at < {NOW} - INTERVAL 5 MINUTE)
+         UNION ALL SELECT job_id, requested_at FROM recovered) ORDER BY requested_at, job_id LIMIT 100) d ON d.job_id = j.job_id""",
+    (JOBS, STALE, RECOVERED),
+)
+def replay_recovery_run(spark, sf_dir):
+    """Jobs of silent workers go back into the queue, then the queue is announced: first to a broker
+    that does not answer, then to a topic, then again under the same batch id."""
+    scratch = Scratch(spark, "recovery")
+    store, topic = Store(spark, f"{scratch.path}/store"), FileTopic(spark, scratch.path, "commands")
+    store.append("seed", {"jobs": control.job_log(spark, sf_dir)})
+
+    def down(messages):
+        raise ConnectionError("broker did not answer")
+
+    for _ in range(2):
+        replay.recover_jobs(store, now(), "recover-1")
+    try:
+        replay.dispatch_commands(store, now(), "dispatch-1", down)
+    except ConnectionError:
+        pass  # the jobs stay due
+    for _ in range(2):
+        replay.dispatch_commands(store, now(), "dispatch-1", lambda m: topic.send("dispatch-1", m))
+    sent = topic.read().groupBy(F.col("key").alias("job_id")).agg(F.count(F.lit(1)).alias("messages"))
+    state = latest_version(store.read("jobs"), ["job_id"]).select("job_id", "status", "attempt_count", "version")
+    return state.join(sent, "job_id", "left").fillna(0, ["messages"])
+
+
 @query(
     "executable_jobs",
     """SELECT job_id, CASE WHEN status IN ('COMPLETED', 'RUNNING') THEN 'NO_OP' WHEN status = 'FAILED' THEN 'NEEDS_RETRY_REQUEST'
