@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayproof.functions.payload import decode_events, same_json
@@ -12,7 +12,7 @@ from dayproof.operators import audit, daily, identity, reconcile, repair, triage
 from dayproof.operators.alerts import outbox_for
 from dayproof.operators.skew import attach_by_count, numbered
 from dayproof.plans.catalog import query
-from dayproof.plans.fixture import Fixture, as_of, event_number, fixture
+from dayproof.plans.fixture import Fixture, as_of, event_number, event_uuid, fixture, table
 from dayproof.plans.oracle_parts import FIXTURE, PAYLOAD, stamp, uuid_of
 from dayproof.sources import log as source_log
 from dayproof.sources.scratch import Scratch
@@ -66,6 +66,56 @@ def validate_events(spark, sf_dir):
     )
 
 
+# What each eleventh of the events has left out or spoilt. The messages are those of the rules.
+FIELD_CASES = """SELECT event_id, kind, 'INVALID' AS verdict, 'invalid: ' || detail AS detail FROM (SELECT event_id, event_id % 11 AS kind, CASE event_id % 11
+         WHEN 0 THEN 'eventId must not be null' WHEN 1 THEN 'businessKey must not be blank' WHEN 2 THEN 'eventTime must not be null'
+         WHEN 3 THEN 'amount must not be null' WHEN 4 THEN 'attributes must not be null'
+         WHEN 5 THEN 'amount must be greater than or equal to 0.00, businessKey must not be blank'
+         WHEN 6 THEN 'amount must not be null, attributes must not be null, businessKey must not be blank, eventId must not be null, eventTime must not be null' END AS detail
+       FROM events) WHERE kind < 7
+       UNION ALL SELECT event_id, event_id % 11, 'INVALID', 'source position is invalid' FROM events WHERE event_id % 11 IN (7, 8, 9)
+       UNION ALL SELECT event_id, event_id % 11, 'VALID', '' FROM events WHERE event_id % 11 = 10"""
+
+
+@query("field_violations", FIELD_CASES)
+def field_violations(spark, sf_dir):
+    """Every event with a field or two left out, null or spoilt, or at a place that is none."""
+    number = F.col("event_id")
+    kind = (number % 11).alias("kind")
+    text = F.concat(F.lit('"'), event_uuid(number), F.lit('"'))
+
+    def field(name: str, good: Column, bad: dict[int, str | None]) -> Column:
+        """The field with its own bad texts by kind; None leaves it out."""
+        value = F.concat(F.lit(f'"{name}":'), good)
+        for k, spoilt in bad.items():
+            value = F.when(number % 11 == k, F.lit(None) if spoilt is None else F.lit(f'"{name}":{spoilt}')).otherwise(value)
+        return value
+
+    body = F.concat_ws(
+        ",",
+        field("eventId", text, {0: "null", 6: None}),
+        field("businessKey", F.lit('"KEY"'), {1: '" "', 5: "null", 6: None}),
+        field("eventTime", F.lit('"2024-01-01T00:00:00Z"'), {2: "null", 6: None}),
+        field("amount", F.lit("1.5"), {3: "null", 5: "-1", 6: None}),
+        field("attributes", F.col("props"), {4: "null", 6: None}),
+    )
+    log = table(spark, sf_dir, "events").select(
+        "event_id", kind,
+        F.when(number % 11 == 9, F.lit(" ")).otherwise(F.lit("business-events")).alias("topic"),
+        F.when(number % 11 == 7, F.lit(None)).otherwise(F.lit(0)).cast("int").alias("partition"),
+        F.when(number % 11 == 8, F.lit(-1)).otherwise(number).cast("long").alias("offset"),
+        F.col("ts").cast("timestamp").alias("timestamp"), F.lit("k").alias("key"),
+        F.concat(F.lit("{"), body, F.lit("}")).alias("value"),
+    )
+    # The decoder's own columns have these names.
+    kept = log.withColumn("source", F.struct("event_id", "kind")).drop("event_id", "kind")
+    checked = validity.validate_events(decode_events(kept), as_of())
+    return checked.select(
+        F.col("source.event_id").alias("event_id"), F.col("source.kind").alias("kind"),
+        F.coalesce("reject_reason", F.lit("VALID")).alias("verdict"), F.coalesce("reject_detail", F.lit("")).alias("detail"),
+    )
+
+
 @query(
     "publish_events",
     f"""SELECT ukey AS key, {PAYLOAD} AS value, count(*) AS messages
