@@ -36,6 +36,16 @@ def day_millis(day: date) -> int:
     return int(datetime(day.year, day.month, day.day, tzinfo=timezone.utc).timestamp() * 1000)
 
 
+def day_start_millis(day: Column) -> Column:
+    """UTC midnight of a date column, in epoch milliseconds."""
+    return F.unix_millis(day.cast("timestamp"))
+
+
+def instant_of(millis: Column) -> Column:
+    """The instant of a log's epoch milliseconds."""
+    return F.timestamp_millis(millis)
+
+
 def business_date(timestamp: Column) -> Column:
     """The UTC date of the broker timestamp. The session zone is UTC."""
     return F.to_date(timestamp)

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from dayproof.functions.common import explode_dates, settlement_date
+from dayproof.functions.common import business_date, day_start_millis, explode_dates, instant_of, settlement_date, short_message
 from dayproof.operators import alerts, audit, daily, daily_run, reconcile, replay, reports, triage
 from dayproof.plans import control
 from dayproof.plans.catalog import query
@@ -662,6 +662,31 @@ def settlement_dates(spark, sf_dir):
     )
 
 
+@query(
+    "day_millis",
+    f"""SELECT DISTINCT CAST(bdate AS VARCHAR) AS business_date, epoch_ms(CAST(bdate AS TIMESTAMP)) AS start_millis,
+        epoch_ms(CAST(bdate + 1 AS TIMESTAMP)) AS end_millis, {stamp('CAST(bdate AS TIMESTAMP)')} AS starts_at FROM log""",
+    (FIXTURE,),
+)
+def day_millis(spark, sf_dir):
+    """The bounds of the log's days as a broker is asked for them, and back."""
+    days = fixture(spark, sf_dir).log.select(business_date(F.col("timestamp")).alias("business_date")).distinct()
+    start, end = day_start_millis(F.col("business_date")), day_start_millis(F.date_add("business_date", 1))
+    return days.select("business_date", start.alias("start_millis"), end.alias("end_millis"), instant_of(start).alias("starts_at"))
+
+
+@query(
+    "short_messages",
+    """SELECT doc_id, length(m) AS kept_chars, md5(m) AS message_md5
+       FROM (SELECT doc_id, left(CASE WHEN doc_id % 7 <> 0 THEN text || text ELSE 'OSError' END, 2000) AS m FROM documents)""",
+)
+def short_messages(spark, sf_dir):
+    """Error texts of any length as a job keeps them; an error without a text is named by its kind."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.concat("text", "text")).alias("error"))
+    kept = short_message(F.col("error"), F.lit("OSError"))
+    return texts.select("doc_id", F.length(kept).cast("long").alias("kept_chars"), F.md5(kept.cast("binary")).alias("message_md5"))
+
+
 @query(
     "requested_days",
     """SELECT CAST(day AS VARCHAR) AS business_date, count(*) AS jobs FROM (

@@ -85,10 +85,16 @@ def start_projector(
     batch takes in are counted on the way (see :mod:`dayproof.streaming.progress`).
     """
 
+    held: list[Store] = []
+
     def on_batch(rows: DataFrame, epoch: int) -> None:
+        # The stream is the store's one writer while it runs: its commits are read when it starts, and
+        # not again for every batch.
+        if not held:
+            held.append(Store(rows.sparkSession, store_root))
         # One fixed time per batch, so a recomputed task sees the same one.
         now = F.lit(datetime.now(timezone.utc)) if as_of is None else as_of
-        project_batch(Store(rows.sparkSession, store_root), rows, f"{name}-{epoch}", now, dead_letters, before_commit)
+        project_batch(held[0], rows, f"{name}-{epoch}", now, dead_letters, before_commit)
 
     writer = counted_intake(source).writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).queryName(name)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
