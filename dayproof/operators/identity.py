@@ -24,6 +24,8 @@ VARIANT = [*POSITION, "event_id", "payload_hash"]
 BROADCAST_KEYS = 500_000
 # Up to this many variants, a batch's event ids go to the scan of the stored tables as a list.
 PUSHED_IDS = 2000
+# They are pushed in lists of this length (see session.RUNTIME_CONF).
+PUSHED_LIST = 100
 # Up to this many source partitions have an offset range of their own in the scan's filter.
 PUSHED_RANGES = 256
 
@@ -113,6 +115,14 @@ def pushed_ids(candidates: DataFrame, shape: Shape) -> list[str] | None:
     return [r["event_id"] for r in candidates.select("event_id").distinct().collect()]
 
 
+def one_of_events(ids: list[str]) -> Column:
+    """Condition on ``event_id`` in lists short enough for the scan to take them apart."""
+    found = F.lit(False)
+    for at in range(0, len(ids), PUSHED_LIST):
+        found = found | F.col("event_id").isin(ids[at:at + PUSHED_LIST])
+    return found
+
+
 def _lookup(
     stored: DataFrame | None, columns: list[str], keys: list[str], wanted: DataFrame, small: bool, near: Column | None = None
 ) -> DataFrame | None:
@@ -208,7 +218,7 @@ def event_facts(
     """Per (event id, payload hash): does it agree with the event's first payload,
     when did it first arrive, is the event or its record stored already. ``ids`` are
     all event ids of the candidates, if they are few: bloom filters answer for them."""
-    near = None if ids is None else F.col("event_id").isin(ids)
+    near = None if ids is None else one_of_events(ids)
     by_payload = candidates.groupBy("event_id", "payload_hash").agg(
         F.expr(f"min({ARRIVAL}) AS first_arrival"), F.expr("count(*) AS copies")
     )

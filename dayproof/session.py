@@ -14,8 +14,9 @@ RUNTIME_CONF = {
     # Batch ids look like numbers but are names.
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    # Event ids of a micro-batch reach the scan one by one, where bloom filters answer for them.
-    "spark.sql.parquet.pushdown.inFilterThreshold": "2000",
+    # Event ids of a micro-batch reach the scan one by one, where bloom filters answer for them (in
+    # lists of this length: the reader walks a list's alternatives by recursion).
+    "spark.sql.parquet.pushdown.inFilterThreshold": "100",
     # Smallest and largest offsets come from parquet footers (see sources.log.laid_out_bounds).
     "spark.sql.parquet.aggregatePushdown": "true",
 }

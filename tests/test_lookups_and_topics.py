@@ -85,8 +85,10 @@ def test_unknown_event_ids_are_answered_by_bloom_filters(spark, filled):
         unknown = [uid(n).replace("0000-4000", "0001-4000") for n in range(100, 140)]
         everything = rows_scanned(stored)
         assert everything == 300
-        assert rows_scanned(stored.filter(F.col("event_id").isin(unknown))) < everything / 2
-        assert stored.filter(F.col("event_id").isin([uid(5), uid(1007)])).count() == 2
+        assert rows_scanned(stored.filter(identity.one_of_events(unknown))) < everything / 2
+        many = [uid(n) for n in range(5000, 5000 + identity.PUSHED_IDS - 2)]
+        assert stored.filter(identity.one_of_events([uid(5), *many, uid(1007)])).count() == 2
+        assert stored.filter(identity.one_of_events([])).count() == 0
 
 
 def test_pruned_batches_decide_as_before(spark, filled):
