@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import random
 
@@ -79,13 +80,13 @@ def pages(spark):
 
 def test_archive_files_read_back(spark, pages, tmp_path):
     made = warc.archive(pages, Scratch(spark, "w"), file_records=20)
-    rows = made.orderBy("leaf").collect()
+    rows = made.places.join(made.records.select("leaf", "record"), "leaf").orderBy("leaf").collect()
     assert len({r["leaf"] for r in rows}) == len(rows) == 302
     at = {}
     for r in rows:
         assert r["offset"] == at.get(r["file"], 0)
         at[r["file"]] = r["offset"] + r["length"]
-    warc.write_archive(made, str(tmp_path / "out"))
+    warc.write_archive(made.records, str(tmp_path / "out"))
     back = warc.read_archive(spark, str(tmp_path / "out")).collect()
     assert sorted(r["record"] for r in back) == sorted(r["record"] for r in rows)
     assert sorted(r["length"] for r in back) == sorted(r["length"] for r in rows)
@@ -93,12 +94,12 @@ def test_archive_files_read_back(spark, pages, tmp_path):
 
 def test_audit_finds_exactly_the_damage(spark, pages):
     scratch = Scratch(spark, "w")
-    ours = warc.archive(pages, scratch, file_records=20)
+    ours = warc.archive(pages, scratch, file_records=20).places
     levels = warc.merkle_levels(ours, scratch)
     assert warc.audit(levels, levels, scratch).count() == 0
     some = [r["leaf"] for r in ours.select("leaf").collect()]
     altered, missing, extra = set(some[3:200:40]), {some[10], max(some)}, {1 << 20}
-    theirs = ours.where(~F.col("leaf").isin(list(missing))).withColumn("record", F.when(F.col("leaf").isin(list(altered - missing)), F.lit("rotten")).otherwise(F.col("record")))
+    theirs = ours.where(~F.col("leaf").isin(list(missing))).withColumn("digest", F.when(F.col("leaf").isin(list(altered - missing)), F.lit("rotten")).otherwise(F.col("digest")))
     theirs = theirs.unionByName(ours.limit(1).withColumn("leaf", F.lit(1 << 20).cast("long")))
     found = {(r["leaf"], r["kind"]) for r in warc.audit(levels, warc.merkle_levels(theirs, scratch), scratch).collect()}
     assert found == {(x, "altered") for x in altered - missing} | {(x, "missing") for x in missing} | {(x, "extra") for x in extra}
@@ -106,13 +107,47 @@ def test_audit_finds_exactly_the_damage(spark, pages):
 
 def test_audit_of_empty_replicas(spark, pages):
     scratch = Scratch(spark, "w")
-    empty = warc.merkle_levels(warc.archive(pages.limit(0), scratch), scratch)
-    one = warc.merkle_levels(warc.archive(pages.where("page_id = 3"), scratch), scratch)
+    empty = warc.merkle_levels(warc.archive(pages.limit(0), scratch).places, scratch)
+    one = warc.merkle_levels(warc.archive(pages.where("page_id = 3"), scratch).places, scratch)
     assert warc.audit(empty, empty, scratch).count() == 0
     assert [r["kind"] for r in warc.audit(one, empty, scratch).collect()] == ["missing"]
     assert warc.fixity_report(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ids", [lambda i: i, lambda i: (i - 150) * 61_000_000_000_000_000, lambda i: i // 100])
+def test_archives_written_apart(spark, ids):
+    """Other tasks, order and files; dense, sparse and signed, and repeated ids; copies; a clashing column."""
+    rows = [(ids(i), f"http://x/{i}", "<p>é 日</p>" * (i % 7), i) for i in range(300)] + [(ids(5), "http://x/5", "<p>é 日</p>" * 5, 0)] * 3 + [(None, None, None, 0), (None, "u", "long " * 100_000, 1)]
+    scratch = Scratch(spark, "w")
+    made = warc.archive(spark.createDataFrame(rows, PAGES + ", leaf long").repartition(3), scratch, file_records=20)
+    records = [(r["page_id"], r["record"]) for r in made.records.collect()]
+    rng = random.Random(5)
+    theirs = list(records)
+    rng.shuffle(theirs)
+    same = warc.write_records(spark.createDataFrame(theirs, "page_id long, record string").repartition(5), scratch, file_records=7)
+    assert warc.audit_apart(made.places, same.places, scratch).count() == 0
+    gone = [theirs.pop() for _ in range(4)]
+    theirs = [(i, "rotten") if k in (9, 50) else (i, r) for k, (i, r) in enumerate(theirs)] + [(ids(299) + 1, "new"), (ids(299) + 1, "new")]
+    other = warc.write_records(spark.createDataFrame(theirs, "page_id long, record string"), scratch, file_records=7)
+    found = warc.audit_apart(made.places, other.places, scratch).collect()
+    ours_by, theirs_by = collections.Counter(records), collections.Counter(theirs)
+    lost, unknown = ours_by - theirs_by, theirs_by - ours_by
+    assert len(gone) == 4 and sum(lost.values()) == 6
+    expected = {(i, digest(r), "altered" if any(i == j for j, _ in unknown) else "missing", n) for (i, r), n in lost.items()}
+    expected |= {(i, digest(r), "extra", n) for (i, r), n in unknown.items() if not any(i == j for j, _ in lost)}
+    assert {(r["page_id"], r["digest"], r["kind"], r["copies"]) for r in found} == expected
+    where = {(r["file"], r["offset"]): r["digest"] for r in made.places.collect()}
+    assert all(where[r["file"], r["offset"]] == r["digest"] for r in found if r["kind"] != "extra")
+
+
+def test_texts_are_not_exchanged(spark, pages, tmp_path):
+    pages.write.parquet(str(tmp_path / "pages"))
+    made = warc.archive(spark.read.parquet(str(tmp_path / "pages")), Scratch(spark, "w"))
+    plan = made.records._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+    assert "record" not in made.places.columns
+
+
 def test_logs_of_all_shapes_end_in_the_table(spark):
     rows = [(c, t, "assistant" if t % 2 else "user", HOSTILE[(c + t) % len(HOSTILE)] * (t % 4)) for c in range(60) for t in range(5)]
     events = chat.conversation_events(spark.createDataFrame(rows, TURNS)).cache()
