@@ -225,7 +225,7 @@ def alert_recovery_run(spark, sf_dir):
     WEBHOOK alerts are as many and never updated here; they must not fill the batches."""
     scratch = Scratch(spark, "recovery")
     store, topic = Store(spark, f"{scratch.path}/store"), FileTopic(spark, scratch.path, "alerts")
-    # True dates, so a folder per business date, as in the store itself: the messages carry them.
+    # True dates, as in the store itself: the messages carry them.
     stored = control.reports(spark, sf_dir)
     stored = stored.withColumns({f.name: F.lit(None).cast(f.dataType) for f in layout("reports") if f.name not in stored.columns})
     store.append("seed", {"alerts": control.alert_log(spark, sf_dir), "reports": stored})

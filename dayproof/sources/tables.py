@@ -41,10 +41,11 @@ TABLES = {
 # the column source_partition, which stays in the file for the scan's filters to be matched with.
 FOLDERS = {
     "observations": ["business_date", "place"],
-    **{table: ["business_date"] for table in ("ledger", "records", "dead_letters", "reports")},
+    **{table: ["business_date"] for table in ("ledger", "records", "dead_letters")},
 }
 # Row order inside a file, and columns by which single rows are looked up.
-SORTED = {"observations": ["source_topic", "source_offset"], "dead_letters": schemas.POSITION}
+# A day has a few reports, too few for a folder: their files are in order of the day instead.
+SORTED = {"observations": ["source_topic", "source_offset"], "dead_letters": schemas.POSITION, "reports": ["business_date"]}
 LOOKED_UP = {"ledger": "event_id", "records": "event_id"}
 COMMIT = "batch_id string, seq long, tables array<string>, supersedes array<string>, row_counts map<string, long>"
 
