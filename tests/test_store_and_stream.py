@@ -9,7 +9,7 @@ from dayproof import schemas
 from dayproof.operators import daily
 from dayproof.sources import log as source_log
 from dayproof.sources.scratch import Scratch, scratch_root
-from dayproof.sources.tables import Store, latest_version
+from dayproof.sources.tables import Store, latest_version, layout
 from dayproof.streaming.projector import project_batch, start_projector
 
 
@@ -138,3 +138,14 @@ def test_interrupted_batch_is_written_again(spark, tmp_path, batch_state):
     store.commit = commit
     project_batch(store, log, "p-0", F.lit(CLOCK))
     assert state(store) == batch_state
+
+
+def test_reports_of_many_days_share_files(spark, tmp_path):
+    days = spark.range(400).selectExpr("concat('r', id) AS report_id", "date_add(DATE '2020-01-01', CAST(id AS int)) AS business_date")
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in layout("reports") if f.name not in days.columns}
+    store = Store(spark, str(tmp_path))
+    store.append("b", {"reports": days.withColumns(blank)})
+    assert len(list(tmp_path.glob("reports/**/*.parquet"))) < 20
+    found = store.read("reports", (dt.date(2020, 3, 1), dt.date(2020, 3, 2)))
+    assert {r["report_id"] for r in found.collect()} == {"r60", "r61"}
+    assert "GreaterThanOrEqual(business_date,2020-03-01)" in found._jdf.queryExecution().executedPlan().toString()
