@@ -25,6 +25,8 @@ from dayproof.sources.scratch import Scratch
 from dayproof.sources.tables import Store, latest_version, layout
 
 NAME_LENGTH = 200
+# Chunks of a job whose partitions hold more than that many times ``Settings.replay_chunk_offsets``.
+MOST_CHUNKS = 12
 # Reasons in the versions that send a job back to the queue.
 RETRY_REASON = "retried on request"
 STALE_REASON = "worker heartbeat was stale"
@@ -392,23 +394,31 @@ def _execute(store, source, job, as_of, settings, on_reject, after_chunk, bounds
         _repair_and_validate(store, job, as_of, settings, bounds)
 
 
-def _long(left: list, settings: Settings) -> bool:
+def chunk_offsets(checkpoints: DataFrame, settings: Settings) -> int:
+    """Offsets per source partition in a chunk of a job. A chunk passes over the keys stored so far,
+    so a long job takes longer chunks and not more of them; a resumed one takes the same."""
+    spans = checkpoints.agg(F.max(F.col("end_offset") - F.col("start_offset")).alias("longest")).first()
+    return max(settings.replay_chunk_offsets, -(-(spans["longest"] or 0) // MOST_CHUNKS))
+
+
+def _long(left: list, offsets: int) -> bool:
     """Several chunks are left, each too large for its keys to be broadcast."""
     lengths = [r["end_offset"] - r["next_offset"] for r in left]
-    chunk = sum(min(n, settings.replay_chunk_offsets) for n in lengths)
-    return max(lengths, default=0) > settings.replay_chunk_offsets and chunk > identity.BROADCAST_KEYS
+    chunk = sum(min(n, offsets) for n in lengths)
+    return max(lengths, default=0) > offsets and chunk > identity.BROADCAST_KEYS
 
 
 def _run_chunks(store, source, job, as_of, settings, on_reject, after_chunk, bounds) -> None:
     checkpoints = load_or_plan(store, source, job, as_of, settings, bounds)
-    if not job["dry_run"] and _long(resume_ranges(checkpoints).collect(), settings):
+    offsets = chunk_offsets(checkpoints, settings)
+    if not job["dry_run"] and _long(resume_ranges(checkpoints).collect(), offsets):
         with KnownKeys(store) as keys:
-            _run_each_chunk(store, source, job, checkpoints, as_of, settings, on_reject, after_chunk, keys)
+            _run_each_chunk(store, source, job, checkpoints, as_of, offsets, on_reject, after_chunk, keys)
     else:
-        _run_each_chunk(store, source, job, checkpoints, as_of, settings, on_reject, after_chunk, None)
+        _run_each_chunk(store, source, job, checkpoints, as_of, offsets, on_reject, after_chunk, None)
 
 
-def _run_each_chunk(store, source, job, checkpoints, as_of, settings, on_reject, after_chunk, keys) -> None:
+def _run_each_chunk(store, source, job, checkpoints, as_of, offsets, on_reject, after_chunk, keys) -> None:
     number = 0
     while True:
         # One row per source partition: control data, like the offsets of a stream.
@@ -417,7 +427,7 @@ def _run_each_chunk(store, source, job, checkpoints, as_of, settings, on_reject,
             return
         number += 1
         chunk = [
-            (r["source_partition"], r["next_offset"], min(r["next_offset"] + settings.replay_chunk_offsets, r["end_offset"]))
+            (r["source_partition"], r["next_offset"], min(r["next_offset"] + offsets, r["end_offset"]))
             for r in left
         ]
         with Scratch(store.spark, f"replay-{job['job_id']}") as scratch:

@@ -38,3 +38,25 @@ def test_the_stream_takes_a_bounded_number_of_batches_of_several_files(spark, tm
     streamed = daily.fold_daily_changes(run.store.read("daily_changes")).drop("updated_at")
     whole = daily.fold_daily_changes(daily.daily_changes(f.observations, f.ledger, f.all_records, 1, now())).drop("updated_at")
     assert sorted(map(str, streamed.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_a_long_replay_has_a_bounded_number_of_chunks(spark, tmp_path):
+    day = dt.datetime(2026, 7, 16, tzinfo=UTC)
+    log = spark.createDataFrame([log_row(n, event_json(n), at=day + dt.timedelta(seconds=n)) for n in range(40)], SOURCE_LOG)
+    store = Store(spark, str(tmp_path))
+    asked = (1, "k", day.date(), day.date(), False, "me")
+    request = "request_no int, idempotency_key string, from_date date, to_date date, dry_run boolean, requested_by string"
+    resolved = replay.resolve_replay_requests(spark.createDataFrame([asked], request), store.read_or_empty("jobs"), ["request_no"])
+    store.append("request", {"jobs": replay.requested_jobs(resolved.withColumn("job_id", F.lit("j")), "c", now())})
+    settings = Settings(replay_chunk_offsets=2, source_topic="events")
+    assert replay.run_job(store, log, "j", now(), settings) == "COMPLETED"
+    assert sum(c["batch_id"].startswith("replay-j") for c in store.commits()) == 10  # 4 offsets each; 20 by the setting
+    assert store.read("ledger").count() == 40
+
+
+def test_chunks_of_a_resumed_job_are_as_long_as_before(spark):
+    rows = [("j", "t", p, 0, end, at, 0, 0, "RUNNING", CLOCK, 1) for p, end, at in ((0, 2_400_000, 2_000_000), (1, 90, 0))]
+    checkpoints = spark.createDataFrame(rows, schemas.CHECKPOINTS)
+    assert replay.chunk_offsets(checkpoints, Settings()) == 200_000
+    assert replay.chunk_offsets(checkpoints.filter("source_partition = 1"), Settings()) == 100_000
+    assert replay.chunk_offsets(checkpoints.limit(0), Settings()) == 100_000
