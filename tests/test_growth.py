@@ -60,3 +60,34 @@ def test_chunks_of_a_resumed_job_are_as_long_as_before(spark):
     assert replay.chunk_offsets(checkpoints, Settings()) == 200_000
     assert replay.chunk_offsets(checkpoints.filter("source_partition = 1"), Settings()) == 100_000
     assert replay.chunk_offsets(checkpoints.limit(0), Settings()) == 100_000
+
+
+def checked(spark, rows):
+    frame = validate_events(decode_events(spark.createDataFrame(rows, SOURCE_LOG)), now())
+    return Scratch(spark, "growth").save(frame, "checked")
+
+
+def stored_rows(scratch, spark, name):
+    return sum(spark.read.parquet(str(p)).count() for p in Path(scratch.path).glob(f"*-{name}"))
+
+
+def test_only_rows_that_share_a_key_are_exchanged_in_a_large_first_batch(spark):
+    rows = [log_row(n, event_json(n)) for n in range(60)]
+    rows += [log_row(60, event_json(3)), log_row(61, event_json(4, amount=9)), log_row(62, "{"), rows[7], rows[7]]
+    rows += [log_row(8, event_json(500))]  # a second event at a position
+    frame = checked(spark, rows)
+    results, scratch = [], Scratch(spark, "growth")
+    for hot_rows, at in ((10**9, Scratch(spark, "growth")), (10, scratch)):
+        found = identity.project(frame, identity.Evidence(), now(), at, hot_rows)
+        results.append([sorted(map(str, part.collect())) for part in found])
+    assert results[0] == results[1]
+    assert stored_rows(scratch, spark, "sharing") == 4 + 3 + 2
+    assert stored_rows(scratch, spark, "wide") < 10
+
+
+def test_more_shared_keys_than_are_broadcast_are_still_judged(spark, monkeypatch):
+    rows = [log_row(n, event_json(n // 2)) for n in range(20)]
+    frame = checked(spark, rows)
+    monkeypatch.setattr(identity, "BROADCAST_HASHES", 3)
+    found = identity.project(frame, identity.Evidence(), now(), Scratch(spark, "growth"), 5)
+    assert (found.observations.count(), found.ledger.count()) == (20, 10)
