@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayproof.functions.common import interval, short_message, stable_uuid
+from dayproof.operators.skew import numbered
 from dayproof.settings import DEFAULTS, Settings
 from dayproof.sources.scratch import Scratch
 from dayproof.sources.tables import latest_version
 
+# A limit is met by one task that takes the first rows of all others; above this many it would hold too much.
+TAKEN_BY_ONE_TASK = 10_000
+
 
 def report_channel_rows(reports: DataFrame, channels: list[str]) -> DataFrame:
     """Each mismatch report once per channel."""
@@ -46,10 +50,17 @@ def create_or_get_alerts(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     return chosen.select(*key, "_row.*").select(*wanted.columns, (F.col("_rank") == 1).alias("created"))
 
 
-def recoverable_alerts(alerts: DataFrame, stale_before: Column, limit: int) -> DataFrame:
-    """The oldest undelivered alerts not touched since ``stale_before``."""
+def recoverable_alerts(alerts: DataFrame, stale_before: Column, limit: int, scratch: Scratch | None = None) -> DataFrame:
+    """The oldest undelivered alerts not touched since ``stale_before``. A large ``limit`` is
+    counted over the sorted rows, which stay in their tasks; they are kept in ``scratch``."""
     waiting = F.col("status").isin("PENDING", "FAILED") & (F.col("updated_at") < stale_before)
-    return alerts.filter(waiting).orderBy("updated_at", "created_at", "alert_id").limit(limit)
+    order = ["updated_at", "created_at", "alert_id"]
+    found = alerts.filter(waiting)
+    if scratch is None or limit <= TAKEN_BY_ONE_TASK:
+        return found.orderBy(*order).limit(limit)
+    # Read twice, for the ranges of the sort and for the sort.
+    found = scratch.save(found, "waiting")
+    return numbered(found.orderBy(*order), scratch).filter(F.col("place") < limit).select(*alerts.columns)
 
 
 def alerts_with_reports(alerts: DataFrame, reports: DataFrame) -> DataFrame:
@@ -145,8 +156,9 @@ def recover_alerts(store, as_of: Column, batch_id: str, sink, settings: Settings
     current = latest_version(store.read_or_empty("alerts"), ["alert_id"])
     # The limit comes last: rows this job never updates must not fill the batch.
     mine = handled_here(current, store.read_or_empty("reports"), settings)
-    due = recoverable_alerts(mine, as_of - interval(settings.alert_retry_after), settings.recovery_batch)
-    deliver(store, due, as_of, batch_id, sink, settings)
+    with Scratch(store.spark, batch_id) as scratch:
+        due = recoverable_alerts(mine, as_of - interval(settings.alert_retry_after), settings.recovery_batch, scratch)
+        deliver(store, due, as_of, batch_id, sink, settings)
     return store.read("alerts")
 
 

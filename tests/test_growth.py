@@ -91,3 +91,14 @@ def test_more_shared_keys_than_are_broadcast_are_still_judged(spark, monkeypatch
     monkeypatch.setattr(identity, "BROADCAST_HASHES", 3)
     found = identity.project(frame, identity.Evidence(), now(), Scratch(spark, "growth"), 5)
     assert (found.observations.count(), found.ledger.count()) == (20, 10)
+
+
+def test_a_large_recovery_batch_is_not_taken_by_one_task(spark, monkeypatch):
+    early = CLOCK - dt.timedelta(days=1)
+    rows = [(f"a{n:02}", "r", "KAFKA", "PENDING", 0, None, early, early + dt.timedelta(seconds=n % 5), 0) for n in range(30)]
+    frame = spark.createDataFrame(rows, schemas.ALERTS)
+    few = alerts.recoverable_alerts(frame, now(), 13)
+    monkeypatch.setattr(alerts, "TAKEN_BY_ONE_TASK", 12)
+    many = alerts.recoverable_alerts(frame, now(), 13, Scratch(spark, "growth"))
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    assert "TakeOrdered" not in many._jdf.queryExecution().toString() and "Limit" not in many._jdf.queryExecution().toString()
