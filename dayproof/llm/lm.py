@@ -103,7 +103,7 @@ def gather_blocks(docs: DataFrame, share: int) -> DataFrame:
 def block_tokens(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(token hashes, first token of each document with one more entry); each document ends with END."""
     tokens, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    # Bytes are scanned a few megabytes at a time; only the tokens' hashes are held for the whole block.
+    # Bytes are scanned a block of textscan at a time; only the tokens' hashes are held for the whole block.
     for block in blocks(docs.to_batches(), "text"):
         words, first = block.lowered().word_hashes()
         tokens.append(np.insert(words, first[1:], END))

@@ -31,11 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayproof.llm.textscan import BLOCK_BYTES, Block, mix
+from dayproof.llm.textscan import Block, mix
 from dayproof.sources.scratch import Scratch
 
 PRIME = np.uint64((1 << 31) - 1)
 BASES = (1_000_003_211, 1_734_512_089)
+#: Twice the text of neighbours that are compared at once; a text at the edge is hashed twice.
+BLOCK_BYTES = 2 << 20
 WINDOW, BINS, BIN_BITS = 20, 128, 7
 #: Bits of a span hash that are compared within a document.
 HASH_BITS = 43

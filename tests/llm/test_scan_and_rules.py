@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import brute
@@ -6,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dayproof.llm import quality_embed, rules
+from dayproof.llm import quality_embed, rules, textscan
 from dayproof.llm.ngrams import document_features, labelled_sample, mean_weights, train
 from dayproof.llm.textscan import Block, blocks
 
@@ -31,6 +32,41 @@ def test_blocks_keep_documents_whole():
     assert len(parts) > 2
 
 
+def test_arrays_of_a_scan_stay_small(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [brute.sentence(rng, 600, ["word", "of", "some", "letters", "again"]) for _ in range(1200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    assert batch.nbytes > 3_000_000
+    table = np.zeros(1 << 16, np.float32)
+    monkeypatch.setattr(textscan, "_powers", (np.ones(0, np.uint64), np.ones(0, np.uint64)))
+    words = []
+    tracemalloc.start()
+    try:
+        for block in blocks([batch], "text"):
+            words += rules.counts_of(block)["n_words"].tolist()
+            mean_weights(block, table)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert words == [600] * len(texts)
+    assert peak < 80_000_000
+
+
+def test_batches_of_long_texts_stay_small(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64()), pa.array([batch.nbytes], pa.int64())], ["n", "size"])
+
+    docs = spark.range(2500).select(F.repeat(F.lit("x"), 6000).alias("text")).coalesce(1)
+    found = docs.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in found) == 2500
+    assert max(r["size"] for r in found) < 5 << 20
+
+
 def test_scores_are_the_mean_over_the_same_features():
     table = np.random.default_rng(0).normal(size=1 << 10).astype(np.float32)
     block = Block.of(ODD)
